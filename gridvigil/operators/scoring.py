@@ -231,16 +231,22 @@ def score_curve(
     n_pos, n_neg (whole run). Rows without a score are left out.
     """
     run = list(run)
-    scored = df.where(F.col(score).isNotNull()).select(
+    scored = df.select(
         *run, F.col(score).cast("double").alias("threshold"), positive.cast("long").alias("_pos")
     )
     ranged = with_sort_range(scored, "threshold", "_range")
-    steps = ranged.groupBy(*run, "_range", "threshold").agg(
-        F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg")
-    )
-    parts = ranged.groupBy(*run, "_range").agg(
-        F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")
+    known = F.col("threshold").isNotNull()
+    # Counting nothing for a missing score keeps the filter on the small aggregate.
+    steps = (
+        ranged.groupBy(*run, "_range", "threshold")
+        .agg(
+            F.sum(F.when(known, F.col("_pos")).otherwise(0)).alias("pos"),
+            F.sum(F.when(known, 1 - F.col("_pos")).otherwise(0)).alias("neg"),
+        )
+        .where(F.col("pos") + F.col("neg") > 0)
     )
+    # Built on the same aggregate, so Spark shuffles the rows once and reuses the exchange.
+    parts = steps.groupBy(*run, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     whole = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))
     above = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
