@@ -36,25 +36,37 @@ def std_from_text(text: Column) -> Column:
     return F.trim(F.try_element_at(F.split(text, "±"), F.lit(2))).try_cast("double")
 
 
-def signed_significance(delta: Column, p: Column, floor: float = 1e-50, cap: float = 50.0) -> Column:
+def signed_significance(
+    delta: Column, p: Column, floor: float = 1e-50, cap: float = 50.0, zero_is_positive: bool = True
+) -> Column:
     """Sign of the difference times -log10(p), with p floored and the result capped."""
-    return F.signum(delta) * F.least(F.lit(cap), -F.log10(F.greatest(p, F.lit(floor))))
+    positive = (delta >= 0) if zero_is_positive else (delta > 0)
+    sign = F.when(positive, 1.0).when(delta.isNotNull(), -1.0)
+    return sign * F.least(F.lit(cap), -F.log10(F.greatest(p, F.lit(floor))))
 
 
 def star(p: Column, level: float = 0.05) -> Column:
     return F.when(p < level, "*").otherwise("")
 
 
-def direction(delta: Column, p: Column, level: float = 0.05) -> Column:
+def direction(delta: Column) -> Column:
+    return F.when(delta > 0, "up").when(delta.isNotNull(), "down")
+
+
+def short_p(p: Column) -> Column:
+    """One figure, for a heat-map cell."""
     return (
-        F.when(p >= level, "n.s.").when(delta > 0, "better").when(delta < 0, "worse").otherwise("n.s.")
+        F.when(p.isNull(), "—")
+        .when(p < 0.001, F.format_string("%.0e", p))
+        .otherwise(F.format_string("%.2f", p))
     )
 
 
-def short_p(p: Column) -> Column:
+def table_p(p: Column) -> Column:
+    """Three figures, for a table cell."""
     return (
-        F.when(p.isNull(), "-")
-        .when(p < 0.001, F.format_string("%.1e", p))
+        F.when(p.isNull(), "n/a")
+        .when(p < 0.01, F.format_string("%.2e", p))
         .otherwise(F.format_string("%.3f", p))
     )
 

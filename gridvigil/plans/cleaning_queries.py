@@ -439,15 +439,16 @@ def _p_table(spark, sf):
 @query(
     "signed_significance",
     f"""WITH {_P_SQL} SELECT o_orderkey,
-      round(sign(delta) * least(50, -log10(greatest(p, 1e-50))), 6) AS wide,
-      round(sign(delta) * least(3.5::DOUBLE, -log10(greatest(p, 1e-10))), 6) AS tight FROM p""",
+      round(CASE WHEN delta >= 0 THEN 1 ELSE -1 END * least(50, -log10(greatest(p, 1e-50))), 6) AS wide,
+      round(CASE WHEN delta > 0 THEN 1 ELSE -1 END * least(3.5::DOUBLE, -log10(greatest(p, 1e-10))), 6) AS tight
+    FROM p""",
 )
 def signed_significance(spark, sf):
     delta, p = F.col("delta"), F.col("p")
     shown = _p_table(spark, sf).select(
         "o_orderkey",
         statistics.signed_significance(delta, p).alias("wide"),
-        statistics.signed_significance(delta, p, 1e-10, 3.5).alias("tight"),
+        statistics.signed_significance(delta, p, 1e-10, 3.5, zero_is_positive=False).alias("tight"),
     )
     return rounded(shown, ["wide", "tight"], 6)
 
@@ -455,15 +456,16 @@ def signed_significance(spark, sf):
 @query(
     "significance_marks",
     f"""WITH {_P_SQL} SELECT o_orderkey, CASE WHEN p < 0.05 THEN '*' ELSE '' END AS star,
-      CASE WHEN p >= 0.05 THEN 'n.s.' WHEN delta > 0 THEN 'better' WHEN delta < 0 THEN 'worse'
-        ELSE 'n.s.' END AS direction,
-      CASE WHEN p < 0.001 THEN printf('%.1e', p) ELSE printf('%.3f', p) END AS short_p FROM p""",
+      CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction,
+      CASE WHEN p < 0.001 THEN printf('%.0e', p) ELSE printf('%.2f', p) END AS short_p,
+      CASE WHEN p < 0.01 THEN printf('%.2e', p) ELSE printf('%.3f', p) END AS table_p FROM p""",
 )
 def significance_marks(spark, sf):
     delta, p = F.col("delta"), F.col("p")
     return _p_table(spark, sf).select(
         "o_orderkey",
         statistics.star(p).alias("star"),
-        statistics.direction(delta, p).alias("direction"),
+        statistics.direction(delta).alias("direction"),
         statistics.short_p(p).alias("short_p"),
+        statistics.table_p(p).alias("table_p"),
     )
