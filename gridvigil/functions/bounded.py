@@ -24,6 +24,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def settle(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` computed once into a local table if it is small, else ``df`` itself."""
+    rows = collect_bounded(df, max_rows)
+    return df if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     """Small table made on the driver, marked for broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import collect_bounded
+from gridvigil.functions.bounded import collect_bounded, settle
 from gridvigil.functions.hashing import draw_number, row_digest
 from gridvigil.functions.statistics import mcnemar_p, rank_sum_p, wilson_bounds
 from gridvigil.operators.ordering import with_position
@@ -99,8 +99,10 @@ def bootstrap_interval(
     resample is spread over the cluster and can be redone after a lost task.
     """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(
-        *keys, order_col, F.col(value).cast("double").alias("_x")
+    values = settle(
+        df.where(F.col(value).isNotNull()).select(
+            *keys, order_col, F.col(value).cast("double").alias("_x")
+        )
     )
     placed = with_position(values, [order_col], keys, out="_at")
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("mean"))
@@ -227,7 +229,7 @@ def class_f1_comparison(
 ) -> DataFrame:
     """Per model and class: F1 mean and interval over seeds, difference and p to a reference."""
     keys = [*group, "class"]
-    f1 = class_scores.where(F.col("support") > 0).select(*keys, model_col, seed_col, "f1")
+    f1 = settle(class_scores.where(F.col("support") > 0).select(*keys, model_col, seed_col, "f1"))
     interval = bootstrap_interval(f1, [*keys, model_col], "f1", seed_col, resamples)
     tests = rank_sum(f1, keys, "f1", reference, model_col).select(*keys, model_col, "p")
     base = F.max(F.when(F.col(model_col) == reference, F.col("mean"))).over(
