@@ -90,6 +90,8 @@ def nearest(
     group: str | None = None,
     skip_self: bool = False,
     keep: Sequence[str] = (),
+    point_block: int = POINT_BLOCK,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, neighbour, distance, rank, kept point columns), rank 1 = nearest.
 
@@ -112,7 +114,7 @@ def nearest(
     out_schema = ", ".join(
         [f"_qid {qid_type}", f"_pid {id_type}", "_dist double", *kept_types]
     )
-    pivot_count = max(1, min(MAX_PIVOTS, -(-n // POINT_BLOCK)))
+    pivot_count = max(1, min(MAX_PIVOTS, -(-n // point_block)))
     pivots = np.array(
         [list(r[0]) for r in uniform_sample(base, pivot_count, ["_pid"]).select("_vec").collect()],
         dtype=np.float64,
@@ -176,16 +178,16 @@ def nearest(
 
     numbered = local_table(
         spark,
-        [(r["_group"], r["_pivot"], i, -(-r["_n"] // POINT_BLOCK)) for i, r in enumerate(stats)],
+        [(r["_group"], r["_pivot"], i, -(-r["_n"] // point_block)) for i, r in enumerate(stats)],
         "_group string, _pivot int, _cell int, _parts long",
     )
     asked_sizes = routed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("_chunks")
+        F.ceil(F.count(F.lit(1)) / query_block).alias("_chunks")
     )
     chunks = {r[0]: r[1] for r in asked_sizes.collect()}
     plan = local_table(
         spark,
-        [(i, -(-r["_n"] // POINT_BLOCK), chunks[i]) for i, r in enumerate(stats) if i in chunks],
+        [(i, -(-r["_n"] // point_block), chunks[i]) for i, r in enumerate(stats) if i in chunks],
         "_cell int, _parts long, _chunks long",
     )
     slot = lambda key, count: F.pmod(F.xxhash64(key), F.col(count))
