@@ -180,9 +180,13 @@ def knn_mutual_information(
     long = sample.select(F.col(label).cast("string").alias("y"), F.inline(cells)).na.drop()
 
     def estimate(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["y", "x"], ignore_index=True)
         x = group["x"].to_numpy()
         scale = x.std()
         x = x / scale if scale > 0 else x
+        # Tiny noise breaks ties, as the estimator assumes; the sort makes it repeatable.
+        noise = np.random.default_rng(seed).normal(size=len(x))
+        x = x + 1e-10 * max(1.0, float(np.abs(x).mean())) * noise
         harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, len(x) + 2))])
         digamma = lambda n: harmonic[np.asarray(n) - 1] - np.euler_gamma
         everything = np.sort(x)

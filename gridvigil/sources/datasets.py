@@ -37,7 +37,7 @@ HAI = DatasetConfig(
 WUSTL = DatasetConfig(
     "wustl", binary=False, pca_components=20, groups=tuple(cleaning.WUSTL_GROUPS)
 )
-HAI_VERSIONS = ["hai-21.03", "hai-20.07", "hai-22.04", "hai-23.05"]
+HAI_VERSIONS = ["hai-22.04", "hai-21.03", "hai-20.07", "hai-1.0", "hai-2.0", "hai-3.0"]
 # --- end of fixed values ---
 
 
@@ -80,7 +80,7 @@ def clean_wustl(raw: DataFrame, config: DatasetConfig = WUSTL) -> DataFrame:
         value = labels.collapsed(value) if config.binary else value
     else:
         raise KeyError(f"no label column among {df.columns}")
-    df = df.withColumn("_label", value).drop(*[c for c in {binary, kind, *bits[:1]} if c])
+    df = df.withColumn("_label", value).drop(*[c for c in {binary, kind} if c])
     df = cleaning.drop_non_features(df.withColumnRenamed("_label", "label"))
     return _numeric(df, config, "all")
 

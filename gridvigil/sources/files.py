@@ -25,8 +25,9 @@ def find_files(
 ) -> list[str]:
     """Sorted paths: files right in ``folder``, else in its sub-folders.
 
-    ``preferred`` names version folders; the first one present wins. Lists through the
-    file source, without reading any content.
+    ``preferred`` names version folders (part of the folder name, "_" read as "-"); the
+    first one present wins, and all files below it count. Lists through the file source,
+    without reading any content.
     """
 
     def listed(recursive: bool) -> list[str]:
@@ -45,8 +46,14 @@ def find_files(
 
     paths = [] if preferred else listed(False)
     paths = paths or listed(True)
+    top = folder.rstrip("/").rsplit("/", 1)[-1]
     for version in preferred:
-        chosen = [p for p in paths if f"/{version.lower()}/" in p.lower()]
+
+        def in_version(path: str) -> bool:
+            parents = path.partition(f"/{top}/")[2].split("/")[:-1]
+            return any(version in p.lower().replace("_", "-") for p in parents[:1])
+
+        chosen = [p for p in paths if in_version(p)]
         if chosen:
             paths = chosen
             break
