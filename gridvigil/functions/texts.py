@@ -32,88 +32,108 @@ def typed_json(df: DataFrame, features: Sequence[str], places: int = 4) -> Colum
     return F.to_json(F.struct(*[cell(c) for c in features]), {"ignoreNullFields": "false"})
 
 
-def with_four_figures(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add C-style ``%.4g`` texts: {new column: double column}.
+def four_figures(values: Column) -> Column:
+    """C-style ``%.4g`` text of every number in an array column.
 
-    Works in stages, so each step is computed once. A tie that only comes from rounding
-    the scaled value is settled by the exact rounding error (two-product).
+    Each ``transform`` names intermediate results, so nothing is computed twice and the
+    expression stays small for any number of features. A tie that only comes from
+    rounding the scaled value is settled by the exact rounding error (two-product).
     """
-    stages: list[dict[str, Column]] = [{} for _ in range(6)]
-    for i, (out, name) in enumerate(columns.items()):
-        t = lambda part, i=i: f"_{part}{i}"
-        col = lambda part, t=t: F.col(t(part))
-        split = F.lit(134217729.0)  # 2^27 + 1 halves a double's bits
-        stages[0][t("x")] = F.abs(F.col(name).cast("double"))
-        stages[1][t("e")] = F.floor(F.log10(col("x"))).cast("int")
-        stages[2][t("big")] = col("e") > 3
-        stages[2][t("c")] = F.pow(F.lit(10.0), F.abs(3 - col("e")))
-        stages[3][t("q")] = F.when(col("big"), col("x") / col("c")).otherwise(col("x") * col("c"))
-        stages[3][t("ch")] = split * col("c") - (split * col("c") - col("c"))
-        # a · c = p + error, with a the scaled value (division) or the value (product)
-        stages[4][t("a")] = F.when(col("big"), col("q")).otherwise(col("x"))
-        stages[5][t("ah")] = split * col("a") - (split * col("a") - col("a"))
-    for stage in stages:
-        df = df.withColumns(stage)
-    rounding: dict[str, Column] = {}
-    for i in range(len(columns)):
-        col = lambda part, i=i: F.col(f"_{part}{i}")
-        product = col("a") * col("c")
-        low, c_low = col("a") - col("ah"), col("c") - col("ch")
-        error = (col("ah") * col("ch") - product) + col("ah") * c_low + low * col("ch") + low * c_low
-        rest = F.when(col("big"), (col("x") - product) - error).otherwise(error)
-        whole = F.floor(col("q"))
-        tie = col("q") - whole == 0.5
-        rounding[f"_m{i}"] = (
-            F.when(tie & (rest > 0), whole + 1)
-            .when(tie & (rest < 0), whole)
-            .otherwise(F.bround(col("q"), 0).cast("long"))
+    split = F.lit(134217729.0)  # 2^27 + 1 halves the bits of a double
+
+    def upper_half(x: Column) -> Column:
+        return split * x - (split * x - x)
+
+    def size(v: Column) -> Column:
+        x = F.abs(v)
+        return F.struct(v.alias("v"), x.alias("x"), F.floor(F.log10(x)).cast("int").alias("e"))
+
+    def scale(s: Column) -> Column:
+        power = F.pow(F.lit(10.0), F.abs(3 - s["e"]))
+        return F.struct(s["v"].alias("v"), s["x"].alias("x"), s["e"].alias("e"), power.alias("c"))
+
+    def scaled(s: Column) -> Column:
+        big = s["e"] > 3
+        q = F.when(big, s["x"] / s["c"]).otherwise(s["x"] * s["c"])
+        # a · c is the product whose rounding error decides a tie
+        a = F.when(big, s["x"] / s["c"]).otherwise(s["x"])
+        return F.struct(
+            s["v"].alias("v"), s["x"].alias("x"), s["e"].alias("e"), s["c"].alias("c"),
+            q.alias("q"), a.alias("a"),
+        )
+
+    def rounded(s: Column) -> Column:
+        a, c, q = s["a"], s["c"], s["q"]
+        whole = F.floor(q)
+
+        def rest() -> Column:
+            ah, ch = upper_half(a), upper_half(c)
+            al, cl = a - ah, c - ch
+            error = (ah * ch - a * c) + ah * cl + al * ch + al * cl
+            return F.when(s["e"] > 3, (s["x"] - a * c) - error).otherwise(error)
+
+        tie = q - whole == 0.5
+        figures = (
+            F.when(~tie, F.bround(q, 0).cast("long"))
+            .when(rest() > 0, whole + 1)
+            .when(rest() < 0, whole)
+            .otherwise(F.bround(q, 0).cast("long"))
         )
-    df = df.withColumns(rounding)
-    digits: dict[str, Column] = {}
-    for i in range(len(columns)):
-        carried = F.col(f"_m{i}") >= 10_000
-        digits[f"_p{i}"] = F.col(f"_e{i}") + carried.cast("int")
-        digits[f"_d{i}"] = F.when(carried, "1000").otherwise(F.col(f"_m{i}").cast("string"))
-    df = df.withColumns(digits)
-    shown: dict[str, Column] = {}
-    for i, (out, name) in enumerate(columns.items()):
-        power, figures = F.col(f"_p{i}"), F.col(f"_d{i}")
-        plain = F.when(
-            power >= 0,
-            F.concat(
-                F.substring(figures, F.lit(1), power + 1),
-                F.lit("."),
-                F.substring(figures, power + 2, F.lit(4)),
-            ),
-        ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures))
-        far = F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, 3))
+        return F.struct(s["v"].alias("v"), s["e"].alias("e"), figures.alias("m"))
+
+    def carried(s: Column) -> Column:
+        over = s["m"] >= 10_000
+        return F.struct(
+            s["v"].alias("v"),
+            (s["e"] + over.cast("int")).alias("p"),
+            F.when(over, "1000").otherwise(s["m"].cast("string")).alias("d"),
+        )
+
+    def shown(s: Column) -> Column:
+        power, digits = s["p"], s["d"]
         near = power.between(-4, 3)
+        # the point sits after this many leading characters
+        padded = F.when(
+            near & (power < 0), F.concat(F.repeat(F.lit("0"), -power), digits)
+        ).otherwise(digits)
+        before = F.when(near & (power >= 0), power + 1).otherwise(F.lit(1))
+        body = F.concat(
+            F.substring(padded, F.lit(1), before), F.lit("."), F.substring(padded, before + 1, F.lit(8))
+        )
         # zeros after the point go, and the point with them
-        body = F.regexp_replace(F.when(near, plain).otherwise(far), r"\.?0*$", "")
+        trimmed = F.rtrim(F.rtrim(body, F.lit("0")), F.lit("."))
         tail = F.when(near, "").otherwise(
             F.concat(
                 F.when(power < 0, "e-").otherwise("e+"),
                 F.lpad(F.abs(power).cast("string"), 2, "0"),
             )
         )
-        sign = F.when(F.col(name) < 0, "-").otherwise("")
-        shown[out] = F.when(F.col(f"_x{i}") == 0, "0").otherwise(F.concat(sign, body, tail))
-    made = df.withColumns(shown)
-    helpers = [f"_{p}{i}" for p in ("x", "e", "big", "c", "q", "ch", "a", "ah", "m", "p", "d") for i in range(len(columns))]
-    return made.drop(*helpers)
+        sign = F.when(s["v"] < 0, "-").otherwise("")
+        return F.when(s["v"] == 0, "0").otherwise(F.concat(sign, trimmed, tail))
+
+    result = values.cast("array<double>")
+    for stage in (size, scale, scaled, rounded, carried, shown):
+        result = F.transform(result, stage)
+    return result
 
 
 def with_narrative(df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """Add ``name = value; name = value`` with four significant figures."""
     floats = [c for c in features if isinstance(df.schema[c].dataType, _FLOATS)]
-    shown = with_four_figures(df, {f"_shown_{c}": c for c in floats})
+    shown = df
+    if floats:
+        values = F.array(*[F.col(c).cast("double") for c in floats])
+        shown = df.withColumn("_shown", four_figures(values))
 
     def cell(name: str) -> Column:
-        text = F.col(f"_shown_{name}") if name in floats else F.col(name).cast("string")
+        if name in floats:
+            text = F.col("_shown")[floats.index(name)]
+        else:
+            text = F.col(name).cast("string")
         return F.concat(F.lit(f"{name} = "), F.coalesce(text, F.lit("nan")))
 
     text = F.concat_ws("; ", *[cell(c) for c in features])
-    return shown.withColumn(out, text).drop(*[f"_shown_{c}" for c in floats])
+    return shown.withColumn(out, text).drop("_shown")
 
 
 def with_row_text(df: DataFrame, features: Sequence[str], form: str, out: str) -> DataFrame:

@@ -201,7 +201,8 @@ def knn_mutual_information(
             padded = np.concatenate([np.full(k, -np.inf), v, np.full(k, np.inf)])
             near = np.lib.stride_tricks.sliding_window_view(padded, 2 * k + 1)
             gaps = np.abs(near - v[:, None])
-            radius = np.nextafter(np.partition(gaps, k, axis=1)[:, k], 0)
+            # just below the k-th distance, with room for the rounding of v ± radius
+            radius = np.partition(gaps, k, axis=1)[:, k] - 1e-14 * np.maximum(1.0, np.abs(v))
             inside = np.searchsorted(everything, v + radius, "right") - np.searchsorted(
                 everything, v - radius, "left"
             )

@@ -8,14 +8,15 @@ from gridvigil.functions import texts
 from gridvigil.functions.statistics import request_key
 from gridvigil.operators import ensembles, prompts, sampling
 from gridvigil.plans.detections import rounded
-from gridvigil.plans.registry import query, table
+from gridvigil.plans.registry import query, spread, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
 
 
 def flows(spark, sf):
-    return table(spark, sf, "lineitem").select(*_KEYS, *FEATURES, "l_linestatus", "l_returnflag")
+    rows = table(spark, sf, "lineitem")
+    return spread(rows.select(*_KEYS, *FEATURES, "l_linestatus", "l_returnflag"))
 
 
 @query(

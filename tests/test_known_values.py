@@ -85,7 +85,7 @@ def test_four_figures_like_c(spark):
     values += (rng.normal(size=300) * 10.0 ** rng.integers(-7, 9, 300)).tolist()
     values += np.round(rng.random(300) * 1000, 2).tolist()
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    rows = texts.with_four_figures(df, {"shown": "x"}).collect()
+    rows = df.withColumn("shown", texts.four_figures(F.array("x"))[0]).collect()
     assert [r["shown"] for r in rows] == [f"{r['x']:.4g}" for r in rows]
 
 
