@@ -52,8 +52,8 @@ def cutoffs(
 ) -> DataFrame | None:
     """Per stratum the (key, tie) of the last row inside its quota.
 
-    ``quota`` maps the class counts (strata, n) to (strata, target). ``key`` is a long,
-    ``tie`` settles equal keys. None means there are more strata than ``MAX_STRATA``.
+    ``quota`` adds ``target`` to the class counts (strata, n, …). ``key`` is a long, ``tie``
+    settles equal keys. None means there are more strata than ``MAX_STRATA``.
     """
     spark = df.sparkSession
     strata = list(strata)
@@ -64,12 +64,11 @@ def cutoffs(
     bounded = collect_bounded(counts, MAX_STRATA)
     if bounded is None:
         return None
-    counts = spark.createDataFrame(bounded, counts.schema)
+    # One small partition: the quota's windows and joins need no shuffle.
+    counts = spark.createDataFrame(bounded, counts.schema).coalesce(1)
     schema = counts.select(*strata, F.col("_lo"), F.col("_hi"), F.col("n").alias("_need"))
-    targets = quota(counts.select(*strata, "n"))
-    wanted = counts.join(F.broadcast(targets.drop("n")), strata)
     done, open_ranges = [], []
-    for row in wanted.select(*strata, "_lo", "_hi", "n", "target").collect():
+    for row in quota(counts).collect():
         name = tuple(row[s] for s in strata)
         target = int(row["target"] or 0)
         if target <= 0:
