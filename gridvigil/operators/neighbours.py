@@ -134,16 +134,42 @@ def nearest(
     )
     assigned = base.mapInPandas(assign, schema)
 
-    # Statistics per cell: MAX_PIVOTS cells per group, k distances each.
-    place = Window.partitionBy("_group", "_pivot")
-    close = assigned.select(
-        "_group", "_pivot", "_far", F.row_number().over(place.orderBy("_far")).alias("_rn")
-    ).where(F.col("_rn") <= wanted)
-    ranges = assigned.groupBy("_group", "_pivot").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_far").alias("_low"), F.max("_far").alias("_high")
+    # Statistics per cell: MAX_PIVOTS cells per group, k distances each. A task sends a few
+    # numbers per cell and batch, so the points are not shuffled for them.
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            dist = _distances(_stack(batch["_vec"]), pivots)
+            found = pd.DataFrame(
+                {"_group": batch["_group"], "_pivot": dist.argmin(axis=1).astype("int32"), "_far": dist.min(axis=1)}
+            )
+            grouped = found.groupby(["_group", "_pivot"], sort=False)["_far"]
+            rows = [
+                (g, p, len(v), v.min(), v.max(), np.sort(v.to_numpy())[:wanted].tolist())
+                for (g, p), v in grouped
+            ]
+            yield pd.DataFrame(rows, columns=["_group", "_pivot", "_n", "_low", "_high", "_near"])
+
+    summary = base.select("_vec", "_group").mapInPandas(
+        summarise,
+        "_group string, _pivot int, _n long, _low double, _high double, _near array<double>",
+    )
+    summary = summary.persist()
+    place = Window.partitionBy("_group", "_pivot").orderBy("_far")
+    close = (
+        summary.select("_group", "_pivot", F.explode("_near").alias("_far"))
+        .withColumn("_rn", F.row_number().over(place))
+        .where(F.col("_rn") <= wanted)
+    )
+    ranges = summary.groupBy("_group", "_pivot").agg(
+        F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    )
+    nearest_far = close.groupBy("_group", "_pivot").agg(
+        F.sort_array(F.collect_list("_far")).alias("_near")
     )
-    nearest_far = close.groupBy("_group", "_pivot").agg(F.sort_array(F.collect_list("_far")).alias("_near"))
     stats = collect_bounded(ranges.join(nearest_far, ["_group", "_pivot"]), MAX_CELLS)
+    summary.unpersist()
     if stats is None:
         raise ValueError(f"more than {MAX_CELLS} cells: too many groups")
     stats.sort(key=lambda r: (r["_group"], r["_pivot"]))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import collect_bounded, local_table
+from gridvigil.functions.bounded import broadcast_if_small, collect_bounded, local_table
 from gridvigil.functions.hashing import draw_number, row_digest
 
 GROUP_LIMIT = 1000
@@ -346,7 +346,7 @@ def chronological_split(
         return counted.withColumn("target", F.greatest(cut, F.lit(0)).cast("long"))
 
     usable = early(counts).where((F.col("target") > 0) & (F.col("target") < F.col("n")))
-    kept = df.join(F.broadcast(usable.select(label)), label, "left_semi")
+    kept = df.join(broadcast_if_small(usable.select(label), MAX_STRATA), label, "left_semi")
     timed = kept.withColumn("_when", F.col(order_col).cast("long")).withColumn("_no_tie", F.lit(""))
     flagged = mark_lowest(timed, [label], early, key="_when", tie="_no_tie", out="_early")
     late = flagged.where(~F.col("_early"))

@@ -209,19 +209,67 @@ def smote_class_sizes(spark, sf):
     )
 
 
-@query("smote_rows")
+#: distances between all rows, and the k nearest rows of the same class
+_OVER_SQL = """i AS (SELECT vec_id AS id, embedding, CASE WHEN label IN (0, 1) THEN 'c' || label ELSE 'rest' END AS label FROM embeddings),
+  sizes AS (SELECT label, count(*) AS n FROM i GROUP BY label),
+  kk AS (SELECT greatest(1, least(5, min(n) - 1)) AS k, max(n) AS top FROM sizes),
+  small AS (SELECT i.*, top - n AS missing FROM i JOIN sizes USING (label), kk WHERE n < top),
+  d AS (SELECT a.id, b.id AS nid, a.label, b.label AS nlabel, sqrt(list_sum(list_transform(range(1, 65),
+      lambda j: pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2)))) AS dist
+    FROM small a, i b WHERE a.id <> b.id),
+  near AS (SELECT id, list(nid ORDER BY dist, nid) AS nids FROM (SELECT * FROM d WHERE label = nlabel
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nid) <= (SELECT k FROM kk)) GROUP BY id)"""
+
+
+def _made_sql(base: str) -> str:
+    """Synthetic rows from ``base`` (id, embedding, label, copies)."""
+    return f"""cp AS (SELECT b.id, b.embedding, b.label, unnest(range(b.copies)) AS copy FROM {base} b WHERE b.copies > 0),
+  ch AS (SELECT cp.*, nids[CAST(CAST('0x' || substr(md5(concat('42:', id, ':', copy)), 1, 15) AS BIGINT) % len(nids) + 1 AS INT)] AS nid,
+      CAST('0x' || substr(md5(concat('43:', id, ':', copy)), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE AS gap
+    FROM cp JOIN near USING (id))
+  SELECT ch.id AS base, copy, nid AS neighbour, ch.label, round(list_sum(list_transform(range(1, 65),
+      lambda j: ch.embedding[j]::DOUBLE + gap * (e.embedding[j]::DOUBLE - ch.embedding[j]::DOUBLE))), 6) AS total
+  FROM ch JOIN i e ON e.id = nid
+  UNION ALL SELECT id, NULL, NULL, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) FROM i"""
+
+
+_EVEN_SQL = """even AS (SELECT b.id, b.embedding, b.label, missing // count(*) OVER (PARTITION BY label)
+    + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', b.id))) <= missing % count(*) OVER (PARTITION BY label)
+      THEN 1 ELSE 0 END AS copies FROM {base} b)"""
+
+
+def _shares_sql(k: str) -> str:
+    return f"""sh AS (SELECT id, avg(CASE WHEN label <> nlabel THEN 1 ELSE 0 END) AS share FROM (SELECT * FROM d
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nid) <= {k}) GROUP BY id)"""
+
+
+def _totals(made):
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return made.select("base", "copy", "neighbour", "label", F.round(total, 6).alias("total"))
+
+
+@query("smote_rows", f"WITH {_OVER_SQL}, {_EVEN_SQL.format(base='small')}, {_made_sql('even')}")
 def smote_rows(spark, sf):
-    return oversampling.balance(imbalanced(spark, sf), "label", "smote")
+    return _totals(oversampling.balance(imbalanced(spark, sf), "label", "smote"))
 
 
-@query("borderline_smote_rows")
+@query(
+    "borderline_smote_rows",
+    f"""WITH {_OVER_SQL}, {_shares_sql("10")}, danger AS (SELECT small.* FROM small JOIN sh USING (id) WHERE share >= 0.5 AND share < 1),
+    {_EVEN_SQL.format(base="danger")}, {_made_sql("even")}""",
+)
 def borderline_smote_rows(spark, sf):
-    return oversampling.balance(imbalanced(spark, sf), "label", "borderline")
+    return _totals(oversampling.balance(imbalanced(spark, sf), "label", "borderline"))
 
 
-@query("adasyn_rows")
+@query(
+    "adasyn_rows",
+    f"""WITH {_OVER_SQL}, {_shares_sql("(SELECT k FROM kk)")}, prop AS (SELECT small.id, embedding, small.label,
+      CAST(round_even(share * (missing / sum(share) OVER (PARTITION BY small.label)), 0) AS BIGINT) AS copies FROM small JOIN sh USING (id)),
+    {_made_sql("prop")}""",
+)
 def adasyn_rows(spark, sf):
-    return oversampling.balance(imbalanced(spark, sf), "label", "adasyn")
+    return _totals(oversampling.balance(imbalanced(spark, sf), "label", "adasyn"))
 
 
 def _train_and_predict(spark, sf, estimator, balanced=True, binary=False):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridvigil.functions import texts
+from gridvigil.functions.bounded import broadcast_if_small
 from gridvigil.functions.statistics import request_key
 from gridvigil.operators import ensembles, prompts, sampling
 from gridvigil.plans.detections import rounded
@@ -74,7 +75,7 @@ def prompt_assembly(spark, sf):
     seeds = [42, 43]
     shots = sampling.per_class(events, "label", 5, ["event_id"], seeds)
     rest = sampling.with_seeds(events, seeds, ["event_id"]).join(
-        F.broadcast(shots.select("seed", "event_id")), ["seed", "event_id"], "left_anti"
+        broadcast_if_small(shots.select("seed", "event_id")), ["seed", "event_id"], "left_anti"
     )
     made = prompts.prompt_table(
         shots, rest, ["seed"], ["value", "user_id"], "label", "typed-json", "digest", "swat"
