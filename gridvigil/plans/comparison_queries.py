@@ -318,14 +318,21 @@ def rank_sum_u(spark, sf):
     return comparison.rank_sum(yearly_scores(spark, sf), ["dataset"], "f1", "alpha").drop("p")
 
 
-@query("rank_sum_test")
+@query(
+    "rank_sum_test",
+    f"""WITH {_U_SQL}, z AS (SELECT *, (greatest(u, n_model * n_reference - u) - n_model * n_reference / 2 - 0.5) / sqrt(
+        n_model * n_reference / 12 * ((n_model + n_reference + 1)
+          - tie_term / ((n_model + n_reference) * (n_model + n_reference - 1)))) AS zz FROM us)
+    SELECT dataset, model, u::DOUBLE AS u, n_model, n_reference, tie_term::DOUBLE AS tie_term,
+      round(least(1, {erfc_sql("(zz / sqrt(2::DOUBLE))")}), 9) AS p FROM z""",
+)
 def rank_sum_test(spark, sf):
     result = comparison.rank_sum(yearly_scores(spark, sf), ["dataset"], "f1", "alpha")
     return rounded(result, ["p"])
 
 
 _CLS_SQL = f"""WITH {DETECTIONS_SQL}, {metrics_sql("model, seed")},
-seen AS (SELECT model, seed, class AS cls, f1 FROM cls WHERE support > 0),
+seen AS (SELECT model, seed, class AS cls, round(f1, 12) AS f1 FROM cls WHERE support > 0),
 {_bootstrap_sql("seen", "model, cls", "f1", "seed", 500)}"""
 
 
@@ -342,8 +349,28 @@ def class_f1_intervals(spark, sf):
     return rounded(result, ["mean", "lo", "hi", "delta"])
 
 
-@query("class_f1_comparison")
+#: two-sided p of U = 5 … 9 for three against three values without ties
+_EXACT_3_3 = "CASE greatest(u, 9 - u) WHEN 9 THEN 0.1 WHEN 8 THEN 0.2 WHEN 7 THEN 0.4 WHEN 6 THEN 0.7 ELSE 1.0 END"
+_ZZ = """((greatest(u, 9 - u) - 5) / sqrt(9 / 12 * (7 - tie_term / 30)) / sqrt(2::DOUBLE))"""
+
+
+@query(
+    "class_f1_comparison",
+    f"""{_CLS_SQL},
+    sides AS (SELECT cls, model, f1, 1 AS own FROM seen WHERE model <> 'alpha'
+      UNION ALL SELECT r.cls, m.model, r.f1, 0 FROM seen r, (VALUES ('beta'), ('gamma'), ('delta')) m(model) WHERE r.model = 'alpha'),
+    vals AS (SELECT cls, model, f1, sum(own) AS pos, sum(1 - own) AS neg FROM sides GROUP BY ALL),
+    cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls, model ORDER BY f1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM vals),
+    us AS (SELECT cls, model, sum(pos * (below + neg / 2)) AS u, sum(pow(pos + neg, 3) - (pos + neg)) AS tie_term FROM cum GROUP BY ALL),
+    ps AS (SELECT cls, model, round(CASE WHEN tie_term = 0 THEN {_EXACT_3_3} ELSE least(1, {erfc_sql(_ZZ)}) END, 9)::DOUBLE AS p FROM us)
+    SELECT model, cls AS "class", round(mean, 9) AS mean, bn AS n, round(lo, 9) AS lo, round(hi, 9) AS hi,
+      round(mean - max(CASE WHEN model = 'alpha' THEN mean END) OVER (PARTITION BY cls), 9) AS delta, p
+    FROM bs JOIN boot USING (model, cls) LEFT JOIN ps USING (model, cls)""",
+)
 def class_f1_comparison(spark, sf):
     run = ["model", "seed"]
     scores = scoring.class_scores(scoring.confusion_counts(detections(spark, sf), run), run)
-    return comparison.class_f1_comparison(scores, [], "alpha", 500)
+    # values that differ only in the last bits are one value, as in the SQL
+    scores = rounded(scores, ["f1"], 12)
+    result = comparison.class_f1_comparison(scores, [], "alpha", 500)
+    return rounded(result, ["mean", "lo", "hi", "delta", "p"])

@@ -95,6 +95,24 @@ def principal_components(spark, sf):
     return features.principal_components(vector_columns(spark, sf), names, 25)
 
 
+@query(
+    "principal_components_of_two",
+    """WITH x AS (SELECT o_orderkey, o_totalprice AS a, o_totalprice + o_custkey * 100 AS b FROM orders),
+    s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM x)
+    SELECT o_orderkey, round(((a - ma) / sa + (b - mb) / sb) / sqrt(2), 6) AS "PC1",
+      round(abs((a - ma) / sa - (b - mb) / sb) / sqrt(2), 6) AS "PC2" FROM x, s""",
+)
+def principal_components_of_two(spark, sf):
+    """Two correlated columns have the components (1, 1) and (1, -1); the second's sign is free."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.col("o_totalprice").alias("a"),
+        (F.col("o_totalprice") + F.col("o_custkey") * 100).alias("b"),
+    )
+    made = features.principal_components(rows, ["a", "b"], 2)
+    return rounded(made.withColumn("PC2", F.abs("PC2")), ["PC1", "PC2"], 6)
+
+
 @query("aligned_feature_spaces")
 def aligned_feature_spaces(spark, sf):
     flow = flows(spark, sf).select("l_orderkey", *FEATURES)
