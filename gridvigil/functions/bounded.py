@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from gridvigil.session import ensure_checkpoint_dir
+
 
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row] | None:
     """Rows of ``df`` when there are at most ``max_rows`` of them, else None."""
@@ -30,6 +32,15 @@ def settle(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder.
+
+    For a costly result that several jobs read; it survives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     """Small table made on the driver, marked for broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -120,6 +120,8 @@ def drop_repeats(df: DataFrame, columns: Sequence[str], order_col: str | None =
     if order_col is None:
         return df.dropDuplicates(list(columns))
     rest = [c for c in df.columns if c not in columns and c != order_col]
+    if not rest:
+        return df.groupBy(*columns).agg(F.min(order_col).alias(order_col)).select(*df.columns)
     first = F.min(F.struct(order_col, *rest)).alias("_first")
     return df.groupBy(*columns).agg(first).select(
         *[F.col(c) if c in columns else F.col(f"_first.{c}").alias(c) for c in df.columns]

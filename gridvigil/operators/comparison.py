@@ -138,7 +138,8 @@ def paired_predictions(
 ) -> DataFrame:
     """Rows both detectors scored, with ``a_…`` and ``b_…`` columns.
 
-    One aggregate by row key does the work of a self join with a single shuffle.
+    One aggregate by row key does the work of a self join with a single shuffle. The rows
+    are moved before they are combined: with two rows per key, combining first saves nothing.
     """
 
     def side(model: str) -> Column:
@@ -147,6 +148,7 @@ def paired_predictions(
 
     both = (
         df.where(F.col(model_col).isin(first, second))
+        .repartition(*keys)
         .groupBy(*keys)
         .agg(F.max(y_true).alias("y_true"), side(first).alias("_a"), side(second).alias("_b"))
         .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())

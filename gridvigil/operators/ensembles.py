@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridvigil.functions.bounded import broadcast_if_small
-from gridvigil.operators.scoring import class_scores, confusion_counts, detection_metrics
+from gridvigil.operators.scoring import (
+    class_scores,
+    confusion_counts,
+    detection_metrics,
+    fill_missing_prediction,
+)
 
 # --- fixed values: confidence thresholds of the cascade sweep ---
 TAUS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
@@ -33,20 +38,11 @@ def cascade(pairs: DataFrame, taus: Sequence[float] = TAUS, conf: str = "a_conf"
 
 def combined_metrics(combined: DataFrame, run: Sequence[str], class_set: str = "true") -> DataFrame:
     """Metrics of a router or cascade with the share of rows sent to the second detector."""
-    counts = (
-        combined.groupBy(
-            *run,
-            "y_true",
-            F.coalesce("y_pred", F.lit("<NONE>")).alias("y_pred"),
-            "asked",
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    share = counts.groupBy(*run).agg(
-        (F.sum(F.when(F.col("asked"), F.col("n")).otherwise(0)) / F.sum("n")).alias("asked_share")
-    )
-    merged = counts.groupBy(*run, "y_true", "y_pred").agg(F.sum("n").alias("n"))
-    return detection_metrics(merged, run, class_set=class_set).join(share, list(run))
+    counts = combined.groupBy(
+        *run, "y_true", fill_missing_prediction("y_pred").alias("y_pred")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asked").cast("long")).alias("asked_n"))
+    metrics = detection_metrics(counts, run, class_set=class_set, carry=["asked_n"])
+    return metrics.withColumn("asked_share", F.col("asked_n") / F.col("n")).drop("asked_n")
 
 
 def oracle_choice(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import collect_bounded, local_table
+from gridvigil.functions.bounded import collect_bounded, local_table, materialise
 from gridvigil.functions.hashing import draw_number, row_digest, unit_draw
 from gridvigil.operators.neighbours import nearest
 from gridvigil.operators.sampling import MAX_STRATA, class_counts, mark_lowest, with_draw
@@ -131,7 +131,9 @@ def borderline_smote(
     missing = {c: top - n for c, n in sizes.items()}
     small = df.where(F.col(label).isin([c for c, m in missing.items() if m > 0]))
     shared = _other_share(df, small, label, id_col, vector, BORDERLINE_NEIGHBOURS)
-    danger = shared.where((F.col("other_share") >= 0.5) & (F.col("other_share") < 1.0)).drop("other_share")
+    danger = materialise(
+        shared.where((F.col("other_share") >= 0.5) & (F.col("other_share") < 1.0)).drop("other_share")
+    )
     bases = _spread_evenly(danger, label, id_col, missing, seed)
     new = _interpolate(bases, df, label, id_col, vector, _neighbour_count(sizes), seed)
     return _with_originals(df, new, label, id_col, vector)
@@ -146,7 +148,7 @@ def adasyn(
     missing = {c: top - n for c, n in sizes.items()}
     k = _neighbour_count(sizes)
     small = df.where(F.col(label).isin([c for c, m in missing.items() if m > 0]))
-    shared = _other_share(df, small, label, id_col, vector, k)
+    shared = materialise(_other_share(df, small, label, id_col, vector, k))
     totals = {
         r[0]: r[1] for r in shared.groupBy(label).agg(F.sum("other_share")).limit(MAX_STRATA).collect()
     }

@@ -49,8 +49,8 @@ def class_counts(df: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 def cutoffs(
     df: DataFrame, strata: Sequence[str], quota: Quota, key: str = "draw", tie: str = "digest"
-) -> DataFrame | None:
-    """Per stratum the (key, tie) of the last row inside its quota.
+) -> tuple[list[tuple], object] | None:
+    """Per stratum the (key, tie) of the last row inside its quota, and the table schema.
 
     ``quota`` adds ``target`` to the class counts (strata, n, …). ``key`` is a long, ``tie``
     settles equal keys. None means there are more strata than ``MAX_STRATA``.
@@ -92,7 +92,7 @@ def cutoffs(
     result = counts.select(*strata, F.col("_hi").alias("_cut_key")).withColumn(
         "_cut_tie", F.lit("").cast("string")
     )
-    return local_table(spark, done, _nullable(result.schema))
+    return done, _nullable(result.schema)
 
 
 def _nullable(schema):
@@ -144,12 +144,14 @@ def mark_lowest(
     out: str = "taken",
 ) -> DataFrame:
     """Flag, per stratum, the ``target`` rows with the lowest (key, tie)."""
-    if not strata:
-        whole = df.withColumn("_whole", F.lit(0))
-        return mark_lowest(whole, ["_whole"], quota, key, tie, out).drop("_whole")
     strata = list(strata)
-    table = cutoffs(df, strata, quota, key, tie)
-    if table is None:
+    if not strata:
+        found = cutoffs(df.withColumn("_whole", F.lit(0)), ["_whole"], quota, key, tie)
+        rows = found[0]
+        cut_key, cut_tie = rows[0][1:] if rows else (None, None)
+        return df.withColumn(out, _below(key, tie, F.lit(cut_key), F.lit(cut_tie)))
+    found = cutoffs(df, strata, quota, key, tie)
+    if found is None:
         targets = quota(class_counts(df, strata))
         ranked = df.withColumn("_rn", F.row_number().over(_per(strata).orderBy(key, tie)))
         return (
@@ -157,11 +159,14 @@ def mark_lowest(
             .withColumn(out, F.coalesce(F.col("_rn") <= F.col("target"), F.lit(False)))
             .drop("_rn", "target")
         )
-    joined = df.join(table, strata, "left")
-    below = (F.col(key) < F.col("_cut_key")) | (
-        (F.col(key) == F.col("_cut_key")) & (F.col(tie) <= F.col("_cut_tie"))
-    )
-    return joined.withColumn(out, F.coalesce(below, F.lit(False))).drop("_cut_key", "_cut_tie")
+    joined = df.join(local_table(df.sparkSession, *found), strata, "left")
+    below = _below(key, tie, F.col("_cut_key"), F.col("_cut_tie"))
+    return joined.withColumn(out, below).drop("_cut_key", "_cut_tie")
+
+
+def _below(key: str, tie: str, cut_key: Column, cut_tie: Column) -> Column:
+    below = (F.col(key) < cut_key) | ((F.col(key) == cut_key) & (F.col(tie) <= cut_tie))
+    return F.coalesce(below, F.lit(False))
 
 
 def take_lowest(df: DataFrame, strata: Sequence[str], quota: Quota, **keys) -> DataFrame:

@@ -46,89 +46,104 @@ def normalised_confusion(counts: DataFrame, run: Sequence[str]) -> DataFrame:
     return counts.withColumn("share", _ratio(F.col("n"), F.sum("n").over(row)))
 
 
-def class_scores(counts: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Precision, recall, F1 and support of every true or predicted label."""
+def _class_sums(
+    counts: DataFrame, run: Sequence[str], normal_label: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(run, class, support, predicted, hits, alarms, carried sums) in one aggregate.
+
+    Every confusion cell speaks for its true class and for its predicted class. ``alarms``
+    are rows of the true class that were predicted as anything but normal.
+    """
     zero = F.lit(0).cast("long")
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(zero)
-    roles = F.array(
-        F.struct(
-            F.col("y_true").alias("class"),
-            F.col("n").alias("support"),
-            zero.alias("predicted"),
-            hit.alias("hits"),
-        ),
-        F.struct(
-            F.col("y_pred").alias("class"),
-            zero.alias("support"),
-            F.col("n").alias("predicted"),
-            zero.alias("hits"),
-        ),
+    n, same = F.col("n"), F.col("y_true") == F.col("y_pred")
+    as_true = F.struct(
+        F.col("y_true").alias("class"),
+        n.alias("support"),
+        zero.alias("predicted"),
+        F.when(same, n).otherwise(zero).alias("hits"),
+        F.when(F.col("y_pred") != normal_label, n).otherwise(zero).alias("alarms"),
+        *[F.col(c).cast("long").alias(c) for c in carry],
+    )
+    as_predicted = F.struct(
+        F.col("y_pred").alias("class"),
+        zero.alias("support"),
+        n.alias("predicted"),
+        zero.alias("hits"),
+        zero.alias("alarms"),
+        *[zero.alias(c) for c in carry],
     )
-    sums = (
-        counts.select(*run, F.inline(roles))
+    sums = ("support", "predicted", "hits", "alarms", *carry)
+    return (
+        counts.select(*run, F.inline(F.array(as_true, as_predicted)))
         .groupBy(*run, "class")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
-    return sums.select(
-        *run,
-        "class",
-        "support",
-        "predicted",
-        "hits",
-        _ratio(F.col("hits"), F.col("predicted")).alias("precision"),
-        _ratio(F.col("hits"), F.col("support")).alias("recall"),
-        _ratio(2 * F.col("hits"), F.col("predicted") + F.col("support")).alias("f1"),
+
+
+def _with_scores(sums: DataFrame) -> DataFrame:
+    return sums.withColumns(
+        {
+            "precision": _ratio(F.col("hits"), F.col("predicted")),
+            "recall": _ratio(F.col("hits"), F.col("support")),
+            "f1": _ratio(2 * F.col("hits"), F.col("predicted") + F.col("support")),
+        }
     )
 
 
+def class_scores(counts: DataFrame, run: Sequence[str]) -> DataFrame:
+    """Precision, recall, F1 and support of every true or predicted label."""
+    return _with_scores(_class_sums(counts, run, "")).drop("alarms")
+
+
 def detection_metrics(
     counts: DataFrame,
     run: Sequence[str],
     normal_label: str = "Normal",
     class_set: str = "union",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row of metrics per run.
 
     ``class_set`` picks the labels of the macro averages: ``union`` of true and predicted
-    labels, or ``true`` labels only.
+    labels, or ``true`` labels only. ``carry`` names count columns to sum along.
     """
     if class_set not in ("union", "true"):
         raise ValueError("class_set is 'union' or 'true'")
-    scores = class_scores(counts, run)
+    scores = _with_scores(_class_sums(counts, run, normal_label, carry))
     is_true = F.col("support") > 0
     counted = is_true if class_set == "true" else F.lit(True)
+    normal = F.col("class") == normal_label
     size = F.sum("support")
-    weighted = lambda name: (F.sum(F.col(name) * F.col("support")) / size).alias(
-        f"weighted_{name}"
+
+    def macro(name: str) -> Column:
+        return F.avg(F.when(counted, F.col(name))).alias(f"macro_{name}")
+
+    def weighted(name: str) -> Column:
+        return (F.sum(F.col(name) * F.col("support")) / size).alias(f"weighted_{name}")
+
+    def among(name: str, rule: Column) -> Column:
+        return F.sum(F.when(rule, F.col(name)).otherwise(0))
+
+    def product(a: str, b: str) -> Column:
+        return F.sum(F.col(a).cast("double") * F.col(b).cast("double"))
+
+    shown = ("precision", "recall", "f1")
+    total, right = size.cast("double"), F.sum("hits").cast("double")
+    spread = (total * total - product("predicted", "predicted")) * (
+        total * total - product("support", "support")
     )
-    macro = lambda name: F.avg(F.when(counted, F.col(name))).alias(f"macro_{name}")
-    as_double = lambda name: F.col(name).cast("double")
-    by_class = scores.groupBy(*run).agg(
+    covariance = right * total - product("support", "predicted")
+    return scores.groupBy(*run).agg(
         size.alias("n"),
         _ratio(F.sum("hits"), size).alias("accuracy"),
         F.avg(F.when(is_true, F.col("recall"))).alias("balanced_accuracy"),
-        *[macro(m) for m in ("precision", "recall", "f1")],
-        *[weighted(m) for m in ("precision", "recall", "f1")],
-        F.sum("hits").cast("double").alias("_c"),
-        size.cast("double").alias("_s"),
-        F.sum(as_double("support") * as_double("predicted")).alias("_tp"),
-        F.sum(as_double("predicted") * as_double("predicted")).alias("_pp"),
-        F.sum(as_double("support") * as_double("support")).alias("_tt"),
-    )
-    spread = (F.col("_s") ** 2 - F.col("_pp")) * (F.col("_s") ** 2 - F.col("_tt"))
-    mcc = F.when(
-        spread > 0, (F.col("_c") * F.col("_s") - F.col("_tp")) / F.sqrt(spread)
-    ).otherwise(F.lit(0.0))
-    by_class = by_class.withColumn("mcc", mcc).drop("_c", "_s", "_tp", "_pp", "_tt")
-
-    normal = F.col("y_true") == normal_label
-    alarm = F.col("y_pred") != normal_label
-    tally = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
-    alarms = counts.groupBy(*run).agg(
-        _ratio(tally(normal & alarm), tally(normal), None).alias("far"),
-        _ratio(tally(~normal & alarm), tally(~normal), None).alias("dr"),
+        *[macro(m) for m in shown],
+        *[weighted(m) for m in shown],
+        F.when(spread > 0, covariance / F.sqrt(spread)).otherwise(F.lit(0.0)).alias("mcc"),
+        _ratio(among("alarms", normal), among("support", normal), None).alias("far"),
+        _ratio(among("alarms", ~normal), among("support", ~normal), None).alias("dr"),
+        *[F.sum(c).alias(c) for c in carry],
     )
-    return by_class.join(alarms, list(run)) if run else by_class.join(alarms, F.lit(True))
 
 
 def classification_report(counts: DataFrame, run: Sequence[str]) -> DataFrame:

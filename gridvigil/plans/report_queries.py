@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridvigil.functions.bounded import settle
 from gridvigil.functions.statistics import mean_from_text
 from gridvigil.operators import ensembles, reports, scoring
 from gridvigil.plans.detections import DETECTIONS_SQL, MODELS, detections, metrics_sql, rounded
@@ -17,7 +18,8 @@ _CORE = ["accuracy", "macro_f1", "balanced_accuracy", "mcc", "far", "dr"]
 
 def results(spark, sf):
     counts = scoring.confusion_counts(detections(spark, sf), RUN)
-    return rounded(scoring.detection_metrics(counts, RUN), _CORE, 9)
+    # One row per run: evaluated once, however often a report reads it.
+    return settle(rounded(scoring.detection_metrics(counts, RUN), _CORE, 9))
 
 
 _RES = f"""{_MET}, res AS (SELECT dataset, model, kind, seed, n, round(accuracy, 9) AS accuracy,
