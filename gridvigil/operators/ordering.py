@@ -40,8 +40,10 @@ def with_sort_range(df: DataFrame, name: str, out: str, ranges: int | None = Non
     """Add ``out`` (int), growing with column ``name``; odd ids hold one key value each."""
     ranges = ranges or range_count(df)
     keyed = df.withColumn("_sort_key", numeric_key(df, name))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(keyed.approxQuantile("_sort_key", probabilities, 0.25 / ranges)))
+    shares = [i / ranges for i in range(1, ranges)]
+    accuracy = max(1000, 4 * ranges)
+    found = keyed.agg(F.percentile_approx("_sort_key", shares, accuracy)).first()[0]
+    edges = sorted(set(found or []))
     splits = [-math.inf]
     for edge in edges:
         splits += [edge, math.nextafter(edge, math.inf)]

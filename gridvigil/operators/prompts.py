@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import broadcast_if_small
+from gridvigil.functions.bounded import broadcast_if_small, materialise
 from gridvigil.functions.texts import last_label, with_row_text
 
 # --- fixed values: prompt layout ---
@@ -92,11 +92,12 @@ def score_distinct(
     """Answer each distinct request once and give the answer to all its rows.
 
     ``score`` adds column ``answer``. Used where equal requests have equal answers
-    (temperature 0). The distinct step combines map-side, so one request that makes up
-    much of the table is sent once per task; the join back is split by adaptive
-    execution where such a key is hot.
+    (temperature 0). The distinct step combines map-side, so a request that makes up much
+    of the table is sent once per task. Answers are kept in the checkpoint folder: a lost
+    executor does not ask again. In the join back a hot request is split by adaptive
+    execution.
     """
-    once = score(requests.dropDuplicates([key])).select(key, answer)
+    once = materialise(score(requests.dropDuplicates([key])).select(key, answer))
     return requests.join(once, key)
 
 

@@ -150,21 +150,24 @@ def classification_report(counts: DataFrame, run: Sequence[str]) -> DataFrame:
     """Per class, macro, weighted and accuracy rows in long form."""
     shown = ("precision", "recall", "f1")
     scores = class_scores(counts, run)
-    per_class = scores.select(*run, F.col("class").alias("line"), *shown, "support")
     size = F.sum("support")
-    macro = scores.groupBy(*run).agg(*[F.avg(m).alias(m) for m in shown], size.alias("support"))
-    weighted = scores.groupBy(*run).agg(
+    nothing = F.lit(None).cast("double")
+    macro = F.struct(F.lit("macro avg").alias("line"), *[F.avg(m).alias(m) for m in shown])
+    weighted = F.struct(
+        F.lit("weighted avg").alias("line"),
         *[(F.sum(F.col(m) * F.col("support")) / size).alias(m) for m in shown],
-        size.alias("support"),
     )
-    accuracy = scores.groupBy(*run).agg(
-        _ratio(F.sum("hits"), size).alias("f1"), size.alias("support")
+    accuracy = F.struct(
+        F.lit("accuracy").alias("line"),
+        nothing.alias("precision"),
+        nothing.alias("recall"),
+        _ratio(F.sum("hits"), size).alias("f1"),
     )
-    named = lambda df, name: df.withColumn("line", F.lit(name))
-    return (
-        per_class.unionByName(named(macro, "macro avg"))
-        .unionByName(named(weighted, "weighted avg"))
-        .unionByName(named(accuracy, "accuracy"), allowMissingColumns=True)
+    totals = scores.groupBy(*run).agg(
+        F.array(macro, weighted, accuracy).alias("_lines"), size.alias("support")
+    )
+    return scores.select(*run, F.col("class").alias("line"), *shown, "support").unionByName(
+        totals.select(*run, F.inline("_lines"), "support")
     )
 
 

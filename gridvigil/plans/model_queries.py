@@ -9,6 +9,7 @@ from gridvigil.operators import classifiers, features, neighbours, oversampling,
 from gridvigil.plans import transfer
 from gridvigil.plans.detections import rounded
 from gridvigil.plans.registry import query, spread, table
+from gridvigil.sources.tables import scratch_path
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -339,6 +340,16 @@ def model_scores(spark, sf):
     )
 
 
+@query("saved_model_scores")
+def saved_model_scores(spark, sf):
+    """The detector after a write to and a read from the shared folder."""
+    train = spread(signal(spark, sf))
+    path = scratch_path(spark, "model")
+    classifiers.fit(train, SIGNAL_FEATURES, "label", classifiers.tree(maxDepth=4)).save(path)
+    scored = classifiers.Detector.load(path).predict(signal(spark, sf))
+    return scored.select("o_orderkey", "y_pred", classifiers.attack_score().alias("score"))
+
+
 _PROBA_SQL = """p AS (SELECT o_orderkey, (o_custkey % 10) / 20 AS a, (o_custkey % 7) / 20 AS b,
   1 - (o_custkey % 10) / 20 - (o_custkey % 7) / 20 AS c FROM orders)"""
 
