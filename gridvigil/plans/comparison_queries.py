@@ -94,10 +94,10 @@ def bootstrap_interval(spark, sf):
     return rounded(result, ["mean", "lo", "hi"])
 
 
-#: erfc by Simpson's rule on [x, x + 8] with 2000 steps
+#: erfc by Simpson's rule on [x, x + 8] with 8000 steps
 def erfc_sql(x: str) -> str:
-    return f"""(SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-      * exp(-pow({x} + i * 0.004::DOUBLE, 2))) * 0.004::DOUBLE / 3 * 2 / sqrt(pi()) FROM range(2001) t(i))"""
+    return f"""(SELECT sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp(-pow({x} + i * 0.001::DOUBLE, 2))) * 0.001::DOUBLE / 3 * 2 / sqrt(pi()) FROM range(8001) t(i))"""
 
 
 _PAIR_SQL = f"""{DETECTIONS_SQL},
@@ -135,14 +135,14 @@ _COUNT_SQL = """counted AS (SELECT dataset, seed, y_true AS "class", count(*) AS
       round(acc_a - acc_b, 9) AS delta_acc, round(agreement, 9) AS agreement, b, c,
       CASE WHEN b + c = 0 THEN NULL
         WHEN b + c < 25 THEN round(least(1, (SELECT sum(gamma(b + c + 1) / (gamma(i + 1) * gamma(b + c - i + 1)))
-          FROM range(25) t(i) WHERE i <= least(b, c)) * 2 / pow(2::DOUBLE, b + c)), 9)
-        ELSE round({erfc_sql("sqrt(pow(abs(b - c) - 1, 2) / (b + c) / 2)")}, 9) END AS p
+          FROM range(25) t(i) WHERE i <= least(b, c)) * 2 / pow(2::DOUBLE, b + c)) + 1e-13, 7)
+        ELSE round({erfc_sql("sqrt(pow(abs(b - c) - 1, 2) / (b + c) / 2)")}, 7) END AS p
     FROM counted""",
 )
 def mcnemar_test(spark, sf):
     pairs = beta_gamma(spark, sf).withColumn("class", F.col("y_true"))
     result = comparison.mcnemar(pairs, ["dataset", "seed", "class"])
-    return rounded(result, ["acc_a", "acc_b", "delta_acc", "agreement", "p"])
+    return rounded(rounded(result, ["acc_a", "acc_b", "delta_acc", "agreement"]), ["p"], 7)
 
 
 _ROUTE_SQL = """routed AS (SELECT *, coalesce(a_y_pred IN ('Backdoor', 'CommInj'), FALSE) AS asked,
@@ -324,11 +324,11 @@ def rank_sum_u(spark, sf):
         n_model * n_reference / 12 * ((n_model + n_reference + 1)
           - tie_term / ((n_model + n_reference) * (n_model + n_reference - 1)))) AS zz FROM us)
     SELECT dataset, model, u::DOUBLE AS u, n_model, n_reference, tie_term::DOUBLE AS tie_term,
-      round(least(1, {erfc_sql("(zz / sqrt(2::DOUBLE))")}), 9) AS p FROM z""",
+      round(least(1, {erfc_sql("(zz / sqrt(2::DOUBLE))")}), 7) AS p FROM z""",
 )
 def rank_sum_test(spark, sf):
     result = comparison.rank_sum(yearly_scores(spark, sf), ["dataset"], "f1", "alpha")
-    return rounded(result, ["p"])
+    return rounded(result, ["p"], 7)
 
 
 _CLS_SQL = f"""WITH {DETECTIONS_SQL}, {metrics_sql("model, seed")},
@@ -362,7 +362,7 @@ _ZZ = """((greatest(u, 9 - u) - 5) / sqrt(9 / 12 * (7 - tie_term / 30)) / sqrt(2
     vals AS (SELECT cls, model, f1, sum(own) AS pos, sum(1 - own) AS neg FROM sides GROUP BY ALL),
     cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls, model ORDER BY f1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM vals),
     us AS (SELECT cls, model, sum(pos * (below + neg / 2)) AS u, sum(pow(pos + neg, 3) - (pos + neg)) AS tie_term FROM cum GROUP BY ALL),
-    ps AS (SELECT cls, model, round(CASE WHEN tie_term = 0 THEN {_EXACT_3_3} ELSE least(1, {erfc_sql(_ZZ)}) END, 9)::DOUBLE AS p FROM us)
+    ps AS (SELECT cls, model, round(CASE WHEN tie_term = 0 THEN {_EXACT_3_3} ELSE least(1, {erfc_sql(_ZZ)}) END, 7)::DOUBLE AS p FROM us)
     SELECT model, cls AS "class", round(mean, 9) AS mean, bn AS n, round(lo, 9) AS lo, round(hi, 9) AS hi,
       round(mean - max(CASE WHEN model = 'alpha' THEN mean END) OVER (PARTITION BY cls), 9) AS delta, p
     FROM bs JOIN boot USING (model, cls) LEFT JOIN ps USING (model, cls)""",
@@ -373,4 +373,4 @@ def class_f1_comparison(spark, sf):
     # values that differ only in the last bits are one value, as in the SQL
     scores = rounded(scores, ["f1"], 12)
     result = comparison.class_f1_comparison(scores, [], "alpha", 500)
-    return rounded(result, ["mean", "lo", "hi", "delta", "p"])
+    return rounded(rounded(result, ["mean", "lo", "hi", "delta"]), ["p"], 7)

@@ -264,7 +264,7 @@ def unseen_class_recall(spark, sf):
     "model_comparison",
     f"""{_RES}, runs AS (SELECT model, accuracy, macro_f1, NULL AS error FROM res
       UNION ALL SELECT DISTINCT 'broken', NULL::DOUBLE, NULL::DOUBLE, 'fit failed' FROM res)
-    SELECT model, round(avg(accuracy), 3) AS accuracy, round(avg(macro_f1), 3) AS macro_f1,
+    SELECT model, CAST(printf('%.4f', avg(accuracy)) AS DOUBLE) AS accuracy, CAST(printf('%.4f', avg(macro_f1)) AS DOUBLE) AS macro_f1,
       count(*) FILTER (error IS NULL) AS n_runs,
       CASE WHEN count(*) FILTER (error IS NULL) = 0 THEN min(error) END AS error FROM runs GROUP BY model""",
 )
@@ -276,7 +276,7 @@ def model_comparison(spark, sf):
     runs = good.unionByName(failed, allowMissingColumns=True)
     compared = reports.model_comparison(runs, ["accuracy", "macro_f1"])
     return compared.withColumns(
-        {m: F.round(mean_from_text(F.col(m)), 3) for m in ("accuracy", "macro_f1")}
+        {m: mean_from_text(F.col(m)) for m in ("accuracy", "macro_f1")}
     )
 
 
