@@ -114,6 +114,9 @@ def nearest(
     out_schema = ", ".join(
         [f"_qid {qid_type}", f"_pid {id_type}", "_dist double", *kept_types]
     )
+    if n == 0:
+        empty = f"{query_id} {qid_type}, neighbour {id_type}, distance double, rank int"
+        return spark.createDataFrame([], ", ".join([empty, *kept_types]))
     pivot_count = max(1, min(MAX_PIVOTS, -(-n // point_block)))
     pivots = np.array(
         [list(r[0]) for r in uniform_sample(base, pivot_count, ["_pid"]).select("_vec").collect()],

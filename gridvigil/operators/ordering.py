@@ -37,7 +37,10 @@ def range_count(df: DataFrame) -> int:
 
 
 def with_sort_range(df: DataFrame, name: str, out: str, ranges: int | None = None) -> DataFrame:
-    """Add ``out`` (int), growing with column ``name``; odd ids hold one key value each."""
+    """Add ``out`` (int), growing with column ``name``; odd ids hold one key value each.
+
+    Rows without a key come first, in range -1.
+    """
     ranges = ranges or range_count(df)
     keyed = df.withColumn("_sort_key", numeric_key(df, name))
     shares = [i / ranges for i in range(1, ranges)]
@@ -55,7 +58,7 @@ def with_sort_range(df: DataFrame, name: str, out: str, ranges: int | None = Non
     )
     return (
         bucketizer.transform(keyed)
-        .withColumn(out, F.col("_sort_range").cast("int"))
+        .withColumn(out, F.coalesce(F.col("_sort_range").cast("int"), F.lit(-1)))
         .drop("_sort_key", "_sort_range")
     )
 
@@ -75,13 +78,15 @@ def with_position(
     ranged = with_sort_range(df, order_cols[0], "_r1", ranges)
     if len(order_cols) > 1:
         ranged = with_sort_range(ranged, order_cols[1], "_r2", ranges)
-        ranged = ranged.withColumn("_r2", F.when(F.col("_r1") % 2 == 1, F.col("_r2")).otherwise(0))
+        ranged = ranged.withColumn("_r2", F.when(F.col("_r1") % 2 != 0, F.col("_r2")).otherwise(0))
     else:
         ranged = ranged.withColumn("_r2", F.lit(0))
-    place = [*group_cols, "_r1", "_r2"]
+    # As a struct, a missing group value equals itself, so its rows survive the join.
+    ranged = ranged.withColumn("_group", F.struct(*group_cols) if group_cols else F.lit(0))
+    place = ["_group", "_r1", "_r2"]
     sizes = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
-        Window.partitionBy(*group_cols)
+        Window.partitionBy("_group")
         .orderBy("_r1", "_r2")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -95,5 +100,5 @@ def with_position(
     return (
         ranked.join(offsets, place)
         .withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("long"))
-        .drop("_r1", "_r2", "_offset", "_rank")
+        .drop(*place, "_offset", "_rank")
     )

@@ -195,3 +195,20 @@ def test_bootstrap_covers_the_mean(spark):
     df = spark.range(40).select(F.lit("a").alias("g"), "id", (F.col("id") % 7).cast("double").alias("x"))
     row = bootstrap_interval(df, ["g"], "x", "id", resamples=300).first()
     assert row["lo"] < row["mean"] < row["hi"] and row["n"] == 40
+
+
+def test_positions_keep_rows_without_group_or_key(spark):
+    rows = [(None, 1.0), (None, None), ("a", 2.0), ("a", None), ("a", 1.0), (None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = ordering.with_position(df, ["x"], ["g"], ranges=3).collect()
+    assert sorted((r["g"] or "", r["pos"], r["x"] or -1.0) for r in got) == [
+        ("", 0, -1.0), ("", 1, 0.5), ("", 2, 1.0), ("a", 0, -1.0), ("a", 1, 1.0), ("a", 2, 2.0),
+    ]
+
+
+def test_empty_inputs_give_empty_results(spark):
+    empty = spark.createDataFrame([], "id long, vector array<double>, label string")
+    assert neighbours.nearest(empty, empty, 3).count() == 0
+    assert ordering.with_position(empty, ["id"]).count() == 0
+    assert sampling.uniform_sample(empty, 5, ["id"]).count() == 0
+    assert sampling.prevalence_sample(empty, "label", 5, ["id"]).count() == 0
