@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,27 +68,36 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
 def witnesses(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[set[str]]:
     """For each template a choice of bigrams of which every matching unit holds one.
 
-    Bigrams that many templates share are taken first, so that few serve them all.
+    Bigrams with a long word are taken: these are rare in other text.
     """
-    sets = [bigrams(text) for _, text in templates]
-    shared = Counter(b for s in sets for b in s)
     found = []
-    for own in sets:
+    for _, text in templates:
+        own = bigrams(text)
         need = len(own) - size_bounds(len(own), threshold)[0] + 1
-        found.append(set(sorted(own, key=lambda b: (-shared[b], -len(b), b))[:need]))
+        found.append(set(sorted(own, key=lambda b: (-len(long_word(b)), b))[:need]))
     return found
 
 
+def long_word(bigram: str) -> str:
+    return max(bigram.split(" "), key=len)
+
+
 def normalise(text: Column) -> Column:
     lower = F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
     return F.regexp_replace(lower, "[^a-z0-9\n]+", " ")
 
 
-def any_of(text: Column, wanted: set[str]) -> Column:
-    found = F.lit(False)
-    for bigram in sorted(wanted):
-        found = found | text.contains(bigram)
-    return found
+def holds_any(text: Column, wanted: set[str]) -> Column:
+    """Whether ``text``, which is computed once, contains one of ``wanted``."""
+    least = [w for w in sorted(wanted) if not any(o != w and o in w for o in wanted)]
+
+    def either(value: Column) -> Column:
+        found = F.lit(False)
+        for one in least:
+            found = found | value.contains(one)
+        return found
+
+    return F.exists(F.array(text), either)
 
 
 def scan(
@@ -97,8 +105,9 @@ def scan(
 ) -> DataFrame:
     """One row per matching unit: id, unit kind, number from 0, licence, Dice coefficient."""
     every = set().union(*witnesses(templates, threshold))
-    texts = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("text")).filter(
-        any_of(F.col("text"), every)
+    # Unicode's lower case also lowers A-Z, so no text with a word of a chosen bigram is lost
+    texts = docs.filter(holds_any(F.lower(F.col(text_col)), set(map(long_word, every)))).select(
+        F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("text")
     )
 
     def units(kind: str, separator: str) -> Column:
@@ -119,7 +128,7 @@ def scan(
             lambda a, b: F.concat_ws(" ", a, b),
         )
     )
-    held = single.filter(any_of(F.col("text"), every) & (F.size(words) > 1)).withColumn("pairs", pairs)
+    held = single.filter(holds_any(F.col("text"), every) & (F.size(words) > 1)).withColumn("pairs", pairs)
     known = F.array(
         *(
             F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, own)).alias("own"))

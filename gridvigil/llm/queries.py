@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridvigil.llm import licenses, personal, repetition, secrets, url_rules
+from gridvigil.llm import licenses, packing, personal, repetition, secrets, url_rules
 from gridvigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op6_license_scan": licenses.SQL}
 
 
+def vocabulary() -> str:
+    """File of the byte-level vocabulary the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]):
     QUERIES[function.__name__] = function
     return function
@@ -38,6 +45,14 @@ def span_digest(found: DataFrame, base_kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
