@@ -70,3 +70,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_blobs(df: DataFrame, column: str, path: str, per_file: int | None, end: str) -> None:
+    """Write binary values as files, ``per_file`` values in each, ``end`` behind every value.
+
+    Spark's text sink copies the bytes of a string as they are, so files go wherever Spark
+    can write, and a task that is run again replaces its own files.
+    """
+    text = df.select(df[column].cast("string").alias("value"))
+    writer = text.write.option("lineSep", end)
+    if per_file is not None:
+        writer = writer.option("maxRecordsPerFile", per_file)
+    writer.text(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of every file of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
