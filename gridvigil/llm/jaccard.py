@@ -395,9 +395,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows with a null id stay.
     """
-    found = join(docs, id_col, text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    whole = F.struct(*docs.columns)
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    one = named.groupBy(id_col).agg(F.min_by(whole, F.coalesce(text_col, F.lit(""))).alias("kept_row"))
-    return one.select("kept_row.*").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    found = stored(join(docs, id_col, text_col).filter(F.col(id_col).isNotNull()), "components")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    if gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, id_col, "left_anti")
+    repeated = found.groupBy(id_col).count().filter("count > 1").select(id_col)
+    if repeated.limit(1).count() == 0:
+        return left.select(*docs.columns)
+    one = (
+        left.join(repeated, id_col, "left_semi")
+        .groupBy(id_col)
+        .agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("kept_row"))
+        .select("kept_row.*")
+    )
+    return left.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
