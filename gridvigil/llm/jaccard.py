@@ -286,7 +286,7 @@ def pairs_between(lists: DataFrame, info: DataFrame, labels: DataFrame, every: b
 
         for own in whole_lists(batches):
             ids, n, rest, label = (own.column(i).to_numpy() for i in range(1, 5))
-            bits = np.stack([own.column(i).to_numpy() for i in range(5, 13)], 1)
+            bits = np.stack([own.column(i).to_numpy() for i in range(5, 13)], 1).view(np.uint64)
             entries = {"n": n.astype(np.int64), "rest": rest.astype(np.int64), "label": label, "bits": bits}
             a, b = block_pairs(entries, every)
             low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
