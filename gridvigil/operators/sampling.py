@@ -1,10 +1,11 @@
 """Reproducible samples, splits and class weights.
 
-Every random choice uses the hash order of ``functions.hashing``. Small per-class draws
-(k up to ``GROUP_LIMIT``) are a rank window, which Spark trims per task before the
-shuffle. Larger quotas never rank a whole class: ``cutoffs`` finds, by counting in
-ever narrower ranges, the key value at which each class reaches its quota, and the sample
-is then a filter on the original scan with no shuffle of the rows.
+Every random choice uses the hash order of ``functions.hashing``. No quota, however large,
+ranks a whole class: ``cutoffs`` finds, by counting in ever narrower ranges, the key value at
+which each class reaches its quota, and the sample is then a filter on the original scan with
+no shuffle of the rows. A draw is uniform, so its first counting pass, which also counts the
+classes, already tells the range. A null label is a class like any other. Of rows whose keys
+are equal, as many are taken as the quota still allows.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import broadcast_if_small, collect_bounded, local_table
-from gridvigil.functions.hashing import draw_number, row_digest
+from gridvigil.functions.bounded import collect_bounded, local_table, materialise
+from gridvigil.functions.hashing import DRAW_DIGITS, draw_number, row_digest
 
-GROUP_LIMIT = 1000
-#: most strata for which per-stratum cut-offs are kept in a broadcast table
+#: most rows of a per-stratum table that is held on the driver and broadcast; a larger one
+#: is written to the shared folder and joined by a shuffle
 MAX_STRATA = 10_000
 RANGES_PER_PASS = 4096
+#: bits of a draw below the 256 parts of the first pass
+DRAW_SHIFT = 4 * DRAW_DIGITS - 8
 #: a boundary range with at most this many rows is ranked exactly
 RANK_ROWS = 100_000
 
@@ -47,52 +50,12 @@ def class_counts(df: DataFrame, strata: Sequence[str]) -> DataFrame:
 # --- selecting the lowest keys of each stratum -----------------------------------------
 
 
-def cutoffs(
-    df: DataFrame, strata: Sequence[str], quota: Quota, key: str = "draw", tie: str = "digest"
-) -> tuple[list[tuple], object] | None:
-    """Per stratum the (key, tie) of the last row inside its quota, and the table schema.
-
-    ``quota`` adds ``target`` to the class counts (strata, n, …). ``key`` is a long, ``tie``
-    settles equal keys. None means there are more strata than ``MAX_STRATA``.
-    """
-    spark = df.sparkSession
-    strata = list(strata)
-    keyed = df.select(*strata, F.col(key).alias("_key"), F.col(tie).alias("_tie"))
-    counts = keyed.groupBy(*strata).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")
-    )
-    bounded = collect_bounded(counts, MAX_STRATA)
-    if bounded is None:
-        return None
-    # One small partition: the quota's windows and joins need no shuffle.
-    counts = spark.createDataFrame(bounded, counts.schema).coalesce(1)
-    schema = counts.select(*strata, F.col("_lo"), F.col("_hi"), F.col("n").alias("_need"))
-    done, open_ranges = [], []
-    for row in quota(counts).collect():
-        name = tuple(row[s] for s in strata)
-        target = int(row["target"] or 0)
-        if target <= 0:
-            done.append((*name, None, None))
-        elif target >= row["n"]:
-            done.append((*name, row["_hi"], "\U0010ffff"))
-        else:
-            open_ranges.append((*name, row["_lo"], row["_hi"], target, row["n"]))
-    state = schema.withColumn("_n", F.col("_need")).schema
-    while any(r[-1] > RANK_ROWS and r[-3] > r[-4] for r in open_ranges):
-        open_ranges = _narrow(keyed, strata, local_table(spark, open_ranges, state), spark)
-    if open_ranges:
-        ranked = (
-            _inside(keyed, strata, local_table(spark, open_ranges, state))
-            .withColumn(
-                "_rn", F.row_number().over(_per(strata).orderBy("_key", "_tie"))
-            )
-            .where(F.col("_rn") == F.col("_need"))
-        )
-        done += [tuple(r) for r in ranked.select(*strata, "_key", "_tie").collect()]
-    result = counts.select(*strata, F.col("_hi").alias("_cut_key")).withColumn(
-        "_cut_tie", F.lit("").cast("string")
-    )
-    return done, _nullable(result.schema)
+def _held(df: DataFrame) -> DataFrame:
+    """A per-stratum table, computed once; broadcast when it is small."""
+    rows = collect_bounded(df, MAX_STRATA)
+    if rows is None:
+        return materialise(df)
+    return local_table(df.sparkSession, rows, _nullable(df.schema))
 
 
 def _nullable(schema):
@@ -105,34 +68,104 @@ def _per(strata: list[str]):
     return Window.partitionBy(*strata)
 
 
+def join_strata(df: DataFrame, other: DataFrame, strata: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the strata, where null equals null; the strata come from ``df``."""
+    renamed = {s: f"_stratum_{i}" for i, s in enumerate(strata)}
+    condition = F.lit(True)
+    for name, other_name in renamed.items():
+        condition = condition & F.col(f"`{name}`").eqNullSafe(F.col(other_name))
+    return df.join(other.withColumnsRenamed(renamed), condition, how).drop(*renamed.values())
+
+
+def cutoffs(
+    df: DataFrame, strata: Sequence[str], quota: Quota, key: str = "draw", tie: str = "digest"
+) -> DataFrame:
+    """Per stratum where its quota ends: the strata, ``_cut_key``, ``_cut_tie`` (of the last
+    row inside), ``_cut_take`` and ``_cut_same`` (how many of the rows with that key and tie
+    are inside, and how many there are). The key is null where nothing is taken.
+
+    ``quota`` adds ``target`` to the class counts (strata, n, ...). ``key`` is a long, ``tie``
+    settles equal keys.
+    """
+    strata = list(strata)
+    keyed = df.select(*strata, F.col(key).alias("_key"), F.col(tie).alias("_tie"))
+    first = None
+    if key == "draw":
+        first = _held(
+            keyed.groupBy(*strata, F.shiftright("_key", DRAW_SHIFT).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        )
+        counts = first.groupBy(*strata).agg(
+            F.sum("_n").alias("n"), F.lit(0).cast("long").alias("_lo"), F.lit((1 << 4 * DRAW_DIGITS) - 1).alias("_hi")
+        )
+    else:
+        counts = keyed.groupBy(*strata).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")
+        )
+    goals = _held(quota(_held(counts)).select(*strata, "n", "_lo", "_hi", "target"))
+    target = F.coalesce(F.col("target"), F.lit(0))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    nothing = goals.where(target <= 0).select(
+        *strata, number.alias("_cut_key"), text.alias("_cut_tie"), number.alias("_cut_take"), number.alias("_cut_same")
+    )
+    zero = F.lit(0).cast("long")
+    everything = goals.where((target > 0) & (target >= F.col("n"))).select(
+        *strata, F.col("_hi").alias("_cut_key"), F.lit("\U0010ffff").alias("_cut_tie"), zero.alias("_cut_take"), zero.alias("_cut_same")
+    )
+    ranges = goals.where((target > 0) & (target < F.col("n"))).select(
+        *strata, "_lo", "_hi", target.cast("long").alias("_need"), F.col("n").alias("_n")
+    )
+    if first is not None:
+        parts = join_strata(first, ranges.drop("_n"), strata)
+        ranges = _hit(parts, strata, F.lit(1 << DRAW_SHIFT))
+    ranges = _held(ranges)
+    wide = (F.col("_n") > RANK_ROWS) & (F.col("_hi") > F.col("_lo"))
+    while ranges.where(wide).limit(1).count():
+        ranges = _held(_narrow(keyed, strata, ranges))
+    order = _per(strata).orderBy("_key", "_tie")
+    ranked = (
+        _inside(keyed, strata, ranges)
+        .withColumn("_rn", F.row_number().over(order))
+        .withColumn("_first", F.rank().over(order))
+        .withColumn("_same", F.count(F.lit(1)).over(_per([*strata, "_key", "_tie"])))
+        .where(F.col("_rn") == F.col("_need"))
+        .select(
+            *strata, F.col("_key").alias("_cut_key"), F.col("_tie").alias("_cut_tie"),
+            (F.col("_need") - F.col("_first") + 1).cast("long").alias("_cut_take"), F.col("_same").alias("_cut_same"),
+        )
+    )
+    return _held(nothing.unionByName(everything).unionByName(ranked))
+
+
 def _inside(keyed: DataFrame, strata: list[str], ranges: DataFrame) -> DataFrame:
-    return keyed.join(ranges, strata).where(F.col("_key").between(F.col("_lo"), F.col("_hi")))
+    return join_strata(keyed, ranges, strata).where(F.col("_key").between(F.col("_lo"), F.col("_hi")))
 
 
-def _narrow(keyed: DataFrame, strata: list[str], ranges: DataFrame, spark) -> list[tuple]:
+def _narrow(keyed: DataFrame, strata: list[str], ranges: DataFrame) -> DataFrame:
     """One counting pass: replace each open range by the part that holds its quota."""
-    width = F.expr(f"(_hi - _lo) div {RANGES_PER_PASS} + 1")
     parts = (
         _inside(keyed, strata, ranges)
         .withColumn("_part", F.expr(f"(_key - _lo) div ((_hi - _lo) div {RANGES_PER_PASS} + 1)"))
         .groupBy(*strata, "_lo", "_hi", "_need", "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return _hit(parts, strata, F.expr(f"(_hi - _lo) div {RANGES_PER_PASS} + 1"))
+
+
+def _hit(parts: DataFrame, strata: list[str], width: Column) -> DataFrame:
+    """The part of each stratum's range in which its quota ends, as a range."""
     upto = _per(strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
+    start = F.col("_lo") + F.col("_part") * width
+    return (
         parts.withColumn("_cum", F.sum("_n").over(upto))
         .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
         .select(
             *strata,
-            (F.col("_lo") + F.col("_part") * width).alias("_from"),
-            F.least(
-                F.col("_lo") + (F.col("_part") + 1) * width - 1, F.col("_hi")
-            ).alias("_to"),
-            (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_left"),
+            start.alias("_lo"),
+            F.least(start + width - 1, F.col("_hi")).alias("_hi"),
+            (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_need"),
             "_n",
         )
     )
-    return [tuple(r) for r in hit.collect()]
 
 
 def mark_lowest(
@@ -144,29 +177,20 @@ def mark_lowest(
     out: str = "taken",
 ) -> DataFrame:
     """Flag, per stratum, the ``target`` rows with the lowest (key, tie)."""
-    strata = list(strata)
     if not strata:
-        found = cutoffs(df.withColumn("_whole", F.lit(0)), ["_whole"], quota, key, tie)
-        rows = found[0]
-        cut_key, cut_tie = rows[0][1:] if rows else (None, None)
-        return df.withColumn(out, _below(key, tie, F.lit(cut_key), F.lit(cut_tie)))
-    found = cutoffs(df, strata, quota, key, tie)
-    if found is None:
-        targets = quota(class_counts(df, strata))
-        ranked = df.withColumn("_rn", F.row_number().over(_per(strata).orderBy(key, tie)))
-        return (
-            ranked.join(targets.select(*strata, "target"), strata, "left")
-            .withColumn(out, F.coalesce(F.col("_rn") <= F.col("target"), F.lit(False)))
-            .drop("_rn", "target")
-        )
-    joined = df.join(local_table(df.sparkSession, *found), strata, "left")
-    below = _below(key, tie, F.col("_cut_key"), F.col("_cut_tie"))
-    return joined.withColumn(out, below).drop("_cut_key", "_cut_tie")
-
-
-def _below(key: str, tie: str, cut_key: Column, cut_tie: Column) -> Column:
-    below = (F.col(key) < cut_key) | ((F.col(key) == cut_key) & (F.col(tie) <= cut_tie))
-    return F.coalesce(below, F.lit(False))
+        whole = df.withColumn("_whole", F.lit(0))
+        return mark_lowest(whole, ["_whole"], quota, key, tie, out).drop("_whole")
+    cuts = cutoffs(df, strata, quota, key, tie)
+    split = cuts.where("_cut_take < _cut_same").limit(1).count()
+    joined = join_strata(df, cuts, strata, "left")
+    equal = (F.col(key) == F.col("_cut_key")) & (F.col(tie) == F.col("_cut_tie"))
+    below = (F.col(key) < F.col("_cut_key")) | ((F.col(key) == F.col("_cut_key")) & (F.col(tie) < F.col("_cut_tie")))
+    if split:  # rows that cannot be told apart by their keys share what is left of a quota
+        same = Window.partitionBy(*strata, key, tie).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
+        joined = joined.withColumn("_place", F.when(equal, F.row_number().over(same)))
+        equal = F.col("_place") <= F.col("_cut_take")
+    flagged = joined.withColumn(out, F.coalesce(below | equal, F.lit(False)))
+    return flagged.drop("_cut_key", "_cut_tie", "_cut_take", "_cut_same", "_place")
 
 
 def take_lowest(df: DataFrame, strata: Sequence[str], quota: Quota, **keys) -> DataFrame:
@@ -198,8 +222,9 @@ def apportioned_quota(total: Callable[[Column], Column], label: str, run=()) ->
         per_run = _over(run)
         sized = counts.withColumn("_all", F.sum("n").over(per_run))
         sized = sized.withColumn("_total", total(F.col("_all")).cast("long"))
-        shared = sized.withColumn("_base", F.expr("(n * _total) div _all")).withColumn(
-            "_rest", F.expr("(n * _total) % _all")
+        wide = "cast(n as decimal(19, 0)) * cast(_total as decimal(19, 0))"  # too large for a long
+        shared = sized.withColumn("_base", F.expr(f"{wide} div cast(_all as decimal(19, 0))")).withColumn(
+            "_rest", F.expr(f"cast({wide} % cast(_all as decimal(19, 0)) as long)")
         )
         spare = F.col("_total") - F.sum("_base").over(per_run)
         order = F.row_number().over(per_run.orderBy(F.desc("_rest"), label))
@@ -260,11 +285,7 @@ def per_class(
     df: DataFrame, label: str, k: int, keys: Sequence[str], seeds: Sequence[int] = (42,)
 ) -> DataFrame:
     """k rows of each class for each seed (all rows of a smaller class)."""
-    drawn = with_seeds(df, seeds, keys)
-    if k > GROUP_LIMIT:
-        return take_lowest(drawn, ["seed", label], fixed_quota(k))
-    order = Window.partitionBy("seed", label).orderBy("draw", "digest")
-    return drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
+    return take_lowest(with_seeds(df, seeds, keys), ["seed", label], fixed_quota(k))
 
 
 def shot_and_test(
@@ -277,20 +298,10 @@ def shot_and_test(
 ) -> DataFrame:
     """Disjoint few-shot and test rows per class; small classes fill the shots first."""
     drawn = with_seeds(df, seeds, keys)
-    if shots + tests > GROUP_LIMIT:
-        strata = ["seed", label]
-        flagged = mark_lowest(drawn, strata, fixed_quota(shots), out="_shot")
-        both = mark_lowest(flagged, strata, fixed_quota(shots + tests)).where("taken")
-        return both.withColumn("part", F.when(F.col("_shot"), "shot").otherwise("test")).drop(
-            "_shot", "taken"
-        )
-    order = Window.partitionBy("seed", label).orderBy("draw", "digest")
-    ranked = drawn.withColumn("_rn", F.row_number().over(order))
-    return (
-        ranked.where(F.col("_rn") <= shots + tests)
-        .withColumn("part", F.when(F.col("_rn") <= shots, "shot").otherwise("test"))
-        .drop("_rn")
-    )
+    strata = ["seed", label]
+    flagged = mark_lowest(drawn, strata, fixed_quota(shots), out="_shot")
+    both = mark_lowest(flagged, strata, fixed_quota(shots + tests)).where("taken")
+    return both.withColumn("part", F.when(F.col("_shot"), "shot").otherwise("test")).drop("_shot", "taken")
 
 
 def stratified_split(
@@ -351,19 +362,14 @@ def chronological_split(
         return counted.withColumn("target", F.greatest(cut, F.lit(0)).cast("long"))
 
     usable = early(counts).where((F.col("target") > 0) & (F.col("target") < F.col("n")))
-    kept = df.join(broadcast_if_small(usable.select(label), MAX_STRATA), label, "left_semi")
+    kept = join_strata(df, _held(usable.select(label)), [label])
     timed = kept.withColumn("_when", F.col(order_col).cast("long")).withColumn("_no_tie", F.lit(""))
     flagged = mark_lowest(timed, [label], early, key="_when", tie="_no_tie", out="_early")
     late = flagged.where(~F.col("_early"))
     if tests is not None:
         late = take_lowest(late, [label], fixed_quota(tests), key="_when", tie="_no_tie")
     shot = with_draw(flagged.where("_early"), keys, seed)
-    if shots <= GROUP_LIMIT:
-        order = Window.partitionBy(label).orderBy("draw", "digest")
-        shot = shot.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= shots)
-        shot = shot.drop("_rn")
-    else:
-        shot = take_lowest(shot, [label], fixed_quota(shots))
+    shot = take_lowest(shot, [label], fixed_quota(shots))
     shot = shot.drop("draw", "digest").withColumn("part", F.lit("shot"))
     return shot.unionByName(late.withColumn("part", F.lit("test"))).drop(
         "_when", "_no_tie", "_early"

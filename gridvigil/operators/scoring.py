@@ -313,7 +313,7 @@ def area_metrics(curve: DataFrame, run: Sequence[str]) -> DataFrame:
     """AUROC (ties averaged) and average precision; null when only one class is present."""
     pairs = F.first("n_pos") * F.first("n_neg").cast("double")
     below = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
-    step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    step = F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))  # a long could overflow
     return curve.groupBy(*run).agg(
         F.when(pairs > 0, below / pairs).alias("auroc"),
         F.when(pairs > 0, F.sum(step) / F.first("n_pos")).alias("auprc"),

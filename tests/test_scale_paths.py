@@ -35,6 +35,46 @@ def test_many_strata_fall_back_to_ranks(spark, monkeypatch):
     assert {r["label"]: r["count"] for r in sizes.collect()} == {"Normal": 40, "Attack": 40, "rare": 10}
 
 
+def with_nulls(spark, n=3000):
+    """A class of null labels, keys that repeat, and times that repeat."""
+    label = F.when(F.col("id") % 3 == 0, "Normal").when(F.col("id") % 3 == 1, "Attack")
+    return spark.range(n).select(
+        (F.col("id") % (n // 3)).alias("key"), F.col("id").alias("row"), label.alias("label"), (F.col("id") % 4).alias("at")
+    )
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+@pytest.mark.parametrize("k", [7, 999, 1000, 1001])
+def test_null_labels_and_repeated_keys(spark, monkeypatch, k, most):
+    monkeypatch.setattr(sampling, "MAX_STRATA", most)
+    df = with_nulls(spark)
+    for keys in (["key"], ["row"], ["at"]):
+        sizes = sampling.per_class(df, "label", k, keys).groupBy("label").count().collect()
+        assert {r["label"]: r["count"] for r in sizes} == {c: min(k, 1000) for c in ("Normal", "Attack", None)}
+    assert sampling.cap_per_class(df, "label", k, order_col="at").count() == 3 * min(k, 1000)
+
+
+def test_splits_keep_null_labels(spark):
+    parts = sampling.stratified_split(with_nulls(spark), "label", ["row"]).groupBy("label", "part").count().collect()
+    assert {(r["label"], r["part"]): r["count"] for r in parts} == {
+        (c, p): n for c in ("Normal", "Attack", None) for p, n in (("train", 700), ("test", 300))
+    }
+    chrono = sampling.chronological_split(with_nulls(spark), "label", "row", ["row"], shots=5).groupBy("label", "part").count()
+    assert {(r["label"], r["part"]): r["count"] for r in chrono.collect()} == {
+        (c, p): n for c in ("Normal", "Attack", None) for p, n in (("shot", 5), ("test", 200))
+    }
+
+
+def test_quotas_and_areas_of_huge_counts(spark):
+    counts = spark.createDataFrame([("a", 7 * 10**12), ("b", 3 * 10**12)], "label string, n long")
+    quota = sampling.apportioned_quota(lambda n: n - F.ceil(n * F.lit(0.3)), "label")(counts)
+    assert {r["label"]: r["target"] for r in quota.collect()} == {"a": 49 * 10**11, "b": 21 * 10**11}
+    n = 4 * 10**9
+    curve = spark.createDataFrame([(1, n, n, n, n, n, n)], "run int, pos long, neg long, tp long, fp long, n_pos long, n_neg long")
+    row = scoring.area_metrics(curve, ["run"]).first()
+    assert (row["auroc"], row["auprc"]) == (0.5, 0.5)
+
+
 def test_samples_do_not_depend_on_partitioning(spark):
     base = skewed(spark, 5000)
     results = []
