@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridvigil.functions.bounded import broadcast_if_small
+from gridvigil.functions.bounded import broadcast_if_small, materialise
 
 
 def numeric_key(df: DataFrame, name: str) -> Column:
@@ -102,3 +102,19 @@ def with_position(
         .withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("long"))
         .drop(*place, "_offset", "_rank")
     )
+
+
+def class_codes(df: DataFrame, label: str) -> DataFrame:
+    """(label, code): every class with its 0-based place in sorted order, nulls left out.
+
+    A table of one row per class, however many there are; join it to encode or decode.
+    """
+    classes = df.where(F.col(label).isNotNull()).select(label).distinct()
+    # ranges of the sort order, written once so that their numbers stand
+    ranged = materialise(classes.repartitionByRange(label).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row per range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(label)) - 1
+    ranked = ranged.withColumn("_place", place).join(offsets, "_part")
+    return ranked.select(label, (F.col("_offset") + F.col("_place")).cast("int").alias("code"))

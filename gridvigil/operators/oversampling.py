@@ -150,7 +150,7 @@ def adasyn(
     small = df.where(F.col(label).isin([c for c, m in missing.items() if m > 0]))
     shared = materialise(_other_share(df, small, label, id_col, vector, k))
     totals = {
-        r[0]: r[1] for r in shared.groupBy(label).agg(F.sum("other_share")).limit(MAX_STRATA).collect()
+        r[0]: r[1] for r in shared.groupBy(label).agg(F.sum("other_share")).collect()
     }
     factor = {c: missing[c] / t for c, t in totals.items() if t}
     schema = df.select(label).schema.add("_factor", "double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridvigil.functions import labels, statistics
-from gridvigil.operators import cleaning
+from gridvigil.operators import cleaning, ordering
 from gridvigil.plans.detections import (
     DETECTIONS_SQL,
     detections,
@@ -378,9 +378,20 @@ def label_collapse(spark, sf):
 )
 def label_encode_decode(spark, sf):
     rows = labelled_orders(spark, sf)
-    classes = [r[0] for r in rows.select("y_true").distinct().limit(1000).collect()]
-    coded = rows.select("row_id", labels.encoded(F.col("y_true"), classes).alias("code"))
-    return coded.withColumn("label", labels.decoded(F.col("code"), classes))
+    codes = ordering.class_codes(rows, "y_true")
+    coded = rows.join(codes, "y_true").select("row_id", "code")
+    return coded.join(codes, "code").select("row_id", "code", F.col("y_true").alias("label"))
+
+
+@query(
+    "many_class_codes",
+    """WITH k AS (SELECT o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice) - 1 AS INTEGER) AS code
+      FROM (SELECT DISTINCT o_totalprice FROM orders))
+    SELECT o_orderkey, code FROM orders JOIN k USING (o_totalprice)""",
+)
+def many_class_codes(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return orders.join(ordering.class_codes(orders, "o_totalprice"), "o_totalprice").select("o_orderkey", "code")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvigil.functions.hashing import hex_to_long, row_digest
-from gridvigil.plans.registry import spread, table
+from gridvigil.plans.registry import table
 
 CLASSES = ["Backdoor", "CommInj", "DoS", "Normal", "Reconn"]
 SEEDS = [42, 43, 44]
@@ -69,7 +69,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     orders = labelled_orders(spark, sf_dir).select("row_id", "dataset", "y_true")
-    base = spread(orders).select("row_id", "dataset", "y_true", F.inline(runs))
+    base = orders.select("row_id", "dataset", "y_true", F.inline(runs))
     hashed = base.withColumn("h", row_digest(F.col("model"), "seed", "row_id"))
     drawn = hashed.withColumn("u", hex_to_long(F.col("h"), 1, 4)).withColumn(
         "v", hex_to_long(F.col("h"), 5, 4)

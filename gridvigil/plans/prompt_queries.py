@@ -9,7 +9,7 @@ from gridvigil.functions.bounded import broadcast_if_small
 from gridvigil.functions.statistics import request_key
 from gridvigil.operators import ensembles, prompts, sampling
 from gridvigil.plans.detections import rounded
-from gridvigil.plans.registry import query, spread, table
+from gridvigil.plans.registry import query, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
@@ -17,7 +17,7 @@ _KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
 
 def flows(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return spread(rows.select(*_KEYS, *FEATURES, "l_linestatus", "l_returnflag"))
+    return rows.select(*_KEYS, *FEATURES, "l_linestatus", "l_returnflag")
 
 
 @query(
@@ -101,18 +101,16 @@ def role_text(spark, sf):
     )
 
 
-# --- fixed values: answer endings with known labels ---
 ANSWERS = [
-    "The reading is consistent with Normal operation.",
-    "Sensors look manipulated -> Attack",
-    "After analysis, this is an Attack on stage P3",
-    "Final classification: Normal.",
-    "Cannot determine",
-    "normal? No: ATTACK",
-    "The Attacker is unknown_Normal",
+    "Every value lies in its usual band, so: Normal",
+    "Pump and valve disagree. Verdict: Attack",
+    "I would call this an Attack, although the level is Normal for the season. Attack",
+    "Label = Normal, confidence high.",
+    "There is too little to go on.",
+    "First thought normal, on a second look ATTACK",
+    "Counter_Normal belongs to Attackers, not to us",
     "Normal",
 ]
-# --- end of fixed values ---
 
 
 def answers(spark, sf):

@@ -66,11 +66,17 @@ def clean_hai(raw: DataFrame, config: DatasetConfig = HAI) -> DataFrame:
     return _numeric(df, config, "all")
 
 
+# --- fixed values: label columns of flow tables, in order of preference ---
+WUSTL_BIT_LABELS = ("Target", "target", "Label", "label", "Traffic", "traffic", "type")
+WUSTL_KIND_LABELS = ("Traffic", "traffic", "Attack", "Category", "attack_cat", "type")
+# --- end of fixed values ---
+
+
 def clean_wustl(raw: DataFrame, config: DatasetConfig = WUSTL) -> DataFrame:
     """Flow features without leakage columns; binary or five-class ``label``."""
     df = cleaning.drop_leakage(cleaning.strip_headers(raw))
-    bits = [c for c in ("Target", "Label", "label", "Traffic", "type") if c in df.columns]
-    kinds = [c for c in ("Traffic", "Attack", "Category", "attack_cat", "type") if c in df.columns]
+    bits = [c for c in WUSTL_BIT_LABELS if c in df.columns]
+    kinds = [c for c in WUSTL_KIND_LABELS if c in df.columns]
     binary = cleaning.find_binary_label(df, bits)
     kind = cleaning.find_categorical_label(df, kinds)
     if config.binary and binary is not None:
@@ -78,9 +84,12 @@ def clean_wustl(raw: DataFrame, config: DatasetConfig = WUSTL) -> DataFrame:
     elif kind is not None:
         value = labels.five_class(F.col(f"`{kind}`"))
         value = labels.collapsed(value) if config.binary else value
+    elif binary is not None:  # no attack names: the two classes are all there is
+        value = labels.truthy_label(F.col(f"`{binary}`"))
     else:
         raise KeyError(f"no label column among {df.columns}")
-    df = df.withColumn("_label", value).drop(*[c for c in {binary, kind} if c])
+    # every label candidate goes, or one would tell the label as a feature
+    df = df.withColumn("_label", value).drop(*{*bits, *kinds})
     df = cleaning.drop_non_features(df.withColumnRenamed("_label", "label"))
     return _numeric(df, config, "all")
 

@@ -90,17 +90,11 @@ def read_delimited(
 ) -> DataFrame:
     """All files as one text table, united by stripped column name.
 
-    Separator and encoding are found per file from its first line unless given (then the
-    probing pass is skipped). In semicolon files a decimal comma becomes a point. Files
-    with the same header are one scan.
+    Separator and encoding are found per file from its first line unless given. In semicolon
+    files a decimal comma becomes a point. Files with the same header are one scan.
     """
     groups: dict[tuple, list[str]] = {}
-    if separator is None:
-        headers = header_lines(spark, paths)
-    else:
-        one = spark.read.option("encoding", encoding or "UTF-8").text(paths[0]).first()[0]
-        headers = {p: one for p in paths}
-    for path, line in headers.items():
+    for path, line in header_lines(spark, paths).items():
         found, guessed = _layout(line or "")
         key = (separator or found, encoding or guessed, line)
         groups.setdefault(key, []).append(path)

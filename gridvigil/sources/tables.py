@@ -54,12 +54,12 @@ def read_runs(
 ) -> DataFrame:
     """Result CSVs of many runs; data set and mode come from the path.
 
-    Missing or unreadable files are skipped, and so are rows that do not fit the schema.
+    Missing or unreadable files are skipped; no row is: a value that does not fit is null.
     """
     rows = (
         spark.read.option("header", "true")
         .option("enforceSchema", "false")
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", "true")
         .schema(schema)

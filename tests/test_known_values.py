@@ -1,5 +1,6 @@
 """Cases with known answers."""
 
+import dataclasses
 import math
 import os
 import zipfile
@@ -267,4 +268,32 @@ def test_unreadable_run_tables_are_skipped(spark, tmp_path):
     folder.mkdir()
     (folder / "e1_swat.csv").write_text("model,mcc\na,0.5\nb,oops\n")
     rows = tables.read_runs(spark, str(folder / "*.csv"), "model string, mcc double").collect()
-    assert [(r["dataset"], r["mode"], r["model"], r["mcc"]) for r in rows] == [("swat", "binary", "a", 0.5)]
+    found = [(r["dataset"], r["mode"], r["model"], r["mcc"]) for r in rows]
+    assert found == [("swat", "binary", "a", 0.5), ("swat", "binary", "b", None)]
+
+
+def write_file(folder, name, text):
+    (folder / name).write_text(text)
+    return str(folder / name)
+
+
+def test_given_separator_keeps_each_files_header(spark, tmp_path):
+    paths = [write_file(tmp_path, "a.csv", "x,y\n10,20\n"), write_file(tmp_path, "b.csv", "y,x,z\n20,10,5\n")]
+    rows = files.read_delimited(spark, paths, separator=",").select("x", "y").collect()
+    assert {tuple(r) for r in rows} == {("10", "20")} and len(rows) == 2
+
+
+def test_bad_result_rows_stay(spark, tmp_path):
+    path = write_file(tmp_path, "run_binary_flow.csv", "model,mcc\na,0.5\nb,oops\n")
+    rows = tables.read_runs(spark, path, "model string, mcc double").collect()
+    assert {(r["model"], r["mcc"], r["dataset"]) for r in rows} == {("a", 0.5, "flow"), ("b", None, "flow")}
+
+
+@pytest.mark.parametrize("case", [str.title, str.lower])
+def test_flow_labels_are_found_and_dropped(spark, case):
+    rows = [("0", "0", "1.5"), ("1", "1", "2.5"), ("1", "1", "3.5")]
+    raw = spark.createDataFrame(rows, [case("target"), case("traffic"), "Rate"])
+    for binary in (True, False):
+        clean = datasets.clean_wustl(raw, dataclasses.replace(datasets.WUSTL, binary=binary))
+        assert clean.columns == ["Rate", "label"]
+        assert sorted(r["label"] for r in clean.collect()) == ["Attack", "Attack", "Normal"]
