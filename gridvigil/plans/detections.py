@@ -68,7 +68,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
             for s in SEEDS
         ]
     )
-    orders = labelled_orders(spark, sf_dir).select("row_id", "dataset", "y_true")
+    # narrow rows are dealt out evenly before each becomes one per run
+    orders = labelled_orders(spark, sf_dir).select("row_id", "dataset", "y_true").repartition("row_id")
     base = orders.select("row_id", "dataset", "y_true", F.inline(runs))
     hashed = base.withColumn("h", row_digest(F.col("model"), "seed", "row_id"))
     drawn = hashed.withColumn("u", hex_to_long(F.col("h"), 1, 4)).withColumn(

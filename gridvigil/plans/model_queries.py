@@ -296,7 +296,7 @@ def _train_and_predict(spark, sf, estimator, balanced=True, binary=False):
     if binary:
         data = data.withColumn("label", F.when(F.col("label") == "Normal", "Normal").otherwise("Attack"))
     parts = sampling.pool_and_holdout(data, "label", ["o_orderkey"], 0.3)
-    train = parts.where("part = 'pool'")
+    train = parts.where("part = 'pool'").repartition("o_orderkey")
     detector = classifiers.fit(train, SIGNAL_FEATURES, "label", estimator, balanced)
     return detector.predict(parts.where("part = 'holdout'"))
 
@@ -343,7 +343,7 @@ def model_scores(spark, sf):
 @query("saved_model_scores")
 def saved_model_scores(spark, sf):
     """The detector after a write to and a read from the shared folder."""
-    train = signal(spark, sf)
+    train = signal(spark, sf).repartition("o_orderkey")
     path = scratch_path(spark, "model")
     classifiers.fit(train, SIGNAL_FEATURES, "label", classifiers.tree(maxDepth=4)).save(path)
     scored = classifiers.Detector.load(path).predict(signal(spark, sf))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridvigil.operators.sampling import join_strata
 from gridvigil.session import ensure_checkpoint_dir
 
 
@@ -36,13 +37,21 @@ def save_metrics_json(df: DataFrame, path: str, drop: Sequence[str] = ("runs",))
     df.drop(*drop).write.mode("overwrite").json(path)
 
 
+#: rows of a run that one task writes
+ROWS_A_WRITER = 1_000_000
+
+
 def save_predictions(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "model", "seed")) -> None:
     """Raw predictions for later analysis, partitioned by run.
 
-    Rows are gathered per run and salted, so a large run is written by several tasks.
+    Rows are gathered per run and salted by the run's size, so a run of any size is written
+    in files of some ``ROWS_A_WRITER`` rows.
     """
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(16)))
-    spread.repartition(*by, "_salt").drop("_salt").write.mode("overwrite").partitionBy(*by).parquet(path)
+    writers = (F.count(F.lit(1)) / ROWS_A_WRITER).cast("long") + 1
+    sized = join_strata(df, df.groupBy(*by).agg(writers.alias("_writers")), by, "left")
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.col("_writers")))
+    dealt = salted.repartition(*by, "_salt").select(*df.columns)
+    dealt.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def read_runs(
