@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from gridvigil.session import ensure_checkpoint_dir
@@ -15,6 +16,36 @@ from gridvigil.session import ensure_checkpoint_dir
 ROWS = 256
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(owner: str, clear: Callable[[], None]) -> None:
+    """Name the cache that an operator keeps in a Python worker."""
+    _CACHES[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Empty the other operators' caches: Spark lends one worker to many stages."""
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()
+
+
+class WordHashes(dict):
+    """64-bit hash of each word; emptied when full, for a hash costs little more than a look-up."""
+
+    MOST = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+word_hash = WordHashes().__getitem__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

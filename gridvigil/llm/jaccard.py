@@ -31,40 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, sql_type, stored
+from gridvigil.llm.common import ROWS, claim, sql_type, stored, word_hash
 
 SIZE = 5
 PERCENT = 80
 #: buckets of the table of counts, cut into so many pieces to be added up
 COUNT_BITS = 18
 PIECES = 64
-#: words kept per Python worker
-MAX_WORDS = 500_000
 #: rows of pairs (16 bytes each) up to which texts are picked by a broadcast
 MAX_BROADCAST = 500_000
 BLOCK = 256
+#: entries up to which lists are compared together, whole batches at a time
+SHORT = 32
 SKETCH = [f"s{i}" for i in range(8)]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """Ascending distinct hashes of a text's shingles; of fewer words, of all of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
     length = min(size, len(words))
     n = len(words) - length + 1
     found = np.full(n, length, np.uint64)
@@ -85,6 +74,7 @@ def bucket_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     width = (1 << COUNT_BITS) // PIECES
 
     def count(batches):
+        claim("jaccard")
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -118,6 +108,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text_col))
 
     def run(batches):
+        claim("jaccard")
         order = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -251,6 +242,44 @@ def block_pairs(entries: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray
     return a, partner[a]
 
 
+def list_pairs(shingle: np.ndarray, entries: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``block_pairs`` for many lists, which stand one after the other.
+
+    Short lists are compared all at once: each entry with the next one, the one after, and so on.
+    """
+    begins = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    sizes = np.diff(np.r_[begins, len(shingle)])
+    after = np.repeat(begins + sizes, sizes) - np.arange(len(shingle)) - 1
+    after[np.repeat(sizes > SHORT, sizes)] = 0
+    n, rest, label, bits = (entries[k] for k in ("n", "rest", "label", "bits"))
+    found_a, found_b, found_apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, SHORT):
+        a = np.flatnonzero(after >= step)
+        if not len(a):
+            break
+        b = a + step
+        good = (label[a] != label[b]) & may_link(n[a], n[b], rest[a], rest[b])
+        a, b = a[good], b[good]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        close = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[a] + n[b])
+        found_a.append(a[close])
+        found_b.append(b[close])
+        found_apart.append(apart[close])
+    a, b, apart = map(np.concatenate, (found_a, found_b, found_apart))
+    if not every and len(a):
+        x, y, apart = np.r_[a, b], np.r_[b, a], np.r_[apart, apart]
+        order = np.lexsort((y, apart, x))
+        first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
+        a, b = x[first], y[first]
+    all_a, all_b = [a], [b]
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        own = slice(begins[i], begins[i] + sizes[i])
+        a, b = block_pairs({k: v[own] for k, v in entries.items()}, every)
+        all_a.append(a + begins[i])
+        all_b.append(b + begins[i])
+    return np.concatenate(all_a), np.concatenate(all_b)
+
+
 def pairs_between(lists: DataFrame, info: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
     """Pairs between components from all lists that hold more than one component."""
     entries = (
@@ -264,37 +293,28 @@ def pairs_between(lists: DataFrame, info: DataFrame, labels: DataFrame, every: b
     def whole_lists(batches):
         held = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
-                table = pa.concat_tables([held, table])
-            shingle = table.column(0).to_numpy()
-            if not len(shingle):
+                columns = [np.concatenate(both) for both in zip(held, columns, strict=True)]
+            if not len(columns[0]):
                 continue
-            begins = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-            for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                yield table.slice(s, e - s)
-            held = table.slice(int(begins[-1])).combine_chunks()
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+            if cut:
+                yield [c[:cut] for c in columns]
+            held = [c[cut:] for c in columns]
         if held is not None:
             yield held
 
     def run(batches):
-        waiting: set[tuple[int, int]] = set()
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*waiting, strict=True) if waiting else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for own in whole_lists(batches):
-            ids, n, rest, label = (own.column(i).to_numpy() for i in range(1, 5))
-            bits = np.stack([own.column(i).to_numpy() for i in range(5, 13)], 1).view(np.uint64)
-            entries = {"n": n.astype(np.int64), "rest": rest.astype(np.int64), "label": label, "bits": bits}
-            a, b = block_pairs(entries, every)
-            low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            waiting.update(zip(high.tolist(), low.tolist(), strict=True))
-            if len(waiting) > 50_000:
-                yield out()
-                waiting.clear()
-        yield out()
+        claim("jaccard")
+        for shingle, ids, n, rest, label, *bits in whole_lists(batches):
+            entries = {
+                "n": n.astype(np.int64), "rest": rest.astype(np.int64), "label": label,
+                "bits": np.stack(bits, 1).view(np.uint64),
+            }
+            a, b = list_pairs(shingle, entries, every)
+            pairs = np.unique(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     ordered = rows.select("shingle", "id", "n", "rest", "label", *SKETCH).repartition("shingle").sortWithinPartitions("shingle", "label", "n")
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -319,7 +339,8 @@ def exact_links(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFram
     right = texts.withColumnsRenamed({"id": "b", "text": "b_text"}).join(hint(near.select("b").distinct()), "b", "left_semi")
 
     def run(batches):
-        known = lru_cache(256)(shingles)
+        claim("jaccard")
+        known = lru_cache(64)(shingles)
         for batch in batches:
             a, b, a_text, b_text = batch.columns
             links = []

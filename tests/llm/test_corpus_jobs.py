@@ -307,6 +307,13 @@ def test_block_pairs_match_all_pairs(monkeypatch):
                     want.add((j, i))
         a, b = jaccard.block_pairs(entries, True)
         assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+        for short in (1, 100):  # one list in blocks, or together with another
+            monkeypatch.setattr(jaccard, "SHORT", short)
+            twice = {k: np.concatenate([v, v]) for k, v in entries.items()}
+            c, d = jaccard.list_pairs(np.repeat([1, 2], size), twice, True)
+            assert {tuple(sorted(p)) for p in zip(c.tolist(), d.tolist())} == want | {(i + size, j + size) for i, j in want}
+            c, d = jaccard.list_pairs(np.repeat([1, 2], size), twice, False)
+            assert {i % size for i in c.tolist()} == {i for p in want for i in p}
         a, b = jaccard.block_pairs(entries, False)
         assert set(a.tolist()) == {i for p in want for i in p}
         assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} <= want
