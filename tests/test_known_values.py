@@ -297,3 +297,10 @@ def test_flow_labels_are_found_and_dropped(spark, case):
         clean = datasets.clean_wustl(raw, dataclasses.replace(datasets.WUSTL, binary=binary))
         assert clean.columns == ["Rate", "label"]
         assert sorted(r["label"] for r in clean.collect()) == ["Attack", "Attack", "Normal"]
+
+
+def test_class_list_codes(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("x",), (None,)], "y string")
+    coded = df.withColumn("code", labels.encoded(F.col("y"), ["b", "a"]))
+    rows = coded.withColumn("back", labels.decoded(F.col("code"), ["b", "a"])).collect()
+    assert [tuple(r) for r in rows] == [("b", 1, "b"), ("a", 0, "a"), ("x", None, None), (None, None, None)]
