@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import ROWS, map_rows, sql_type
+from gridvigil.llm.common import ROWS, claim, map_rows, sql_type, word_hash
 
 #: word edits per 100 words of an item
 EDITS = 20
@@ -52,24 +52,11 @@ _GRAM_BITS = 20
 _TABLE = bytes(
     ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() and b < 128 else 32 for b in range(128)
 ) + bytes(range(128, 256))
-#: words kept per Python worker
-MAX_WORDS = 500_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray, seed: int) -> np.ndarray:
@@ -279,6 +266,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text") -> D
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
+            claim("leaks")
             for batch in batches:
                 clean = []
                 for start in range(0, batch.num_rows, ROWS):

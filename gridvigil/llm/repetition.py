@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import map_rows, sql_type
+from gridvigil.llm.common import claim, map_rows, sql_type
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +162,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        claim("repetition")
         for batch in batches:
             texts = batch.column(at)
             kept = [measure(texts[i].as_py())["kept"] for i in range(batch.num_rows)]

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import ROWS, map_rows, sql_type
+from gridvigil.llm.common import ROWS, claim, map_rows, sql_type
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "learned")
@@ -423,6 +423,7 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", size_col
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("secrets")
         for batch in batches:
             texts, sizes = [], [] if size_at is None else batch.column(size_at).to_pylist()
             for start in range(0, batch.num_rows, ROWS):

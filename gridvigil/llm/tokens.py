@@ -14,6 +14,8 @@ from itertools import filterfalse
 
 import numpy as np
 
+from gridvigil.llm.common import cache_of
+
 #: pieces kept per Python worker (some 150 MB); all are dropped when there are more
 MAX_PIECES = 600_000
 
@@ -39,6 +41,10 @@ class Encoder:
         self.inner: dict[str, bytes | None] = {}  # ids of a piece behind a space
         self.first: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.inner.clear()
+        self.first.clear()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
@@ -49,8 +55,7 @@ class Encoder:
         if not self.by_pieces:
             return self.whole(texts)
         if len(self.inner) + len(self.first) > MAX_PIECES:
-            self.inner.clear()
-            self.first.clear()
+            self.forget()
         split = [t.split(" ") for t in texts]
         heads = [pieces.pop(0) for pieces in split]
         new = dict.fromkeys(filterfalse(self.first.__contains__, heads))
@@ -96,4 +101,6 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    made = Encoder(path)
+    cache_of("tokens", made.forget)
+    return made
