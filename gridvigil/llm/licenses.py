@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: words that other text is full of
+COMMON = frozenset("a an and any as at be by can either for free in is it later may of on or that the this to under use with you your".split())
+
 # Licence name and short notice
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -68,18 +72,22 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
 def witnesses(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[set[str]]:
     """For each template a choice of bigrams of which every matching unit holds one.
 
-    Bigrams with a long word are taken: these are rare in other text.
+    Bigrams with a long word that is not a common one are taken, of these the ones that most
+    templates share: they are rare in other text, and few serve all templates.
     """
+    sets = [bigrams(text) for _, text in templates]
+    shared = Counter(b for own in sets for b in own)
     found = []
-    for _, text in templates:
-        own = bigrams(text)
+    for own in sets:
         need = len(own) - size_bounds(len(own), threshold)[0] + 1
-        found.append(set(sorted(own, key=lambda b: (-len(long_word(b)), b))[:need]))
+        found.append(set(sorted(own, key=lambda b: (-len(rare_word(b)), -shared[b], b))[:need]))
     return found
 
 
-def long_word(bigram: str) -> str:
-    return max(bigram.split(" "), key=len)
+def rare_word(bigram: str) -> str:
+    """The longer word of a bigram; common words only if there is no other."""
+    words = bigram.split(" ")
+    return max([w for w in words if w not in COMMON] or words, key=len)
 
 
 def normalise(text: Column) -> Column:
@@ -106,7 +114,7 @@ def scan(
     """One row per matching unit: id, unit kind, number from 0, licence, Dice coefficient."""
     every = set().union(*witnesses(templates, threshold))
     # Unicode's lower case also lowers A-Z, so no text with a word of a chosen bigram is lost
-    texts = docs.filter(holds_any(F.lower(F.col(text_col)), set(map(long_word, every)))).select(
+    texts = docs.filter(holds_any(F.lower(F.col(text_col)), set(map(rare_word, every)))).select(
         F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("text")
     )
 
