@@ -1,8 +1,10 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts and items are sequences of words (ASCII letters lower-cased, ASCII marks cut off). An
-item of ``L`` words leaks if a text holds a stretch within ``L * EDITS // 100`` word edits of
-it. The CGK embedding walks a sequence: at each step it writes the word it stands on, and a
+Texts and items are sequences of words (ASCII letters lower-cased, marks and spaces cut off);
+each symbol, and each character of a script without spaces, is a word of its own. An item of
+``L`` words leaks if a text holds a stretch within ``L * EDITS // 100`` word edits of it; one
+of fewer than ``MIN_WORDS`` words if a text holds it word for word. Short items are looked up
+by the hash of all their words. For the others, the CGK embedding walks a sequence: at each step it writes the word it stands on, and a
 random bit of step and word tells it to move on; few edits leave most of the written words
 equal. Each repetition has walks of its own and compares some sampled steps by hash. Items
 are walked from their start and their middle; texts from every place. So many repetitions
@@ -13,15 +15,16 @@ verified by exact edit distance of the item to the best stretch.
 
 Items are held in blocks of bounded size; texts stay where they are and nothing is shuffled.
 
-Defined results: a null or empty text has no leaks; items of fewer than ``MIN_WORDS`` words
-are left out, for prose holds such stretches by chance; equal items are all reported; repeated
-rows each get their rows; other columns play no part; a null id stays null; without items
+Defined results: a null or empty text has no leaks; an item without any word (null, empty or
+marks alone) leaks nowhere; equal items are all reported; repeated rows each get their rows; other columns play no part; a null id stays null; without items
 nothing leaks.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,6 +37,7 @@ from gridvigil.llm.common import ROWS, claim, map_rows, sql_type, word_hash
 
 #: word edits per 100 words of an item
 EDITS = 20
+#: items of fewer words are found without edits alone
 MIN_WORDS = 8
 #: words of the grams that stand near a leak
 GRAM = 3
@@ -54,7 +58,41 @@ _TABLE = bytes(
 ) + bytes(range(128, 256))
 
 
+#: scripts written without spaces between words
+_SPACELESS = (
+    (0x0E01, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF),
+    (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF),
+    (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+
+
+class _Cut(dict):
+    """By code point: a space for marks, spaces and controls; symbols and characters without spaces apart."""
+
+    def __missing__(self, code: int) -> str:
+        char, kind = chr(code), unicodedata.category(chr(code))
+        if code < 128:
+            found = char
+        elif kind[0] in "PZ" or kind == "Cc" or code == 0x200B:
+            found = " "
+        elif kind[0] == "S" or any(first <= code <= last for first, last in _SPACELESS):
+            found = f" {char} "
+        else:
+            found = char
+        self[code] = found
+        return found
+
+
+_CUT = _Cut()
+# characters to cut; a class of 16-bit characters alone is looked up, a larger one is searched
+_ODD = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(128, 1 << 16) if not 0xD800 <= c < 0xE000 and _CUT[c] != chr(c))}]")
+_LARGE = re.compile("[\U00010000-\U0010ffff]")
+
+
 def word_hashes(text: str | None) -> np.ndarray:
+    if text and not text.isascii() and (_ODD.search(text) or _LARGE.search(text)):
+        text = text.translate(_CUT)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
@@ -121,8 +159,9 @@ def edit_distance(item: list[int], text: list[int]) -> int:
 class Index:
     """A block of items with the keys of their walks."""
 
-    ids: list
+    ids: list  # of the items of ``MIN_WORDS`` words and more, then of the short ones
     words: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: ascending hashes of all words, items
     grams: np.ndarray  # hashes of the word grams of all items, ascending
     bits: np.ndarray  # whether a short hash of a gram may be in ``grams``
     window: int  # most words of a leak
@@ -132,7 +171,18 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[object, np.ndarray]]):
-        ids, words = [i for i, _ in items], [w for _, w in items]
+        long = [item for item in items if len(item[1]) >= MIN_WORDS]
+        ordered = long + [item for item in items if len(item[1]) < MIN_WORDS]
+        ids, words = [i for i, _ in ordered], [w for _, w in ordered]
+        short = {}
+        for size in sorted({len(w) for w in words[len(long) :]}):
+            own = np.array([k for k in range(len(long), len(words)) if len(words[k]) == size])
+            keys = np.concatenate([next(key for n, key in runs(words[k]) if n == size) for k in own.tolist()])
+            order = np.argsort(keys, kind="stable")
+            short[size] = keys[order], own[order]
+        if not long:
+            return cls(ids, words, short, np.zeros(0, np.uint64), np.zeros(1 << _GRAM_BITS, bool), 0, 1, 1, [])
+        items, words = long, words[: len(long)]
         grams = np.unique(np.concatenate([word_grams(w) for w in words]))
         bits = np.zeros(1 << _GRAM_BITS, bool)
         bits[(grams >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)] = True
@@ -155,12 +205,35 @@ class Index:
         most = sizes + edits
         block = int(most.min())
         least = np.ceil((sizes - GRAM + 1 - GRAM * edits) / np.ceil((most - GRAM + 1) / block)).min()
-        return cls(ids, words, grams, bits, int(most.max()), block, max(int(least), 1), tables)
+        words = [w for _, w in ordered]
+        return cls(ids, words, short, grams, bits, int(most.max()), block, max(int(least), 1), tables)
 
     def leaks(self, text: str | None) -> dict[int, int]:
         """Number of each item that leaks in ``text``, with its fewest edits."""
         words = word_hashes(text)
-        if len(words) <= self.least:
+        return self.whole(words) | self.edited(words)
+
+    def whole(self, words: np.ndarray) -> dict[int, int]:
+        """The short items that stand in ``words`` as they are."""
+        found: dict[int, int] = {}
+        if not self.short:
+            return found
+        for size, own in runs(words):
+            if size > max(self.short):
+                break
+            if size not in self.short:
+                continue
+            keys, items = self.short[size]
+            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            for at in np.flatnonzero(keys[place] == own).tolist():
+                for entry in range(place[at], np.searchsorted(keys, own[at], side="right")):
+                    if (item := int(items[entry])) not in found and (self.words[item] == words[at : at + size]).all():
+                        found[item] = 0
+        return found
+
+    def edited(self, words: np.ndarray) -> dict[int, int]:
+        """The other items that stand in ``words`` within their edits."""
+        if not self.tables or len(words) <= self.least:
             return {}
         grams = word_grams(words)
         hit = self.bits[(grams >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)]
@@ -206,6 +279,15 @@ class Index:
         return found
 
 
+def runs(words: np.ndarray):
+    """Number and hashes of every 1, 2 and more neighbouring words below ``MIN_WORDS``."""
+    found = np.zeros(len(words), np.uint64)
+    for size in range(1, min(MIN_WORDS, len(words) + 1)):
+        found = (found[: len(words) - size + 1] ^ words[size - 1 :]) * _MIX
+        found ^= found >> np.uint64(29)
+        yield size, found
+
+
 def word_grams(words: np.ndarray) -> np.ndarray:
     """Hash of every ``GRAM`` neighbouring words."""
     n = max(len(words) - GRAM + 1, 0)
@@ -221,7 +303,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     block, chars = [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
         words = word_hashes(row[1])
-        if len(words) < MIN_WORDS:
+        if not len(words):
             continue
         block.append((row[0], words))
         chars += len(row[1])

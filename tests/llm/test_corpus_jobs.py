@@ -383,6 +383,29 @@ def test_leaks_query_and_stage(spark, sf_dir, docs, monkeypatch):
     assert leaks.find(table, bench.limit(0)).count() == 0 and leaks.drop_leaking(table.limit(0), bench).count() == 0
 
 
+def test_leaks_of_short_items_and_scripts_without_spaces(spark):
+    items = {
+        1: "What is the capital of France?", 2: "法国的首都是哪里？", 3: "フランスの首都はどこですか、そして人口は何人ですか。",
+        4: "เมืองหลวงของประเทศฝรั่งเศสคือเมืองอะไร", 5: "capital", 6: "¿Qué?", 7: "?!", 8: "What is the capital of France?",
+        9: "one two three four five six seven eight nine ten",
+    }
+    texts = {
+        1: "“What is the  Capital of France”—asked", 2: "问：法国的首都是哪里？答：巴黎。", 3: "Q フランスの首都はどこですか。そして人口は五人ですか",
+        4: "ถาม" + items[4] + "ตอบ", 5: "what is the big capital", 6: "no leak? at all!", 7: None, 8: "so Qué…", 9: "三国的首都是哪里",
+        10: "x one two three four five 6 seven eight nine ten y",
+    }
+    want = {(1, 1), (1, 8), (1, 5), (2, 2), (3, 3), (4, 4), (5, 5), (8, 6), (10, 9)}
+    table = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    for held in (items, {k: v for k, v in items.items() if k not in (3, 4, 9)}):
+        bench = spark.createDataFrame([*held.items(), (None, None)], "item_id long, text string")
+        expected = {(d, i) for d, i in want if i in held}
+        rows = leaks.find(table, bench).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} >= expected and all(r.edits == 0 for r in rows if r.item_id not in (2, 3, 9))
+        assert {(r.doc_id, r.item_id) for r in rows} - expected <= {(9, 2)}  # 8 characters, one changed
+        kept = {r.doc_id for r in leaks.drop_leaking(table, bench).collect()}
+        assert kept == set(texts) - {r.doc_id for r in rows} and 7 in kept
+
+
 def test_pipeline(spark, sf_dir, docs, library):
     """Each stage against a plain version over what the one before kept."""
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
