@@ -2,7 +2,8 @@
 
 A byte-level tokenizer never joins the two sides of a single space between other
 characters, so what stands between such spaces is encoded once and kept; a text is then put
-together from kept pieces. A text with any other spacing, and every text of a tokenizer of
+together from kept pieces. A text with any other spacing or with an added token (such as
+``<|endoftext|>``), and every text of a tokenizer of
 another kind, goes through the library whole. The ids are the library's in all cases.
 """
 
@@ -26,14 +27,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         #: narrowest type that holds every id
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         before = self.library.pre_tokenizer
         self.by_pieces = (
             type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.library.normalizer is None
+            and not any(" " in token for token in self.added)  # pieces of other texts would make one
         )
         self.n_bytes = np.zeros(self.size, np.int64)  # a byte is one letter of such a vocabulary
         for name, number in vocabulary.items():
@@ -56,7 +58,9 @@ class Encoder:
             return self.whole(texts)
         if len(self.inner) + len(self.first) > MAX_PIECES:
             self.forget()
-        split = [t.split(" ") for t in texts]
+        # an added token may take spaces beside it, so its whole text goes through the library
+        special = [any(map(t.__contains__, self.added)) for t in texts]
+        split = [[""] if own else t.split(" ") for t, own in zip(texts, special, strict=True)]
         heads = [pieces.pop(0) for pieces in split]
         new = dict.fromkeys(filterfalse(self.first.__contains__, heads))
         self.first.update(zip(new, self.whole(list(new)), strict=True))
@@ -66,9 +70,9 @@ class Encoder:
         self._learn(list(new))
         found: list[bytes | None] = []
         get = self.inner.__getitem__
-        for head, pieces in zip(heads, split, strict=True):
+        for head, pieces, own in zip(heads, split, special, strict=True):
             try:
-                if pieces and (not head or head[-1].isspace()):
+                if own or pieces and (not head or head[-1].isspace()):
                     raise TypeError
                 found.append(self.first[head] + b"".join(map(get, pieces)))
             except TypeError:  # a piece that has no ids of its own

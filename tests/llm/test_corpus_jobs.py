@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridvigil.llm import grammar, jaccard, leaks, packing, queries, repetition, warc
@@ -55,6 +56,15 @@ def test_encoder_equals_library(library, docs):
     assert found == library.whole(texts)
 
 
+def test_added_tokens_are_the_library_s(vocabulary, docs):
+    fresh = Tokenizer.from_file(vocabulary)  # in its default state
+    coder = Encoder(vocabulary)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|>  y z", "<|endoftext|> <|endoftext|>x", "<|endoftext|", "", *list(docs.values())[:50]]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, coder.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(coder.encode(["a<|endoftext|>b"])[0], coder.dtype).tolist() == [64, 50256, 65]
+
+
 def best_fit(histogram):
     gaps, n = Counter(), 0
     for length in range(2048, 0, -1):
