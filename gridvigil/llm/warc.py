@@ -11,7 +11,8 @@ goes on from there, and logs the bytes between as a gap with the reason.
 
 Defined results: a null payload is an empty one; a row with a null id is a response, and the
 rows that share the smallest id of a payload all are; a null URL has no target header;
-other columns play no part; an empty table gives no files; files are read whole, so each must
+its control characters, line separators and outer spaces are percent-encoded; other columns
+play no part; an empty table gives no files; files are read whole, so each must
 stay below 2 GB (the writer closes them at ``FILE_BYTES``).
 """
 
@@ -36,9 +37,8 @@ DATE = "1970-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 PLAIN = b"WARC/"
-#: longest header block a record may have
-MAX_HEADER = 1 << 20
-HEADER_END = re.compile(rb"\r?\n\r?\n")
+#: what a URL cannot hold in a header line
+UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]|^ +| +$")
 NAME = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,6 +47,10 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def header_url(url: str) -> str:
+    return UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(number: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record; a revisit (of ``refers_to``) holds the HTTP headers without the payload."""
     http = (
@@ -56,7 +60,7 @@ def record(number: int | None, url: str | None, payload: bytes, refers_to: int |
     named = f"{NAME}{number}" if number is not None else "urn:sha1:" + digest(payload)
     lines = ["WARC/1.1", "WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <{named}>"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url))
+        lines.append("WARC-Target-URI: " + header_url(url))
     lines += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{NAME}{refers_to}>"]
@@ -91,28 +95,33 @@ def parse(data: bytes, at: int) -> tuple[Record, int]:
     version = VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    end = HEADER_END.search(data, version.end() - 2, at + MAX_HEADER)
-    if not end:
-        raise Damaged("headers do not end")
     headers: dict[str, str] = {}
-    for line in data[version.end() : end.start()].decode("utf-8", "replace").splitlines():
+    begin = version.end()
+    while True:  # lines end at CRLF or LF alone; the first bad one ends the search
+        end = data.find(b"\n", begin)
+        if end < 0:
+            raise Damaged("headers do not end")
+        line = data[begin:end].removesuffix(b"\r").decode("utf-8", "replace")
+        begin = end + 1
+        if not line:
+            break
         name, colon, value = line.partition(":")
-        if line[:1] in " \t" and headers:  # a folded line
+        if line[0] in " \t" and headers:  # a folded line
             last = next(reversed(headers))
-            headers[last] += " " + line.strip()
+            headers[last] += " " + line.strip(" \t")
         elif not colon or not name.strip():
             raise Damaged("bad header line")
         else:
-            headers[name.strip().lower()] = value.strip()
+            headers[name.strip().lower()] = value.strip(" \t")
     if not {"warc-record-id", "warc-type", "warc-date"} <= headers.keys():
         raise Damaged("a header is missing")
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Damaged("no content length")
-    stop = end.end() + int(size[:18])
+    stop = begin + int(size[:18])
     if stop > len(data):
         raise Damaged("block is cut off")
-    block = data[end.end() : stop]
+    block = data[begin:stop]
     kind, _, value = headers.get("warc-block-digest", "").partition(":")
     if kind.lower() == "sha1" and value.upper() != digest(block):
         raise Damaged("block digest differs")

@@ -233,6 +233,23 @@ def test_warc_odd_rows(spark):
     assert all(r.record_type == "response" for r in least if not r.payload_bytes)
 
 
+def test_warc_urls_with_line_marks_and_long_ones(spark):
+    odd = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n", "\t", "\x00"]
+    urls = [f"http://x/a{c}b" for c in odd] + ["http://x/" + "y" * (3 << 19), " http://x/\u00a0", "http://x/é"]
+    want = ["http://x/a" + "".join(f"%{b:02X}" for b in c.encode()) + "b" for c in odd] + [urls[-3], "%20http://x/\u00a0", urls[-1]]
+    pages = spark.createDataFrame([(i, u, "<a>") for i, u in enumerate(urls)], "page_id int, url string, html string")
+    stored = warc.read(spark, warc.write(pages))
+    rows = stored.collect()
+    assert all(r.reason is None for r in rows)
+    assert {r.record_id: r.target_uri for r in rows} == {f"<urn:page:{i}>": u for i, u in enumerate(want)}
+    found = {r.page_id: r.refers_to for r in warc.pages_of(stored, pages).collect()}
+    assert found == {i: 0 if i else None for i in range(len(urls))}
+    # a record of another writer keeps such characters
+    plain = warc.record(1, "http://x/ab", b"<a>", None).replace(b"/ab", "/a\u2028\x0b\x85b".encode())
+    records, gaps = warc.salvage(plain)
+    assert not gaps and records[0][2].headers["warc-target-uri"] == "http://x/a\u2028\x0b\x85b"
+
+
 def plain_components(rows):
     sets = {}
     for doc_id, text in rows:
