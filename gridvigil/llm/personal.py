@@ -43,7 +43,18 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s/@:?#\"'<>]+@[A-Za-z0-9.-]+")
 ACCOUNT = re.compile(r"(?:\.|:|#|\s|is|ist){0,4}([0-9A-Z][0-9A-Z -]{4,32}[0-9A-Z])(?![0-9A-Za-z])")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: characters of an IBAN by country
+IBAN_SIZES = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 "
+        "EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+        "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+        "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+    ).split()
+}
 
 
 @cache
@@ -86,6 +97,21 @@ def mod_97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """Where the IBAN at ``at`` ends: at its country's length, else the last end of a word that passes the check."""
+    m = IBAN.match(text, at)
+    if not m:
+        return None
+    size = IBAN_SIZES.get(m[0][:2])
+    for end in range(m.end(), at, -1):
+        if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+            continue
+        code = text[at:end].replace(" ", "")
+        if (len(code) == size if size else len(code) >= 15) and mod_97(code):
+            return end
+    return None
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start; code points, end exclusive."""
     if not text:
@@ -132,9 +158,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             at = last + 1
             while at < len(text) and at < last + 5 and text[at] in " :.#":
                 at += 1
-            if m := IBAN.match(text, at):
-                code = m[0].replace(" ", "")
-                take(kind, at, m.end(), 15 <= len(code) <= 34 and mod_97(code))
+            if (end := iban_end(text, at)) is not None:
+                take(kind, at, end, True)
         elif m := ACCOUNT.match(text, last + 1):
             take(kind, m.start(1), m.end(1), sum(map(DIGITS.__contains__, m[1])) >= 6)
     return [(kind, *span) for kind in KINDS for span in found[kind]]

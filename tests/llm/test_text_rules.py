@@ -116,6 +116,18 @@ def test_personal_added_spans():
     assert not personal.spans("IBAN DE00 3704 0044 0532 0130 00 and discount no 5")
 
 
+def test_iban_before_other_words():
+    german, unknown = "DE89 3704 0044 0532 0130 00", "XX57 1234 5678 9012 345"
+    assert personal.mod_97(unknown.replace(" ", "")) and "XX" not in personal.IBAN_SIZES
+    for code in (german, german.replace(" ", ""), "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", unknown):
+        for after in ("", " BIC: COBADEFF", " EUR 12", " 2024-01-02", " 100 EUR", " IBAN", ", x", " Bank", "\nBIC"):
+            text = f"IBAN: {code}{after}"
+            assert [text[s:e] for k, s, e in personal.spans(text) if k == "iban"] == [code]
+    text = f"IBAN DE00 3704 0044 0532 IBAN {german} EUR"
+    assert [text[s:e] for k, s, e in personal.spans(text) if k == "iban"] == [german]
+    assert not [k for k, *_ in personal.spans("IBAN DE89 3704 0044 0532 0130 00X") if k == "iban"]
+
+
 def plain_secrets(text):
     pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [("assign", *m.span()) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 6]
