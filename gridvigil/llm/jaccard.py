@@ -380,12 +380,9 @@ def components(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     sets = set_table(docs, id_col, text_col)
-    groups = stored(
-        sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies")),
-        "groups",
-    )
-    standing = groups.groupBy("id").agg(F.min("digest").alias("digest"))
-    single = sets.join(standing, ["id", "digest"], "left_semi")
+    standing = sets.filter("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
+    groups = stored(standing.groupBy("digest").agg(F.min("id").alias("id")), "groups")
+    single = sets.join(groups, ["id", "digest"], "left_semi")
     info = stored(single.groupBy("id").agg(F.first("n").alias("n"), *(F.first(s).alias(s) for s in SKETCH)), "info")
     lists = index_lists(single.dropDuplicates(["id"]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
@@ -398,16 +395,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         links = links.unionByName(exact_links(pairs, info, texts))
         labels = components(links)
     by_digest = groups.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
+    by_id = standing.join(by_digest, "digest").select("id", "label")
     kind = sql_type(docs, id_col)
-    label = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("id"))
-    return (
-        sets.select("id", "n", "digest")
-        .join(by_digest, "digest", "left")
-        .select(
-            F.col("id").cast(kind).alias(id_col),
-            F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("id").isNotNull(), label).cast(kind).alias("component_id"),
-        )
+    label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
+    rows = sets.filter("id is not null").select("id", "n").join(by_id, "id", "left").select("id", "n", label.alias("label"))
+    nameless = sets.filter("id is null").select("id", "n", F.col("id").alias("label"))  # would meet in one task
+    return rows.unionByName(nameless).select(
+        F.col("id").cast(kind).alias(id_col),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.col("label").cast(kind).alias("component_id"),
     )
 
 

@@ -315,6 +315,15 @@ def test_jaccard_odd_rows(spark, monkeypatch):
     assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_jaccard_ids_with_different_texts(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, x), (1, y), (5, y), (6, y + " z"), (15, x), (16, x + " z")]  # one of x and y stands for 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in jaccard.join(docs).collect()}
+    assert found in ({(1, 1), (5, 5), (6, 5), (15, 1), (16, 1)}, {(1, 1), (5, 1), (6, 1), (15, 15), (16, 15)})
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} in ({1, 5}, {1, 15})
+
+
 def test_block_pairs_match_all_pairs(monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = np.random.default_rng(3)
