@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridvigil.llm import grammar, jaccard, leaks, licenses, packing, personal, repetition, secrets, url_rules, warc
+from gridvigil.llm import (
+    centroids, divergence, grammar, jaccard, language, leaks, licenses, packing, personal, repetition, secrets,
+    url_rules, warc,
+)
 from gridvigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_license_scan": licenses.SQL}
+ORACLES: dict[str, str] = {
+    "op6_license_scan": licenses.SQL,
+    "op11_centroid_clustering": centroids.sql(),
+    "op12_source_divergence": divergence.SQL,
+}
 
 
 def vocabulary() -> str:
@@ -104,3 +111,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(personal.find(table(spark, sf_dir, "documents")), personal.BASE_KINDS)
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    found = language.identify(docs, language.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
