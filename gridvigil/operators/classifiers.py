@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -24,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridvigil.functions.bounded import collect_bounded
+from gridvigil.operators import boosting as trees
 from gridvigil.operators.sampling import MAX_STRATA, with_class_weight
 
 # --- fixed values: model settings ---
 FOREST = {"numTrees": 200, "featureSubsetStrategy": "sqrt", "maxDepth": 30, "seed": 42}
 TREE = {"maxDepth": 8, "seed": 42}
-BOOST = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "seed": 42}
+BOOST = {"rounds": 200, "depth": 8, "rate": 0.1}
+LEAF_BOOST = {"rounds": 200, "depth": 8, "rate": 0.1, "leaves": 31, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20}
 # --- end of fixed values ---
 
 
@@ -41,9 +41,14 @@ def tree(**settings) -> Estimator:
     return DecisionTreeClassifier(**{**TREE, **settings})
 
 
-def boosting(**settings) -> Estimator:
-    """Binary boosted trees; ``fit`` turns it into one-vs-rest for more classes."""
-    return GBTClassifier(**{**BOOST, **settings})
+def boosting(**settings) -> trees.Boosting:
+    """Second-order boosted trees that grow level by level, for any number of classes."""
+    return trees.Boosting(**{**BOOST, **settings})
+
+
+def leaf_boosting(**settings) -> trees.Boosting:
+    """Second-order boosted trees that grow best-first."""
+    return trees.Boosting(**{**LEAF_BOOST, **settings})
 
 
 def class_list(df: DataFrame, label: str) -> list[str]:
@@ -82,10 +87,15 @@ def fit(
     df: DataFrame,
     features: Sequence[str],
     label: str,
-    estimator: Estimator,
+    estimator: Estimator | trees.Boosting,
     balanced: bool = True,
-) -> Detector:
+) -> Detector | trees.BoostedDetector:
     """Train on ``df``; ``balanced`` weights rows by inverse class frequency."""
+    if isinstance(estimator, trees.Boosting):
+        data = df.select(*features, label)
+        if balanced:
+            data = with_class_weight(data, label, "_weight")
+        return trees.fit(data, features, label, estimator, "_weight" if balanced else None)
     start = time.perf_counter()
     classes = class_list(df, label)
     if len(classes) < 2:
@@ -95,12 +105,6 @@ def fit(
     if balanced:
         data = with_class_weight(data, label, "_weight")
         model.setWeightCol("_weight")
-    if isinstance(model, GBTClassifier) and len(classes) > 2:
-        model = OneVsRest(
-            classifier=model, featuresCol="_features", labelCol="_code", predictionCol="prediction"
-        )
-        if balanced:
-            model.setWeightCol("_weight")
     indexer = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc")
     coded = indexer.fit(data)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gridvigil.operators import classifiers, features, neighbours, oversampling, sampling, scoring
+from gridvigil.operators import boosting, classifiers, features, neighbours, oversampling, sampling, scoring
 from gridvigil.plans import transfer
 from gridvigil.plans.detections import rounded
 from gridvigil.plans.registry import query, table
-from gridvigil.sources.tables import scratch_path
+from gridvigil.session import scratch_path
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -318,13 +318,69 @@ def decision_tree_metrics(spark, sf):
 
 @query("boosted_trees_metrics")
 def boosted_trees_metrics(spark, sf):
-    estimator = classifiers.boosting(maxIter=20, maxDepth=5)
+    estimator = classifiers.boosting(rounds=20, depth=5)
     return _metrics(_train_and_predict(spark, sf, estimator, balanced=False, binary=True))
 
 
 @query("balanced_boosted_trees_metrics")
 def balanced_boosted_trees_metrics(spark, sf):
-    return _metrics(_train_and_predict(spark, sf, classifiers.boosting(maxIter=8, maxDepth=4)))
+    return _metrics(_train_and_predict(spark, sf, classifiers.leaf_boosting(rounds=8, leaves=15)))
+
+
+_STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _stump_rows(spark, sf):
+    label = (
+        F.when((F.col("l_quantity") > 30) & (F.col("l_discount") > 0.035), "DoS")
+        .when((F.col("l_tax") < 0.025) & (F.col("l_linenumber") < 4), "Recon")
+        .otherwise("Normal")
+    )
+    return table(spark, sf, "lineitem").select(*_STUMP_FEATURES, label.alias("label"))
+
+
+@query(
+    "boosted_multiclass_stumps",
+    """WITH r AS (SELECT l_quantity, l_discount, l_tax, l_linenumber, CASE WHEN l_quantity > 30 AND l_discount > 0.035 THEN 'DoS'
+      WHEN l_tax < 0.025 AND l_linenumber < 4 THEN 'Recon' ELSE 'Normal' END AS label FROM lineitem),
+    c AS (SELECT label AS class, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM r GROUP BY label),
+    x AS (SELECT label, unnest([0, 1, 2, 3]) AS f, unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS feature,
+      unnest([l_quantity, l_discount, l_tax, l_linenumber::DOUBLE]) AS v FROM r),
+    g AS (SELECT class, f, feature, v, sum(round_even((p - CASE WHEN label = class THEN 1 ELSE 0 END) * 1048576, 0)) / 1048576 AS g,
+      sum(round_even(2 * p * (1 - p) * 1048576, 0)) / 1048576 AS h, count(*) AS n FROM x, c GROUP BY ALL),
+    l AS (SELECT class, f, feature, v, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(n) OVER u AS nl,
+      sum(g) OVER w AS ga, sum(h) OVER w AS ha, sum(n) OVER w AS na FROM g
+      WINDOW u AS (PARTITION BY class, f ORDER BY v), w AS (PARTITION BY class, f)),
+    s AS (SELECT *, (gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2 AS gain
+      FROM l WHERE nl < na AND hl >= 1 AND ha - hl >= 1)
+    SELECT class, feature, v AS up_to, round(gain, 4) AS gain, round(-gl / (hl + 1), 8) AS left_value,
+      round(-(ga - gl) / (ha - hl + 1), 8) AS right_value
+    FROM s QUALIFY row_number() OVER (PARTITION BY class ORDER BY gain DESC, f, v) = 1""",
+)
+def boosted_multiclass_stumps(spark, sf):
+    """The first split of each class's tree, of one model for all classes."""
+    settings = classifiers.boosting(rounds=1, depth=1, bins=254)
+    model = classifiers.fit(_stump_rows(spark, sf), _STUMP_FEATURES, "label", settings, balanced=False)
+    nodes = model.splits(spark)
+    values = {side: nodes.select("class", F.col("node").alias(side), F.col("value").alias(f"{side}_value")) for side in ("left", "right")}
+    root = nodes.where("node = 0").join(values["left"], ["class", "left"]).join(values["right"], ["class", "right"])
+    shown = root.select("class", "feature", "up_to", F.round("gain", 4).alias("gain"), "left_value", "right_value")
+    return rounded(shown, ["left_value", "right_value"], 8)
+
+
+@query("boosted_multiclass_metrics")
+def boosted_multiclass_metrics(spark, sf):
+    return _metrics(_train_and_predict(spark, sf, classifiers.boosting(rounds=10, depth=4)))
+
+
+@query("saved_booster_scores")
+def saved_booster_scores(spark, sf):
+    """A booster after a write to and a read from the shared folder."""
+    path = scratch_path(spark, "booster")
+    model = classifiers.fit(signal(spark, sf), SIGNAL_FEATURES, "label", classifiers.boosting(rounds=2, depth=3))
+    model.save(spark, path)
+    scored = boosting.BoostedDetector.load(spark, path).predict(signal(spark, sf))
+    return scored.select("o_orderkey", "y_pred", classifiers.attack_score().alias("score"))
 
 
 @query("model_scores")

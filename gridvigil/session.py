@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder; removed when the driver's JVM ends,
+    even after the session is stopped."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop_path)
+    system.deleteOnExit(hadoop_path)
+    return f"{folder}/table"

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvigil.operators.sampling import join_strata
-from gridvigil.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from gridvigil.session import scratch_path  # noqa: F401
 
 
 def save_processed(df: DataFrame, path: str, form: str = "parquet") -> None:
