@@ -92,7 +92,7 @@ def fit(
 ) -> Detector | trees.BoostedDetector:
     """Train on ``df``; ``balanced`` weights rows by inverse class frequency."""
     if isinstance(estimator, trees.Boosting):
-        data = df.select(*features, label)
+        data = df.select(*[F.col(f"`{c}`") for c in [*features, label]])
         if balanced:
             data = with_class_weight(data, label, "_weight")
         return trees.fit(data, features, label, estimator, "_weight" if balanced else None)
