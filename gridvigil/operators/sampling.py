@@ -1,7 +1,8 @@
 """Reproducible samples, splits and class weights.
 
-Every random choice uses the hash order of ``functions.hashing``. No quota, however large,
-ranks a whole class: ``cutoffs`` finds, by counting in ever narrower ranges, the key value at
+Every random choice uses the hash order of ``functions.hashing``. A fixed quota of up to
+``FEW`` rows a class is met in one job: every task keeps the lowest rows of each class, and
+these few are merged. No larger quota ranks a whole class: ``cutoffs`` finds, by counting in ever narrower ranges, the key value at
 which each class reaches its quota, and the sample is then a filter on the original scan with
 no shuffle of the rows. A draw is uniform, so its first counting pass, which also counts the
 classes, already tells the range. A null label is a class like any other. Of rows whose keys
@@ -14,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gridvigil.functions.bounded import collect_bounded, local_table, materialise
 from gridvigil.functions.hashing import DRAW_DIGITS, draw_number, row_digest
@@ -27,6 +29,12 @@ DRAW_SHIFT = 4 * DRAW_DIGITS - 8
 #: a boundary range with at most this many rows is ranked exactly
 RANK_ROWS = 100_000
 
+#: a fixed quota of at most so many rows is kept task by task; Spark limits a ranked group
+#: before its shuffle below 1000 rows
+FEW = 999
+#: groups of tasks whose lowest rows are merged first, so that no task gets those of all tasks
+TASK_GROUPS = 64
+
 Quota = Callable[[DataFrame], DataFrame]
 
 
@@ -89,11 +97,11 @@ def cutoffs(
     """
     strata = list(strata)
     keyed = df.select(*strata, F.col(key).alias("_key"), F.col(tie).alias("_tie"))
-    first = None
+    first = parts = None
     if key == "draw":
-        first = _held(
-            keyed.groupBy(*strata, F.shiftright("_key", DRAW_SHIFT).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-        )
+        split = keyed.groupBy(*strata, F.shiftright("_key", DRAW_SHIFT).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        parts = collect_bounded(split, MAX_STRATA)
+        first = materialise(split) if parts is None else local_table(df.sparkSession, parts, _nullable(split.schema))
         counts = first.groupBy(*strata).agg(
             F.sum("_n").alias("n"), F.lit(0).cast("long").alias("_lo"), F.lit((1 << 4 * DRAW_DIGITS) - 1).alias("_hi")
         )
@@ -101,7 +109,11 @@ def cutoffs(
         counts = keyed.groupBy(*strata).agg(
             F.count(F.lit(1)).alias("n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")
         )
-    goals = _held(quota(_held(counts)).select(*strata, "n", "_lo", "_hi", "target"))
+    wanted = quota(counts).select(*strata, "n", "_lo", "_hi", F.col("target").cast("long").alias("target"))
+    rows = collect_bounded(wanted, MAX_STRATA)
+    if rows is not None and (parts is not None or key != "draw"):
+        return _few_strata(keyed, strata, rows, parts)
+    goals = materialise(wanted)
     target = F.coalesce(F.col("target"), F.lit(0))
     text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
     nothing = goals.where(target <= 0).select(
@@ -121,8 +133,52 @@ def cutoffs(
     wide = (F.col("_n") > RANK_ROWS) & (F.col("_hi") > F.col("_lo"))
     while ranges.where(wide).limit(1).count():
         ranges = _held(_narrow(keyed, strata, ranges))
+    ranked = _ranked(keyed, strata, ranges)
+    return _held(nothing.unionByName(everything).unionByName(ranked))
+
+
+def _few_strata(keyed: DataFrame, strata: list[str], goals: list, parts: list | None) -> DataFrame:
+    """``cutoffs`` where the driver holds the strata: a job for each narrowing and one for the rank."""
+    spark = keyed.sparkSession
+    kinds = _nullable(keyed.select(*strata).schema)
+    cuts, ranges = [], []
+    in_parts: dict[tuple, list] = {}
+    for row in parts or []:
+        in_parts.setdefault(repr([row[s] for s in strata]), []).append((row["_part"], row["_n"]))
+    for row in goals:
+        name, target = tuple(row[s] for s in strata), row["target"] or 0
+        if target <= 0:
+            cuts.append((*name, None, None, None, None))
+        elif target >= row["n"]:
+            cuts.append((*name, row["_hi"], "\U0010ffff", 0, 0))
+        elif parts is None:
+            ranges.append((*name, row["_lo"], row["_hi"], target, row["n"]))
+        else:
+            for part, n in sorted(in_parts[repr(list(name))]):
+                if n >= target:
+                    lo = part << DRAW_SHIFT
+                    ranges.append((*name, lo, lo + (1 << DRAW_SHIFT) - 1, target, n))
+                    break
+                target -= n
+    range_schema = StructType([*kinds.fields, *(StructField(n, LongType()) for n in ("_lo", "_hi", "_need", "_n"))])
+
+    def held(found: list) -> DataFrame:
+        return local_table(spark, found, range_schema)
+
+    while any(r[-1] > RANK_ROWS and r[-3] > r[-4] for r in ranges):
+        ranges = [tuple(r) for r in _narrow(keyed, strata, held(ranges)).collect()]
+    if ranges:
+        cuts += [tuple(r) for r in _ranked(keyed, strata, held(ranges)).collect()]
+    names = (("_cut_key", LongType()), ("_cut_tie", StringType()), ("_cut_take", LongType()), ("_cut_same", LongType()))
+    schema = StructType([*kinds.fields, *(StructField(n, t) for n, t in names)])
+    found = local_table(spark, cuts, schema)
+    found.splits = any(c[-2] is not None and c[-2] < c[-1] for c in cuts)
+    return found
+
+
+def _ranked(keyed: DataFrame, strata: list[str], ranges: DataFrame) -> DataFrame:
     order = _per(strata).orderBy("_key", "_tie")
-    ranked = (
+    return (
         _inside(keyed, strata, ranges)
         .withColumn("_rn", F.row_number().over(order))
         .withColumn("_first", F.rank().over(order))
@@ -133,7 +189,6 @@ def cutoffs(
             (F.col("_need") - F.col("_first") + 1).cast("long").alias("_cut_take"), F.col("_same").alias("_cut_same"),
         )
     )
-    return _held(nothing.unionByName(everything).unionByName(ranked))
 
 
 def _inside(keyed: DataFrame, strata: list[str], ranges: DataFrame) -> DataFrame:
@@ -181,19 +236,44 @@ def mark_lowest(
         whole = df.withColumn("_whole", F.lit(0))
         return mark_lowest(whole, ["_whole"], quota, key, tie, out).drop("_whole")
     cuts = cutoffs(df, strata, quota, key, tie)
-    split = cuts.where("_cut_take < _cut_same").limit(1).count()
+    split = cuts.splits if hasattr(cuts, "splits") else cuts.where("_cut_take < _cut_same").limit(1).count()
     joined = join_strata(df, cuts, strata, "left")
     equal = (F.col(key) == F.col("_cut_key")) & (F.col(tie) == F.col("_cut_tie"))
     below = (F.col(key) < F.col("_cut_key")) | ((F.col(key) == F.col("_cut_key")) & (F.col(tie) < F.col("_cut_tie")))
     if split:  # rows that cannot be told apart by their keys share what is left of a quota
-        same = Window.partitionBy(*strata, key, tie).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
+        same = Window.partitionBy(*strata, key, tie).orderBy(_row_hash(df))
         joined = joined.withColumn("_place", F.when(equal, F.row_number().over(same)))
         equal = F.col("_place") <= F.col("_cut_take")
     flagged = joined.withColumn(out, F.coalesce(below | equal, F.lit(False)))
     return flagged.drop("_cut_key", "_cut_tie", "_cut_take", "_cut_same", "_place")
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """Order of rows whose keys are equal."""
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+
+
+def few_lowest(
+    df: DataFrame, strata: Sequence[str], size: int, key: str = "draw", tie: str = "digest", out: str = "_place"
+) -> DataFrame:
+    """The ``size`` (at most ``FEW``) lowest rows per stratum with their rank ``out``, in one job.
+
+    A task passes on no more than ``size`` rows of a stratum, a group of tasks as many.
+    """
+    if not 0 <= size <= FEW:
+        raise ValueError(f"size must be 0 to {FEW}")
+    order = (key, tie, _row_hash(df))
+    near = Window.partitionBy(*strata, "_tasks").orderBy(*order)
+    grouped = df.withColumn("_tasks", F.spark_partition_id() % TASK_GROUPS)
+    lowest = grouped.withColumn(out, F.row_number().over(near)).where(F.col(out) <= size).drop(out, "_tasks")
+    whole = _per(list(strata)) if strata else _over(())
+    return lowest.withColumn(out, F.row_number().over(whole.orderBy(*order))).where(F.col(out) <= size)
+
+
 def take_lowest(df: DataFrame, strata: Sequence[str], quota: Quota, **keys) -> DataFrame:
+    size = getattr(quota, "size", None)
+    if size is not None and 0 <= size <= FEW:
+        return few_lowest(df, strata, size, **keys).drop("_place")
     return mark_lowest(df, strata, quota, **keys).where("taken").drop("taken")
 
 
@@ -201,7 +281,11 @@ def take_lowest(df: DataFrame, strata: Sequence[str], quota: Quota, **keys) -> D
 
 
 def fixed_quota(size: int) -> Quota:
-    return lambda counts: counts.select("*", F.lit(size).cast("long").alias("target"))
+    def quota(counts: DataFrame) -> DataFrame:
+        return counts.select("*", F.lit(size).cast("long").alias("target"))
+
+    quota.size = size
+    return quota
 
 
 def share_quota(fraction: float) -> Quota:
@@ -299,6 +383,10 @@ def shot_and_test(
     """Disjoint few-shot and test rows per class; small classes fill the shots first."""
     drawn = with_seeds(df, seeds, keys)
     strata = ["seed", label]
+    if 0 <= shots and 0 <= tests and shots + tests <= FEW:
+        both = few_lowest(drawn, strata, shots + tests)
+        part = F.when(F.col("_place") <= shots, "shot").otherwise("test")
+        return both.withColumn("part", part).drop("_place")
     flagged = mark_lowest(drawn, strata, fixed_quota(shots), out="_shot")
     both = mark_lowest(flagged, strata, fixed_quota(shots + tests)).where("taken")
     return both.withColumn("part", F.when(F.col("_shot"), "shot").otherwise("test")).drop("_shot", "taken")

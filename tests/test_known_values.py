@@ -304,3 +304,25 @@ def test_class_list_codes(spark):
     coded = df.withColumn("code", labels.encoded(F.col("y"), ["b", "a"]))
     rows = coded.withColumn("back", labels.decoded(F.col("code"), ["b", "a"])).collect()
     assert [tuple(r) for r in rows] == [("b", 1, "b"), ("a", 0, "a"), ("x", None, None), (None, None, None)]
+
+
+def test_few_lowest_equals_the_cut_off(spark):
+    from gridvigil.operators import sampling
+
+    rows = [(i % 40, ["a", None, "b"][i % 3], i // 7) for i in range(300)] + [(5, "a", 1)] * 9
+    df = spark.createDataFrame(rows, "key int, label string, v int").repartition(7)
+    drawn = sampling.with_draw(df, ["key"])
+    for strata in (["label"], []):
+        for size in (0, 1, 9, 50, 400):
+            few = sampling.few_lowest(drawn, strata, size).drop("_place")
+            whole = sampling.mark_lowest(drawn, strata, sampling.fixed_quota(size)).where("taken").drop("taken")
+            assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_strata_that_python_cannot_compare(spark):
+    from gridvigil.operators import sampling
+
+    rows = [(i, float("nan") if i % 2 else 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "key int, label double")
+    taken = sampling.pool_and_holdout(df, "label", ["key"], 0.3).where("part = 'holdout'")
+    assert taken.count() == 30
