@@ -262,12 +262,14 @@ def few_lowest(
     """
     if not 0 <= size <= FEW:
         raise ValueError(f"size must be 0 to {FEW}")
-    order = (key, tie, _row_hash(df))
+    # without strata all rows are one stratum, as in ``mark_lowest``
+    order = (key, tie, _row_hash(df if strata else df.withColumn("_whole", F.lit(0))))
     near = Window.partitionBy(*strata, "_tasks").orderBy(*order)
-    grouped = df.withColumn("_tasks", F.spark_partition_id() % TASK_GROUPS)
+    grouped = (df if strata else df.withColumn("_whole", F.lit(0))).withColumn("_tasks", F.spark_partition_id() % TASK_GROUPS)
     lowest = grouped.withColumn(out, F.row_number().over(near)).where(F.col(out) <= size).drop(out, "_tasks")
     whole = _per(list(strata)) if strata else _over(())
-    return lowest.withColumn(out, F.row_number().over(whole.orderBy(*order))).where(F.col(out) <= size)
+    found = lowest.withColumn(out, F.row_number().over(whole.orderBy(*order))).where(F.col(out) <= size)
+    return found if strata else found.drop("_whole")
 
 
 def take_lowest(df: DataFrame, strata: Sequence[str], quota: Quota, **keys) -> DataFrame:

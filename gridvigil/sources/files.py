@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,10 @@ from pyspark.sql import types as T
 from gridvigil.functions.bounded import collect_bounded
 
 MAX_FILES = 1_000_000
+#: bytes read at a time for a first line, most of them, and files looked at together
+PROBE = 1 << 16
+MAX_HEADER = 1 << 24
+PROBES = 16
 # --- fixed values: folders and files left out ---
 SKIPPED = r"(?i)(_macosx|haiend|hai-end)"
 
@@ -62,22 +69,49 @@ def find_files(
     return paths
 
 
-def header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """First line of every file; only these lines reach the driver."""
-    lines = spark.read.text(list(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    first = lines.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "at").alias("line"))
-    return {r["path"]: r["line"] for r in first.collect()}
-
-
-def _layout(line: str) -> tuple[str, str]:
-    """(separator, encoding): semicolons if they give more than two columns."""
-    separator = ";" if line.count(";") >= 2 else ","
-    return separator, "ISO-8859-1" if "�" in line else "UTF-8"
+def _first_line(spark: SparkSession, path: str) -> bytes | None:
+    """Bytes of the first line, read from the start of the file in steps of ``PROBE``; None if empty."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    conf = context._jsc.hadoopConfiguration()
+    stream = hadoop_path.getFileSystem(conf).open(hadoop_path)
+    try:
+        codec = context._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop_path)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        held = b""
+        while not (ends := re.search(rb"[\r\n]", held)):
+            more = bytes(source.readNBytes(PROBE))
+            held += more
+            if len(more) < PROBE:
+                break
+            if len(held) > MAX_HEADER:
+                raise ValueError(f"{path} has no line end in its first {MAX_HEADER} bytes")
+        ends = re.search(rb"[\r\n]", held)
+        line = held[: ends.start()] if ends else held
+        return line.removeprefix(b"\xef\xbb\xbf") if held else None
+    finally:
+        stream.close()
+
+
+def header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, bytes]:
+    """First line of every file that is not empty; no more than the file's start is read."""
+    with ThreadPoolExecutor(PROBES) as pool:
+        lines = pool.map(lambda p: _first_line(spark, p), paths)
+        return {p: line for p, line in zip(paths, lines, strict=True) if line is not None}
+
+
+def not_utf8(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files with a line that is not valid UTF-8, found by one scan; lines stay where they are."""
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+    bad = lines.where(~F.is_valid_utf8("value")).select("path").distinct()
+    # names come back as the file source writes them
+    rows = collect_bounded(bad, MAX_FILES)
+    return {_plain(r["path"]) for r in rows or []}
+
+
+def _plain(path: str) -> str:
+    """A path without the escapes and the empty authority of a URI."""
+    return re.sub("^file:/+", "/", unquote(path))
 
 
 def read_delimited(
@@ -90,14 +124,20 @@ def read_delimited(
 ) -> DataFrame:
     """All files as one text table, united by stripped column name.
 
-    Separator and encoding are found per file from its first line unless given. In semicolon
-    files a decimal comma becomes a point. Files with the same header are one scan.
+    Unless given, the separator is found from a file's first line, semicolons if they give more
+    than two columns, and the encoding from all its lines: ISO-8859-1 if one is not valid
+    UTF-8. In semicolon files a decimal comma becomes a point. Files with the same header are
+    one scan; empty files give nothing.
     """
+    lines = header_lines(spark, paths)
+    other = not_utf8(spark, list(lines)) if lines and encoding is None else set()
     groups: dict[tuple, list[str]] = {}
-    for path, line in header_lines(spark, paths).items():
-        found, guessed = _layout(line or "")
-        key = (separator or found, encoding or guessed, line)
-        groups.setdefault(key, []).append(path)
+    for path, line in lines.items():
+        charset = encoding or ("ISO-8859-1" if _plain(path) in other else "UTF-8")
+        sep = separator or (";" if line.count(b";") >= 2 else ",")
+        groups.setdefault((sep, charset, line), []).append(path)
+    if not groups:
+        raise ValueError("all files are empty")
     parts = []
     for (sep, charset, line), members in sorted(groups.items(), key=lambda g: min(g[1])):
         reader = spark.read.option("sep", sep).option("encoding", charset).option("header", "true")
