@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import collect_bounded, settle
+from gridvigil.functions.bounded import broadcast_if_small, collect_bounded, materialise, settle
 from gridvigil.functions.hashing import draw_number, row_digest
 from gridvigil.functions.statistics import mcnemar_p, rank_sum_p, wilson_bounds
 from gridvigil.operators.ordering import with_position
+from gridvigil.operators.sampling import join_strata
 from gridvigil.operators.scoring import score_curve
 
 MAX_MODELS = 10_000
@@ -84,6 +88,13 @@ def rate_intervals(
     return rows.withColumns({"share": share, "lo": low, "hi": high})
 
 
+#: groups of more values are resampled by weights
+FEW_VALUES = 5000
+#: rows whose weights are drawn together, and numbers a task holds before it passes them on
+WEIGHT_ROWS = 512
+MAX_HELD = 2_000_000
+
+
 def bootstrap_interval(
     df: DataFrame,
     keys: Sequence[str],
@@ -95,33 +106,108 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Mean and percentile interval of the mean for each key.
 
-    Draw d of resample b picks the value at position hash(seed:b:d) mod n, so every
-    resample is spread over the cluster and can be redone after a lost task.
+    In a group of up to ``FEW_VALUES`` values, draw d of resample b picks the value at position
+    hash(seed:b:d) mod n. A larger group is resampled where its rows lie: each row counts in
+    each resample as often as a Poisson draw of mean 1 from a hash of ``order_col`` says, and
+    a task passes on two sums for each group and resample. ``order_col`` is unique in a
+    group. Both give the same resamples under any partitioning.
     """
     keys = list(keys)
-    values = settle(
-        df.where(F.col(value).isNotNull()).select(
-            *keys, order_col, F.col(value).cast("double").alias("_x")
-        )
+    rows = df.where(F.col(value).isNotNull()).select(*keys, order_col, F.col(value).cast("double").alias("_x"))
+    values = settle(rows)
+    sizes = settle(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("mean")))
+    few, many = sizes.where(F.col("_n") <= FEW_VALUES), sizes.where(F.col("_n") > FEW_VALUES)
+    means = _picked_means(join_strata(values, few.select(*keys), keys), few, keys, order_col, resamples, seed)
+    if many.limit(1).count():
+        weighted = _weighted_means(values, many, keys, order_col, resamples, seed)
+        means = means.unionByName(weighted)
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*keys).agg(
+        F.percentile("_mean", tail).alias("lo"), F.percentile("_mean", 1 - tail).alias("hi")
     )
+    return join_strata(sizes.select(*keys, "mean", F.col("_n").alias("n")), bounds, keys)
+
+
+def _picked_means(
+    values: DataFrame, sizes: DataFrame, keys: list[str], order_col: str, resamples: int, seed: int
+) -> DataFrame:
     placed = with_position(values, [order_col], keys, out="_at")
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("mean"))
     draws = (
         sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .repartition(*keys, "_b")
         .withColumn("_d", F.explode(F.expr("sequence(0L, _n - 1)")))
         .withColumn("_at", draw_number(row_digest(seed, "_b", "_d")) % F.col("_n"))
     )
-    means = (
-        draws.join(placed.select(*keys, "_at", "_x"), [*keys, "_at"])
-        .groupBy(*keys, "_b")
-        .agg(F.avg("_x").alias("_mean"))
-    )
-    tail = (1 - level) / 2
-    bounds = means.groupBy(*keys).agg(
-        F.percentile("_mean", tail).alias("lo"), F.percentile("_mean", 1 - tail).alias("hi")
+    joined = join_strata(draws, placed.select(*keys, "_at", "_x"), [*keys, "_at"])
+    return joined.groupBy(*keys, "_b").agg(F.avg("_x").alias("_mean"))
+
+
+def poisson_table() -> np.ndarray:
+    """Poisson(1) draw of each 16-bit number."""
+    share, total, ends = math.exp(-1), 0.0, []
+    for n in range(12):
+        total += share
+        ends.append(total)
+        share /= n + 1
+    return np.searchsorted(np.array(ends), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+def weights_of(hashes: np.ndarray, resamples: int, table: np.ndarray) -> np.ndarray:
+    """How often each row (by its hash) counts in each resample; four draws from a 64-bit hash."""
+    steps = np.arange(-(-resamples // 4), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = hashes[:, None] + steps[None, :]
+    mixed ^= mixed >> np.uint64(30)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(27)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    return table[mixed.view(np.uint16)[:, :resamples]]
+
+
+def _weighted_means(
+    values: DataFrame, sizes: DataFrame, keys: list[str], order_col: str, resamples: int, seed: int
+) -> DataFrame:
+    numbered = materialise(sizes.select(*keys, F.monotonically_increasing_id().alias("_g")))
+    rows = join_strata(values, broadcast_if_small(numbered), keys).select(
+        "_g", F.xxhash64(F.lit(seed), F.col(order_col)).alias("_h"), "_x"
     )
-    return sizes.select(*keys, "mean", F.col("_n").alias("n")).join(bounds, keys)
+    table = poisson_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def rows_of() -> pa.RecordBatch:
+            kind = pa.list_(pa.float64())
+            found = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(held), pa.int64()),
+                    pa.array([list(x[0]) for x in held.values()], kind),
+                    pa.array([list(x[1]) for x in held.values()], kind),
+                ],
+                names=["_g", "_w", "_wx"],
+            )
+            held.clear()
+            return found
+
+        for batch in batches:
+            group, hashes, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for g in np.unique(group).tolist():
+                own = np.flatnonzero(group == g)
+                total = held.setdefault(g, np.zeros((2, resamples)))
+                for start in range(0, len(own), WEIGHT_ROWS):
+                    some = own[start : start + WEIGHT_ROWS]
+                    weights = weights_of(hashes[some].astype(np.int64).view(np.uint64), resamples, table)
+                    total[0] += weights.sum(0, dtype=np.int64)
+                    total[1] += x[some] @ weights
+                if len(held) * 2 * resamples > MAX_HELD:
+                    yield rows_of()
+        if held:
+            yield rows_of()
+
+    sums = rows.mapInArrow(run, "_g long, _w array<double>, _wx array<double>")
+    per_resample = sums.select("_g", F.posexplode(F.arrays_zip("_w", "_wx")).alias("_b", "_s"))
+    means = per_resample.groupBy("_g", "_b").agg((F.sum("_s._wx") / F.sum("_s._w")).alias("_mean"))
+    return means.join(broadcast_if_small(numbered), "_g").select(*keys, "_b", "_mean")
 
 
 # --- paired detectors -----------------------------------------------------------------------

@@ -72,9 +72,12 @@ def with_position(
 ) -> DataFrame:
     """0-based position by ``order_cols``, within each group if ``group_cols`` is given.
 
-    The order columns together must be unique in a group.
+    The order columns together must be unique in a group. They may be of any type that
+    sorts; nulls come first.
     """
     group_cols = list(group_cols)
+    if not all(_numeric(df, name) for name in order_cols[:2]):
+        return _position_by_tuples(df, list(order_cols), group_cols, out, ranges)
     ranged = with_sort_range(df, order_cols[0], "_r1", ranges)
     if len(order_cols) > 1:
         ranged = with_sort_range(ranged, order_cols[1], "_r2", ranges)
@@ -104,6 +107,34 @@ def with_position(
     )
 
 
+def _numeric(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.TimestampNTZType | T.TimestampType | T.DateType | T.NumericType)
+
+
+def _position_by_tuples(
+    df: DataFrame, order_cols: list[str], group_cols: list[str], out: str, ranges: int | None
+) -> DataFrame:
+    """Positions for text and other keys, by ranges of whole tuples.
+
+    Spark samples tuples of all order columns as splitters, so rows that share a hot first
+    column, or a long common prefix, are cut by what follows. The ranges are written once, so
+    their numbers stand when a task is run again.
+    """
+    columns = [*group_cols, *order_cols]
+    parts = df.repartitionByRange(ranges or range_count(df), *columns).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(parts).withColumn("_group", F.struct(*group_cols) if group_cols else F.lit(0))
+    sizes = ranged.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_group", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order_cols))
+    ranked = ranged.withColumn("_rank", rank)
+    return (
+        ranked.join(broadcast_if_small(offsets), ["_group", "_part"])
+        .withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("long"))
+        .drop("_group", "_part", "_offset", "_rank")
+    )
+
+
 def class_codes(df: DataFrame, label: str) -> DataFrame:
     """(label, code): every class with its 0-based place in sorted order, nulls left out.
 

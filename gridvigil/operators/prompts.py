@@ -24,6 +24,11 @@ ROLES = {
 DEFAULT_ROLE = "You label snapshots of an industrial process. Answer with one label only."
 
 
+#: buckets of an answer store, and requests asked before their answers are stored
+BUCKETS = 64
+ASK_ROWS = 100_000
+
+
 def _fill(template: str, **parts: Column) -> Column:
     """Concatenate a template, with ``{name}`` replaced by a column."""
     pieces, rest = [], template
@@ -87,7 +92,11 @@ def prompt_table(
 
 
 def score_distinct(
-    requests: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], answer: str = "answer"
+    requests: DataFrame,
+    key: str,
+    score: Callable[[DataFrame], DataFrame],
+    answer: str = "answer",
+    store: str | None = None,
 ) -> DataFrame:
     """Answer each distinct request once and give the answer to all its rows.
 
@@ -95,12 +104,63 @@ def score_distinct(
     (temperature 0). The distinct step combines map-side, so a request that makes up much
     of the table is sent once per task. Answers are kept in the checkpoint folder: a lost
     executor does not ask again. In the join back a hot request is split by adaptive
-    execution.
+    execution. With ``store`` (a folder) answers outlive the call; see ``stored_answers``.
     """
-    once = materialise(score(requests.dropDuplicates([key])).select(key, answer))
+    if store is not None:
+        once = stored_answers(requests, key, score, answer, store)
+    else:
+        once = materialise(score(requests.dropDuplicates([key])).select(key, answer))
     return requests.join(once, key)
 
 
+def stored_answers(
+    requests: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], answer: str, store: str
+) -> DataFrame:
+    """(key, answer) of every distinct request, from the answers in ``store`` and new ones.
+
+    The store is a Parquet table in buckets of the key's hash. Only requests without an answer
+    there are asked, ``ASK_ROWS`` or so at a time, and each lot is appended as soon as it is
+    answered: a run that fails later loses none of the earlier lots, and a second run asks
+    nothing. Two runs at once may answer a request twice; the lesser answer then counts for
+    both. A request with a null key or a null answer is asked each time.
+    """
+    spark = requests.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    kinds = requests.select(key).schema
+
+    def known() -> DataFrame | None:
+        # a first run that failed may have left the folder without answers
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_bucket=*/*.parquet")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+            return None
+        held = spark.read.parquet(store)
+        return held.groupBy("_bucket", key).agg(F.min(answer).alias(answer))
+
+    held = known()
+    wanted = requests.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_bucket", bucket)
+    asked = wanted if held is None else wanted.join(held.select("_bucket", key), ["_bucket", key], "left_anti")
+    asked = materialise(asked)
+    # buckets are filled evenly by the hash, so lots of whole buckets are of even size
+    sizes = {r["_bucket"]: r["count"] for r in asked.groupBy("_bucket").count().collect()}
+    lots: list[list[int]] = []
+    filled = ASK_ROWS
+    for number in sorted(sizes):
+        if filled + sizes[number] > ASK_ROWS:
+            lots.append([])
+            filled = 0
+        lots[-1].append(number)
+        filled += sizes[number]
+    for lot in lots:
+        new = score(asked.where(F.col("_bucket").isin(lot)).drop("_bucket"))
+        new = new.where(F.col(answer).isNotNull()).select(key, answer, bucket)
+        new.write.mode("append").partitionBy("_bucket").parquet(store)
+    held = known()
+    if held is None:
+        empty = spark.createDataFrame([], kinds)
+        return empty.withColumn(answer, F.lit(None).cast("string"))
+    return wanted.select(key, "_bucket").join(held, ["_bucket", key]).select(key, answer)
+
+
 def usage_totals(calls: DataFrame, run: Sequence[str] = ("model",)) -> DataFrame:
     """Calls, cached calls, errors, tokens and seconds, with averages per call."""
     count = F.count(F.lit(1))

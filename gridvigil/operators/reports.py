@@ -8,6 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridvigil.functions.bounded import collect_bounded, materialise
+from gridvigil.operators.ordering import with_sort_range
+from gridvigil.operators.sampling import join_strata
+
+#: rows whose frontier is found without cutting them into ranges
+FEW_ROWS = 10_000
 MASTER_COLUMNS = [
     "dataset", "mode", "experiment", "model", "kind",
     "accuracy", "macro_f1", "balanced_acc", "MCC", "FAR", "DR",
@@ -50,16 +56,30 @@ def best_flag(df: DataFrame, metric: str, group: Sequence[str]) -> DataFrame:
 
 
 def pareto_frontier(df: DataFrame, cost: str, gain: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rows whose gain beats every cheaper row's (record highs along rising cost)."""
-    part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    order = part.orderBy(cost, F.desc(gain), "model")
-    record = F.max(gain).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        df.where(F.col(cost).isNotNull() & F.col(gain).isNotNull())
-        .withColumn("_record", F.coalesce(record, F.lit(-1.0)))
-        .where(F.col(gain) > F.col("_record"))
-        .drop("_record")
-    )
+    """Rows whose gain beats every cheaper row's (record highs along rising cost).
+
+    Of rows of equal cost only the best can be a record, and tasks drop the others before any
+    are moved. The rest is cut into ranges of cost: a row is a record if it beats those
+    before it in its range and the maxima of all earlier ranges. A small table skips the ranges.
+    """
+    group = list(group)
+    usable = df.where(F.col(cost).isNotNull() & F.col(gain).isNotNull())
+    best = Window.partitionBy(*group, cost).orderBy(F.desc(gain), "model")
+    rows = usable.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
+    held = collect_bounded(rows, FEW_ROWS)
+    if held is not None:
+        ranged = df.sparkSession.createDataFrame(held, rows.schema).withColumn("_range", F.lit(0))
+    else:
+        ranged = with_sort_range(materialise(rows), cost, "_range")
+    place = Window.partitionBy(*group, "_range").orderBy(cost)
+    inside = F.max(gain).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    records = ranged.withColumn("_record", F.coalesce(inside, F.lit(-1.0))).where(F.col(gain) > F.col("_record"))
+    if held is None:
+        highs = ranged.groupBy(*group, "_range").agg(F.max(gain).alias("_high"))
+        earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        before = highs.select(*group, "_range", F.coalesce(F.max("_high").over(earlier), F.lit(-1.0)).alias("_before"))
+        records = join_strata(records, before, [*group, "_range"]).where(F.col(gain) > F.col("_before")).drop("_before")
+    return records.drop("_record", "_range")
 
 
 def wide_table(

@@ -114,7 +114,13 @@ def beta_gamma(spark, sf):
     )
 
 
-@query("paired_predictions", f"WITH {_PAIR_SQL} SELECT * FROM pairs")
+@query(
+    "paired_predictions",
+    f"""WITH {DETECTIONS_SQL} SELECT dataset, seed, row_id, max(y_true) AS y_true,
+      max(CASE WHEN model = 'beta' THEN y_pred END) AS a_y_pred, max(CASE WHEN model = 'gamma' THEN y_pred END) AS b_y_pred,
+      max(CASE WHEN model = 'beta' THEN conf END) AS a_conf, max(CASE WHEN model = 'gamma' THEN conf END) AS b_conf
+    FROM det WHERE model IN ('beta', 'gamma') GROUP BY dataset, seed, row_id""",
+)
 def paired_predictions(spark, sf):
     return beta_gamma(spark, sf)
 

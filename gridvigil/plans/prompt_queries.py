@@ -9,6 +9,7 @@ from gridvigil.functions.bounded import broadcast_if_small
 from gridvigil.functions.statistics import request_key
 from gridvigil.operators import ensembles, prompts, sampling
 from gridvigil.plans.detections import rounded
+from gridvigil.session import scratch_path
 from gridvigil.plans.registry import query, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -188,6 +189,28 @@ def request_reuse(spark, sf):
     return scored.select(*_KEYS, "answer")
 
 
+@query(
+    "stored_answers",
+    """WITH p AS (SELECT conv_id, turn, role || ':' || length(text) % 50 AS prompt FROM conversations),
+    old AS (SELECT DISTINCT prompt FROM p WHERE conv_id % 3 = 0)
+    SELECT conv_id, turn, prompt || CASE WHEN prompt IN (SELECT prompt FROM old) THEN '/first' ELSE '/second' END AS answer FROM p""",
+)
+def stored_answers(spark, sf):
+    """The second run of a sweep asks only what the first one did not."""
+    rows = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.concat_ws(":", "role", (F.length("text") % 50).cast("string")).alias("prompt")
+    )
+    rows = rows.withColumn("request", request_key("prompt"))
+    store = scratch_path(spark, "answers")
+
+    def run(asked, name):
+        answer = lambda once: once.withColumn("answer", F.concat("prompt", F.lit(f"/{name}")))
+        return prompts.score_distinct(asked, "request", answer, store=store)
+
+    run(rows.where("conv_id % 3 = 0"), "first")
+    return run(rows, "second").select("conv_id", "turn", "answer")
+
+
 _CALLS_SQL = """calls AS (SELECT role AS model, turn > 3 AS cached, length(text) < 60 AS failed,
   length(text) // 4 AS prompt_tok, turn + 1 AS completion_tok, (turn * 0.25)::DOUBLE AS seconds FROM conversations),
 usage AS (SELECT model, count(*) AS calls, sum(cached::INT)::BIGINT AS cached, sum(failed::INT)::BIGINT AS errors,

@@ -49,6 +49,25 @@ def row_index_hot_key(spark, sf):
     return with_position(rows, ["c", "o_orderkey"]).select("o_orderkey", "pos")
 
 
+@query(
+    "row_index_text_key",
+    """SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST, doc_id) - 1 AS pos FROM documents""",
+)
+def row_index_text_key(spark, sf):
+    """File order: a hot source, as a path, is cut again by what follows."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return with_position(rows, ["source", "lang", "doc_id"]).select("doc_id", "pos")
+
+
+@query(
+    "row_index_text_key_per_class",
+    """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, text, doc_id) - 1 AS pos FROM documents""",
+)
+def row_index_text_key_per_class(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return with_position(rows, ["source", "text", "doc_id"], ["lang"]).select("doc_id", "lang", "pos")
+
+
 @query(
     "row_index_per_class",
     """SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events""",
