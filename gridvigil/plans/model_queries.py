@@ -165,11 +165,46 @@ def top_features(spark, sf):
     return features.top_features(_mi(spark, sf), 2)
 
 
-@query("knn_mutual_information")
+_PSI = """(ln({n} + 6) - 0.5::DOUBLE / ({n} + 6) - 1::DOUBLE / 12 / pow({n} + 6, 2) + 1::DOUBLE / 120 / pow({n} + 6, 4)
+  - 1::DOUBLE / 252 / pow({n} + 6, 6) - (1::DOUBLE / {n} + 1::DOUBLE / ({n} + 1) + 1::DOUBLE / ({n} + 2) + 1::DOUBLE / ({n} + 3)
+  + 1::DOUBLE / ({n} + 4) + 1::DOUBLE / ({n} + 5)))"""
+_DIGEST_PART = "CAST('0x' || substr(md5(concat_ws(':', md5(concat('0:', c_custkey)), feature)), {at}, 13) AS BIGINT) / pow(16::DOUBLE, 13)"
+
+
+@query(
+    "knn_mutual_information",
+    f"""WITH r AS (SELECT c_custkey, c_mktsegment AS y, unnest(['c_acctbal', 'nation']) AS feature,
+      unnest([c_acctbal::DOUBLE + length(c_mktsegment) * 500, c_nationkey::DOUBLE + CASE WHEN c_mktsegment < 'F' THEN 9 ELSE 0 END]) AS x FROM customer),
+    s AS (SELECT feature, stddev_pop(x) AS scale, greatest(1, avg(abs(x)) / stddev_pop(x)) AS size FROM r GROUP BY feature),
+    v AS (SELECT c_custkey, feature, y, x / scale + 1e-10::DOUBLE * size * ({_DIGEST_PART.format(at=1)} + {_DIGEST_PART.format(at=14)} - 1) AS x
+      FROM r JOIN s USING (feature)),
+    g AS (SELECT a.feature, a.c_custkey, a.x, abs(a.x - b.x) AS gap, row_number() OVER (PARTITION BY a.feature, a.c_custkey ORDER BY abs(a.x - b.x)) AS rn
+      FROM v a JOIN v b ON a.feature = b.feature AND a.y = b.y AND a.c_custkey <> b.c_custkey),
+    n AS (SELECT feature, c_custkey, x, gap - 1e-14::DOUBLE * greatest(1, abs(x)) AS radius FROM g WHERE rn = 3),
+    w AS (SELECT n.feature, n.c_custkey, count(*) AS within FROM n JOIN v ON n.feature = v.feature AND v.x BETWEEN n.x - n.radius AND n.x + n.radius GROUP BY ALL),
+    l AS (SELECT feature, c_custkey, count(*) OVER (PARTITION BY feature, y) AS n_label FROM v),
+    m AS (SELECT feature, {_PSI.format(n="count(*)")} + {_PSI.format(n="3")} - avg({_PSI.format(n="n_label")}) - avg({_PSI.format(n="within")}) AS mi
+      FROM w JOIN l USING (feature, c_custkey) GROUP BY feature)
+    SELECT feature, round(greatest(0, mi), 6) AS mi FROM m""",
+)
 def knn_mutual_information(spark, sf):
-    return features.knn_mutual_information(
-        signal(spark, sf), SIGNAL_FEATURES, "label", ["o_orderkey"]
-    )
+    """All rows; one feature has many ties."""
+    c = table(spark, sf, "customer")
+    rows = c.select(
+        "c_custkey", "c_mktsegment",
+        (F.col("c_acctbal").cast("double") + F.length("c_mktsegment") * 500).alias("c_acctbal"),
+        (F.col("c_nationkey").cast("double") + F.when(F.col("c_mktsegment") < "F", 9).otherwise(0)).alias("nation"),
+    )
+    found = features.knn_mutual_information(rows, ["c_acctbal", "nation"], "c_mktsegment", ["c_custkey"])
+    return rounded(found, ["mi"], 6)
+
+
+@query("neighbour_layout")
+def neighbour_layout(spark, sf):
+    """A 2-D view of the rows of a sample of at most 300 a class."""
+    names = [f"v{i}" for i in range(64)]
+    rows = sampling.cap_per_class(vector_columns(spark, sf), "label", 300, ["id"])
+    return features.neighbour_layout(rows, names, "id").select("id", "label", "x", "y")
 
 
 _SPLIT_SQL = """e AS (SELECT vec_id AS id, embedding, 'c' || label AS label,

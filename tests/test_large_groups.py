@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridvigil.operators import comparison, ordering, prompts, reports
+from gridvigil.operators import comparison, features, ordering, prompts, reports
 
 
 @pytest.mark.parametrize("few", [10_000, 0])
@@ -106,3 +106,62 @@ def test_answers_outlive_a_failed_run(spark, monkeypatch, tmp_path):
     assert sorted(prompts.score_distinct(df, "request", score, store=store).collect()) == sorted(whole)
     assert asked == []
     assert prompts.score_distinct(df.limit(0), "request", score, store=str(tmp_path / "new")).collect() == []
+
+
+def test_knn_information_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("abc"), float(rng.choice([0, 0, 0, 1, rng.random()])), rng.gauss(0, 1), None) for i in range(300)]
+    rows += [(300, "single", 0.5, 0.5, None), (301, None, 0.5, 0.5, None), (302, "a", None, float("nan"), 1.0), (303, "b", float("inf"), 2.0, None)]
+    rows += [(304 + i, "two", 0.0, 5.0, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "id int, y string, ties double, `w.x` double, empty double").repartition(3)
+    names = ["ties", "w.x", "empty"]
+    whole = {r.feature: r.mi for r in features.knn_mutual_information(df, names, "y", ["id"]).collect()}
+    assert set(whole) == {"ties", "w.x", "empty"} and whole["empty"] == 0
+    monkeypatch.setattr(features, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(features, "RANGE_ROWS", 16)
+    small = {r.feature: r.mi for r in features.knn_mutual_information(df, names, "y", ["id"]).collect()}
+    assert small.keys() == whole.keys()
+    assert all(math.isclose(small[f], whole[f], abs_tol=1e-12) for f in whole)
+    assert features.knn_mutual_information(df.limit(0), names, "y", ["id"]).collect() == []
+
+
+def layout_by_hand(x, k, rounds):
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    a = np.zeros((len(x), len(x)))
+    for i, row in enumerate(far):
+        for j in np.lexsort((np.arange(len(x)), row))[:k]:
+            a[i, j] = a[j, i] = 1
+    d = a.sum(1)
+    values, vectors = np.linalg.eigh(np.cov(z.T, bias=True))
+    v = z @ vectors[:, ::-1][:, :2]
+    top = np.abs(vectors[:, ::-1][:, :2]).argmax(0)
+    v = v * np.sign(vectors[:, ::-1][top, [0, 1]])
+    t = np.sqrt(d)
+
+    def clean(v):
+        v = v - np.outer(t, (t @ v) / (t @ t))
+        first = v[:, 0] / np.linalg.norm(v[:, 0])
+        second = v[:, 1] - first * (first @ v[:, 1])
+        return np.stack([first, second / np.linalg.norm(second)], 1)
+
+    for _ in range(rounds):
+        v = clean(v)
+        v = v / 2 + (a / np.sqrt(np.outer(d, d))) @ v / 2
+    return clean(v) / t[:, None]
+
+
+def test_neighbour_layout(spark):
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0, 0], [9, 0, 0], [0, 9, 0]])
+    x = np.concatenate([c + rng.normal(size=(25, 3)) for c in centres])
+    rows = [(i, *map(float, v), "abc"[i // 25]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, p double, `q.r` double, s double, label string").repartition(4)
+    found = features.neighbour_layout(df, ["p", "q.r", "s"], "id", neighbours=6, rounds=4)
+    made = {r.id: (r.x, r.y) for r in found.collect()}
+    assert np.allclose([made[i] for i in range(75)], layout_by_hand(x, 6, 4), atol=1e-8)
+    places = np.array([made[i] for i in range(75)])
+    means = np.stack([places[i * 25 : i * 25 + 25].mean(0) for i in range(3)])
+    nearest = ((places[:, None] - means[None]) ** 2).sum(2).argmin(1)
+    assert (nearest == np.arange(75) // 25).all()  # clusters apart stay apart
