@@ -7,11 +7,12 @@ end, so each document is a stretch of the compressed sequence. A shard file hold
 how many ids each symbol stands for, and the documents' places, so any document, or any
 stretch of ids, is decoded without the rest.
 
-File format (little-endian): ``RPG1``, then unsigned 32-bit numbers: part, shard, number of
+File format (little-endian): ``RPG2``, then unsigned 32-bit numbers: part, shard, number of
 documents, of terminals, of rules, of symbols; then per document id (signed 64-bit), a byte
-that is 1 where the id is null, first symbol (64-bit) and number of ids (64-bit); per rule
-its two symbols (32-bit) and the number of ids it stands for (32-bit); and the symbols
-(16-bit, or 32-bit where there are more than 65536 of them). A line feed ends the file.
+that is 1 where the id is null, first symbol (64-bit) and number of ids (64-bit); per terminal
+its id (32-bit); per rule its two symbols (32-bit) and the number of ids it stands for (32-bit);
+and the symbols (16-bit, or 32-bit where there are more than 65536 of them): first the
+terminals, which are the ids that the shard holds, then the rules. A line feed ends the file.
 
 Defined results: a null or empty text is the end id alone; documents of equal id are stored
 one by one, null ids first; other columns play no part; an empty table gives no files.
@@ -30,16 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridvigil.llm.common import ROWS, read_blobs, shared_folder, sql_type, write_blobs
-from gridvigil.llm.tokens import encoder
+from gridvigil.llm.tokens import encoder, slices
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 HEADER = "<4s6I"
 #: ids from which a shard is closed
 SHARD_IDS = 1 << 22
-#: replacement rounds, and the most pairs replaced in one
-ROUNDS = 4
+#: most pairs replaced in a round; rounds go on until no pair is frequent
 PAIRS_A_ROUND = 3800
-#: fewest occurrences that are worth a rule
+#: fewest occurrences that make a pair frequent
 MIN_COUNT = 16
 _HASH_BITS = 20
 
@@ -75,30 +75,61 @@ def frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np
     return left[place[best]], right[place[best]], at[chosen], found[chosen]
 
 
+def all_frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int, new: int = 0) -> tuple[np.ndarray, ...]:
+    """As ``frequent_pairs``, by sorting all pairs that hold a symbol from ``new`` on."""
+    fresh = symbols >= new
+    inside = fresh[:-1] | fresh[1:]
+    inside[ends] = False
+    at = np.flatnonzero(inside)
+    pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+    names, counts = np.unique(pair, return_counts=True)
+    best = np.flatnonzero(counts >= MIN_COUNT)
+    names = names[np.sort(best[np.argsort(-counts[best], kind="stable")][:most])]
+    if not len(names):
+        return (np.empty(0, np.uint32),) * 4
+    found = np.minimum(np.searchsorted(names, pair), len(names) - 1)
+    chosen = names[found] == pair
+    return (names >> np.uint64(32)).astype(np.uint32), names.astype(np.uint32), at[chosen], found[chosen].astype(np.int32)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, first symbol of each document) of documents that begin at ``starts``."""
+    """(symbols, rules, first symbol of each document) of documents that begin at ``starts``.
+
+    Rounds go on until no pair stands ``MIN_COUNT`` times. The first ones count by buckets, as
+    long as these give as many pairs as a round takes; then all pairs are sorted once. A round
+    that takes all frequent pairs leaves none, so from then on only pairs with a symbol of the
+    last round are counted.
+    """
     symbols = ids.astype(np.uint32)
     first = np.zeros(len(ids), bool)
     first[starts] = True
     rules = [np.empty((0, 2), np.uint32)]
-    known = terminals
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        left, right, at, which = frequent_pairs(symbols, np.flatnonzero(first[1:]), PAIRS_A_ROUND)
-        if not len(left):
-            break
+    known, new = terminals, 0
+    by_buckets, took_all = True, False
+    while len(symbols) > 1:
+        ends = np.flatnonzero(first[1:])
+        if by_buckets:
+            left, right, at, which = frequent_pairs(symbols, ends, PAIRS_A_ROUND)
+            by_buckets = len(left) == PAIRS_A_ROUND
+        else:
+            left, right, at, which = all_frequent_pairs(symbols, ends, PAIRS_A_ROUND, new if took_all else 0)
+            took_all = len(left) < PAIRS_A_ROUND
+            if not len(left):
+                break
         # of overlapping pairs every other one is replaced, from the left
-        run = np.r_[True, np.diff(at) > 1]
+        run = np.r_[True, np.diff(at) > 1] if len(at) else np.zeros(0, bool)
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - begin) % 2 == 0
         at, which = at[even], which[even]
+        # some pairs have lost all their places to overlapping ones
+        used, which = np.unique(which, return_inverse=True)
+        new = known
         symbols[at] = which.astype(np.uint32) + np.uint32(known)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, first = symbols[stay], first[stay]
-        rules.append(np.stack([left, right], 1))
-        known += len(left)
+        rules.append(np.stack([left[used], right[used]], 1))
+        known += len(used)
     return symbols, np.concatenate(rules), np.flatnonzero(first)
 
 
@@ -116,7 +147,7 @@ class Shard:
 
     part: int
     number: int
-    terminals: int
+    terminals: np.ndarray  # ids that occur
     doc_ids: list[int | None]
     first: np.ndarray  # symbol at which each document begins, and the end
     sizes: np.ndarray  # ids of each document
@@ -128,16 +159,19 @@ class Shard:
     def pack(cls, part: int, number: int, doc_ids: list, texts: list[bytes], dtype: np.dtype, terminals: int):
         sizes = np.array([len(t) // dtype.itemsize for t in texts], np.int64)
         ids = np.frombuffer(b"".join(texts), dtype)
-        symbols, rules, first = compress(ids, np.cumsum(sizes) - sizes, terminals)
-        return cls(
-            part, number, terminals, doc_ids, np.r_[first, len(symbols)], sizes, rules, lengths_of(rules, terminals), symbols
-        )
+        here = np.zeros(terminals, bool)
+        here[ids] = True
+        own = np.flatnonzero(here)
+        place = np.cumsum(here) - 1
+        symbols, rules, first = compress(place[ids], np.cumsum(sizes) - sizes, len(own))
+        lengths = lengths_of(rules, len(own))
+        return cls(part, number, own, doc_ids, np.r_[first, len(symbols)], sizes, rules, lengths, symbols)
 
     def to_bytes(self) -> bytes:
         width = np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")
         head = struct.pack(
             HEADER, 
-            MAGIC, self.part, self.number, len(self.doc_ids), self.terminals, len(self.rules), len(self.symbols)
+            MAGIC, self.part, self.number, len(self.doc_ids), len(self.terminals), len(self.rules), len(self.symbols)
         )
         return b"".join(
             [
@@ -146,8 +180,9 @@ class Shard:
                 np.array([x is None for x in self.doc_ids], np.uint8).tobytes(),
                 self.first[:-1].astype("<u8").tobytes(),
                 self.sizes.astype("<u8").tobytes(),
+                self.terminals.astype("<u4").tobytes(),
                 self.rules.astype("<u4").tobytes(),
-                self.lengths[self.terminals :].astype("<u4").tobytes(),
+                self.lengths[len(self.terminals) :].astype("<u4").tobytes(),
                 self.symbols.astype(width).tobytes(),
             ]
         )
@@ -167,20 +202,21 @@ class Shard:
 
         ids, null = take("<i8", n_docs), take("u1", n_docs)
         first, sizes = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
+        own = take("<u4", terminals)
         rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         lengths = np.r_[np.ones(terminals, np.int64), take("<u4", n_rules).astype(np.int64)]
         symbols = take("<u2" if terminals + n_rules <= 1 << 16 else "<u4", n_symbols)
         doc_ids = [None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)]
-        return cls(part, number, terminals, doc_ids, np.r_[first, n_symbols], sizes, rules, lengths, symbols)
+        return cls(part, number, own, doc_ids, np.r_[first, n_symbols], sizes, rules, lengths, symbols)
 
     @cached_property
     def written_out(self) -> tuple[np.ndarray, np.ndarray]:
         """All symbols' ids one after the other, and where each symbol's begin."""
         begin = np.cumsum(self.lengths) - self.lengths
         flat = np.empty(int(self.lengths.sum()), np.uint32)
-        flat[: self.terminals] = np.arange(self.terminals, dtype=np.uint32)
+        flat[: len(self.terminals)] = self.terminals
         starts, sizes = begin.tolist(), self.lengths.tolist()
-        for i, (a, b) in enumerate(self.rules.tolist(), self.terminals):
+        for i, (a, b) in enumerate(self.rules.tolist(), len(self.terminals)):
             at, cut = starts[i], starts[i] + sizes[a]
             flat[at:cut] = flat[starts[a] : starts[a] + sizes[a]]
             flat[cut : cut + sizes[b]] = flat[starts[b] : starts[b] + sizes[b]]
@@ -223,8 +259,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array([made.to_bytes()], pa.binary())], names=["content"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(start, ROWS)
+            for rows in slices(batch, 1):
                 own = [x + end for x in coder.encode(rows.column(1).to_pylist())]
                 for doc_id, ids in zip(rows.column(0).to_pylist(), own, strict=True):
                     doc_ids.append(doc_id)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridvigil.llm.common import ROWS, sql_type, stored
-from gridvigil.llm.tokens import encoder
+from gridvigil.llm.tokens import encoder, slices
 
 CAPACITY = 2048
 #: tokens per bin of the fit
@@ -202,8 +202,7 @@ def ranked_tokens(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(start, ROWS)
+            for rows in slices(batch, 1):
                 ids = [x + end for x in coder.encode(rows.column(1).to_pylist())]
                 sizes = [len(x) // coder.dtype.itemsize for x in ids]
                 firsts, first_ranks, full_ranks = [], [], []

@@ -2,23 +2,74 @@
 
 A byte-level tokenizer never joins the two sides of a single space between other
 characters, so what stands between such spaces is encoded once and kept; a text is then put
-together from kept pieces. A text with any other spacing or with an added token (such as
-``<|endoftext|>``), and every text of a tokenizer of
-another kind, goes through the library whole. The ids are the library's in all cases.
+together from kept pieces. A new piece of Latin letters, digits and marks is cut into words by
+the tokenizer's own pattern, words are kept as well, and only new words go through the
+library's model, many in a call. A text with any other spacing or with an added token (such as
+``<|endoftext|>``), and every text of a tokenizer of another kind, goes through the library
+whole. The ids are the library's in all cases.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+from collections.abc import Iterator
 from functools import cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from gridvigil.llm.common import cache_of
 
-#: pieces kept per Python worker (some 150 MB); all are dropped when there are more
-MAX_PIECES = 600_000
+#: pieces and words in each of two generations kept per Python worker (some 150 MB in all);
+#: a full generation becomes the older one, and what is not asked for again is dropped with it
+MAX_PIECES = 250_000
+#: rows and bytes of text encoded together; a single text may be longer
+MANY_ROWS = 1024
+MANY_BYTES = 4 << 20
+# --- fixed values: how a byte-level tokenizer cuts a text into words ---
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# --- end of fixed values ---
+#: characters whose kind is the same in all versions of Unicode; others are left to the library
+PLAIN = "[!-~\n\u00a1-\u024f]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, others from U+0100 on.
+
+    A zero byte parts words here and becomes the space, which no byte is written as.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in own}
+    table |= {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return table | {0: " "}
+
+
+class Kept(dict):
+    """A cache of two generations."""
+
+    def __init__(self):
+        self.before: dict = {}
+
+    def age(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.before = dict(self)
+            self.clear()
+
+    def recall(self, names: list[str]) -> list[str]:
+        """Bring ``names`` back from the older generation; returns those it does not hold."""
+        get = self.before.get
+        new = []
+        for name in names:
+            if (held := get(name)) is None:
+                new.append(name)
+            else:
+                self[name] = held
+        return new
 
 
 class Encoder:
@@ -40,11 +91,28 @@ class Encoder:
         self.n_bytes = np.zeros(self.size, np.int64)  # a byte is one letter of such a vocabulary
         for name, number in vocabulary.items():
             self.n_bytes[number] = len(name)
-        self.inner: dict[str, bytes | None] = {}  # ids of a piece behind a space
+        #: ids of a piece behind a space, False for pieces that have no ids of their own
+        self.inner, self.words = Kept(), Kept()
         self.first: dict[str, bytes] = {}
+        self.model = self._model() if self.by_pieces else None
+        self.word = regex.compile(WORDS)
+        self.plain = regex.compile(PLAIN)
+        self.letters = byte_letters()
+
+    def _model(self):
+        """The library's model alone, for words that are cut and written as letters already."""
+        from tokenizers import Tokenizer
+
+        state = json.loads(self.library.to_str())
+        if not state["pre_tokenizer"].get("use_regex", True):
+            return None
+        state |= {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(state))
 
     def forget(self) -> None:
-        self.inner.clear()
+        for kept in (self.inner, self.words):
+            kept.clear()
+            kept.before = {}
         self.first.clear()
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -53,28 +121,39 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text (null: none) as little-endian numbers of ``dtype``."""
-        texts = [t or "" for t in texts]
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            return self._encode([t or "" for t in texts])
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self.whole(texts)
-        if len(self.inner) + len(self.first) > MAX_PIECES:
-            self.forget()
+        self.inner.age()
+        self.words.age()
+        if len(self.first) > MAX_PIECES:
+            self.first.clear()
         # an added token may take spaces beside it, so its whole text goes through the library
         special = [any(map(t.__contains__, self.added)) for t in texts]
         split = [[""] if own else t.split(" ") for t, own in zip(texts, special, strict=True)]
         heads = [pieces.pop(0) for pieces in split]
         new = dict.fromkeys(filterfalse(self.first.__contains__, heads))
         self.first.update(zip(new, self.whole(list(new)), strict=True))
-        new = {}
-        for pieces in split:
-            new.update(dict.fromkeys(filterfalse(self.inner.__contains__, pieces)))
-        self._learn(list(new))
+        get = self.inner.get
+        held = [list(map(get, pieces)) for pieces in split]
+        gaps = [[i for i, ids in enumerate(ids_of) if ids is None] if None in ids_of else () for ids_of in held]
+        self._learn(self.inner.recall(list(dict.fromkeys(p[i] for p, own in zip(split, gaps, strict=True) for i in own))))
         found: list[bytes | None] = []
-        get = self.inner.__getitem__
-        for head, pieces, own in zip(heads, split, special, strict=True):
+        for head, pieces, ids_of, own_gaps, own in zip(heads, split, held, gaps, special, strict=True):
+            for i in own_gaps:
+                ids_of[i] = self.inner[pieces[i]]
             try:
                 if own or pieces and (not head or head[-1].isspace()):
                     raise TypeError
-                found.append(self.first[head] + b"".join(map(get, pieces)))
+                found.append(self.first[head] + b"".join(ids_of))
             except TypeError:  # a piece that has no ids of its own
                 found.append(None)
         odd = [i for i, ids in enumerate(found) if ids is None]
@@ -83,24 +162,52 @@ class Encoder:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text and cut its ids at the pieces' ends."""
-        good = []
+        """Ids of new pieces."""
+        plain = self.plain.fullmatch
+        cut, others = [], []
         for piece in pieces:
             if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.inner[piece] = None
+                self.inner[piece] = False
+            elif self.model is not None and plain(piece):
+                cut.append(piece)
             else:
-                good.append(piece)
-        if not good:
-            return
-        ids = np.array(
-            self.library.encode_batch_fast([" " + " ".join(good)], add_special_tokens=False)[0].ids, self.dtype
-        )
-        ends = np.cumsum([len(piece.encode("utf-8", "surrogatepass")) + 1 for piece in good])
-        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-        buffer, width, start = ids.tobytes(), self.dtype.itemsize, 0
-        for piece, cut in zip(good, (cuts * width).tolist(), strict=True):
-            self.inner[piece] = buffer[start:cut]
-            start = cut
+                others.append(piece)
+        if others:
+            sizes = [len(piece.encode("utf-8", "surrogatepass")) + 1 for piece in others]
+            self.inner.update(zip(others, self._cut(self.library, " " + " ".join(others), sizes), strict=True))
+        if cut:
+            words = self.word.findall(" " + " ".join(cut))
+            new = self.words.recall(list(dict.fromkeys(filterfalse(self.words.__contains__, words))))
+            if new:
+                sizes = [len(word) if word.isascii() else len(word.encode()) for word in new]
+                text = "\0".join(new).encode().decode("latin-1").translate(self.letters)
+                self.words.update(zip(new, self._cut(self.model, text, sizes), strict=True))
+            ends = np.cumsum([len(word) for word in words])
+            last = np.searchsorted(ends, np.cumsum([len(piece) + 1 for piece in cut])) + 1
+            ids, start = list(map(self.words.__getitem__, words)), 0
+            for piece, end in zip(cut, last.tolist(), strict=True):
+                self.inner[piece] = ids[start] if end - start == 1 else b"".join(ids[start:end])
+                start = end
+
+    def _cut(self, tokenizer, text: str, sizes: list[int]) -> list[bytes]:
+        """Ids of a text of several pieces, cut at the pieces' ends by their sizes in bytes."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = (np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * self.dtype.itemsize
+        buffer = ids.tobytes()
+        ends = cuts.tolist()
+        return [buffer[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of ``MANY_ROWS`` and some ``MANY_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start, before = 0, 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(ends, before + MANY_BYTES, side="right"))
+        end = min(max(end, start + 1), start + MANY_ROWS, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start, before = end, int(ends[end - 1])
 
 
 @cache

@@ -136,6 +136,29 @@ def test_packing_odd_rows(spark, odd, vocabulary, library):
     assert packing.pack(odd.limit(0), vocabulary).count() == 0
 
 
+def pairs_left(symbols, first):
+    starts = set(first.tolist())
+    return Counter(p for i, p in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)) if i + 1 not in starts)
+
+
+def test_no_frequent_pair_is_left(monkeypatch):
+    rng = np.random.default_rng(4)
+    for most in (3, 3800):
+        monkeypatch.setattr(grammar, "PAIRS_A_ROUND", most)
+        for values in (2, 12, 300):
+            ids = rng.integers(0, values, 4000).astype("<u2")
+            ids[100:1600] = np.tile(ids[100:150], 30)
+            starts = np.array([0, 700, 701, 3000])
+            symbols, rules, first = grammar.compress(ids, starts, values)
+            left = pairs_left(symbols, first)
+            overlapping = {p for p in left if p[0] == p[1]}  # a run of one symbol counts its pairs doubly
+            assert all(n < grammar.MIN_COUNT for p, n in left.items() if p not in overlapping)
+            assert len(rules) and len(first) == 4
+    passage = rng.integers(0, 50000, 1000)
+    symbols, _, _ = grammar.compress(np.tile(passage, 1000), np.array([0]), 50257)
+    assert len(symbols) < 2000  # a thousand copies of a thousand ids
+
+
 def test_grammar_round_trip(library):
     rng = np.random.default_rng(2)
     texts = [np.repeat(rng.integers(0, 5, n), rng.integers(1, 4)).astype("<u2") for n in rng.integers(1, 300, 60)]
