@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
-from gridvigil.session import ensure_checkpoint_dir
+from gridvigil.session import scratch_path
 
 #: rows turned into Python objects at a time; Arrow batches themselves stay columnar
 ROWS = 256
@@ -79,21 +78,55 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def whole_number_ids(df: DataFrame, column: str) -> None:
+    """Refuse ids that are no whole numbers, before any work is done."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+
+
+def map_whole(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``run`` over whole rows that keep their columns; the columns' names may be of any kind."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))])
+
+    return plain.mapInArrow(named, plain.schema).toDF(*names)
+
+
+_FOLDERS: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder under the checkpoint folder that all executors reach; removed at exit."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+    """New folder under the checkpoint folder that all executors reach.
+
+    It goes when the driver's JVM ends, or with ``remove_since``.
+    """
+    _FOLDERS.append(scratch_path(spark, name))
+    return _FOLDERS[-1]
+
+
+def folders_made() -> int:
+    """How many shared folders there are so far, for ``remove_since``."""
+    return len(_FOLDERS)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_since(spark: SparkSession, number: int, but: DataFrame) -> None:
+    """Delete the shared folders made after ``folders_made`` gave ``number``, but those ``but`` reads."""
+    read = {path.split(":", 1)[-1].lstrip("/") for path in but.inputFiles()}
     context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    stay = []
+    for folder in _FOLDERS[number:]:
+        bare = folder.split(":", 1)[-1].lstrip("/")
+        if any(bare in path for path in read):
+            stay.append(folder)
+            continue
+        parent = context._jvm.org.apache.hadoop.fs.Path(folder).getParent()
+        parent.getFileSystem(context._jsc.hadoopConfiguration()).delete(parent, True)
+    _FOLDERS[number:] = stay
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,8 @@ and the symbols (16-bit, or 32-bit where there are more than 65536 of them): fir
 terminals, which are the ids that the shard holds, then the rules. A line feed ends the file.
 
 Defined results: a null or empty text is the end id alone; documents of equal id are stored
-one by one, null ids first; other columns play no part; an empty table gives no files.
+one by one, null ids first; other columns play no part; an empty table gives no files. Ids
+are whole numbers; others are a TypeError. A text of any length lies in one shard.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, read_blobs, shared_folder, sql_type, write_blobs
+from gridvigil.llm.common import ROWS, read_blobs, shared_folder, sql_type, whole_number_ids, write_blobs
 from gridvigil.llm.tokens import encoder, slices
 
 MAGIC = b"RPG2"
@@ -272,6 +273,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", t
         if doc_ids:
             yield shard()
 
+    whole_number_ids(docs, id_col)
     folder = shared_folder(docs.sparkSession, "grammar")
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), text_col).repartitionByRange("id").sortWithinPartitions("id")
     write_blobs(ordered.mapInArrow(run, "content binary"), "content", folder, per_file=1, end="\n")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, claim, sql_type, stored, word_hash
+from gridvigil.llm.common import ROWS, claim, sql_type, stored, whole_number_ids, word_hash
 
 SIZE = 5
 PERCENT = 80
@@ -379,6 +379,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row."""
+    whole_number_ids(docs, id_col)
     sets = set_table(docs, id_col, text_col)
     standing = sets.filter("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     groups = stored(standing.groupBy("digest").agg(F.min("id").alias("id")), "groups")
@@ -412,18 +413,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows with a null id stay.
     """
-    found = stored(join(docs, id_col, text_col).filter(F.col(id_col).isNotNull()), "components")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    names = docs.columns
+    row_id, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind come back at the end
+    found = stored(join(docs, row_id, text).filter(F.col(row_id).isNotNull()), "components")
+    gone = found.filter(F.col(row_id) != F.col("component_id")).select(row_id).distinct()
     if gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)
-    left = docs.join(gone, id_col, "left_anti")
-    repeated = found.groupBy(id_col).count().filter("count > 1").select(id_col)
+    left = docs.join(gone, row_id, "left_anti").select(*docs.columns)
+    repeated = found.groupBy(row_id).count().filter("count > 1").select(row_id)
     if repeated.limit(1).count() == 0:
-        return left.select(*docs.columns)
+        return left.toDF(*names)
     one = (
-        left.join(repeated, id_col, "left_semi")
-        .groupBy(id_col)
-        .agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("kept_row"))
+        left.join(repeated, row_id, "left_semi")
+        .groupBy(row_id)
+        .agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("kept_row"))
         .select("kept_row.*")
     )
-    return left.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    rest = left.join(repeated, row_id, "left_anti").select(*docs.columns)
+    return rest.unionByName(one.select(*docs.columns)).toDF(*names)

@@ -6,10 +6,11 @@ each symbol, and each character of a script without spaces, is a word of its own
 of fewer than ``MIN_WORDS`` words if a text holds it word for word. Short items are looked up
 by the hash of all their words. For the others, the CGK embedding walks a sequence: at each step it writes the word it stands on, and a
 random bit of step and word tells it to move on; few edits leave most of the written words
-equal. Each repetition has walks of its own and compares some sampled steps by hash. Items
-are walked from their start and their middle; texts from every place. So many repetitions
-are made that a start whose written words agree in ``AGREE`` of the steps is found with
-probability ``RECALL``. Places are left out before only where no stretch within an item's length
+equal. Each repetition has walks of its own and compares some sampled steps by hash. A walk moves
+on at every other step, so a longest one sees some 16 words; items are walked from their middle
+and from every ``STRIDE`` words, so that all their words are seen, and texts from every place. So
+many repetitions are made that a start whose written words agree in ``AGREE`` of the steps is
+found with probability ``RECALL``. Places are left out before only where no stretch within an item's length
 holds as many of the items' word grams as the allowed edits must leave. Each find is
 verified by exact edit distance of the item to the best stretch.
 
@@ -17,7 +18,7 @@ Items are held in blocks of bounded size; texts stay where they are and nothing
 
 Defined results: a null or empty text has no leaks; an item without any word (null, empty or
 marks alone) leaks nowhere; equal items are all reported; repeated rows each get their rows; other columns play no part; a null id stays null; without items
-nothing leaks.
+nothing leaks. A text of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import ROWS, claim, map_rows, sql_type, word_hash
+from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type, word_hash
 
 #: word edits per 100 words of an item
 EDITS = 20
@@ -44,6 +45,8 @@ GRAM = 3
 #: lengths of walks; an item's are the longest that stay in it
 STEPS = (4, 8, 16, 32)
 SAMPLED = 4
+#: words between the starts of an item's walks
+STRIDE = 16
 AGREE = 0.75
 RECALL = 0.99
 #: most items and characters held at a time
@@ -115,13 +118,22 @@ def sampled_steps(repetition: int, steps: int) -> list[int]:
     return sorted(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist())
 
 
-def walks(words: np.ndarray, starts: np.ndarray, repetition: int) -> np.ndarray:
-    """Words written at each step of the walks from ``starts``; the last word is walked on forever."""
+def item_starts(size: int) -> list[int]:
+    """Where the walks of an item of ``size`` words begin; the shortest walk still fits."""
+    return sorted({*range(0, max(size - STEPS[0], 0) + 1, STRIDE), size // 2})
+
+
+def walks(words: np.ndarray, starts: np.ndarray, repetition: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Words written at each step of the walks from ``starts``; the last word is walked on forever.
+
+    ``last`` gives the place of each walk's last word, where ``words`` holds many items.
+    """
     bits = mixed(words, repetition)
+    last = len(words) - 1 if last is None else last
     at, written = starts.copy(), np.empty((max(STEPS), len(starts)), np.uint64)
     for step in range(max(STEPS)):
         written[step] = words[at]
-        at = np.minimum(at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), len(words) - 1)
+        at = np.minimum(at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), last)
     return written
 
 
@@ -188,14 +200,15 @@ class Index:
         bits[(grams >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)] = True
         sizes = np.array([len(w) for w in words])
         edits = sizes * EDITS // 100
-        owner = np.r_[np.arange(len(items)), np.arange(len(items))]
-        offsets = np.r_[np.zeros(len(items), np.int64), sizes // 2]
+        begins = [item_starts(size) for size in sizes.tolist()]
+        owner = np.repeat(np.arange(len(items)), [len(b) for b in begins])
+        offsets = np.concatenate(begins).astype(np.int64)
+        every = np.concatenate(words)
+        first = np.cumsum(sizes) - sizes
         steps = np.array(STEPS)[np.searchsorted(STEPS, sizes[owner] - offsets, side="right") - 1]
         tables = []
         for repetition in range(repetitions()):
-            written = np.concatenate(
-                [walks(words[i], offsets[[k]], repetition) for k, i in enumerate(owner.tolist())], axis=1
-            )
+            written = walks(every, first[owner] + offsets, repetition, (first + sizes - 1)[owner])
             for length in STEPS:
                 own = np.flatnonzero(steps == length)
                 keys = walk_keys(written[:, own], repetition, length)
@@ -356,5 +369,5 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text") -> D
                     clean += [not held.value.leaks(text) for text in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_whole(docs, run)
     return docs

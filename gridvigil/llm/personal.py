@@ -42,7 +42,14 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s/@:?#\"'<>]+@[A-Za-z0-9.-]+")
-ACCOUNT = re.compile(r"(?:\.|:|#|\s|is|ist){0,4}([0-9A-Z][0-9A-Z -]{4,32}[0-9A-Z])(?![0-9A-Za-z])")
+#: short groups with a digit each, joined by spaces or hyphens; or groups of any kind joined by hyphens
+_GROUP = r"(?=[A-Z]{0,5}[0-9])[0-9A-Z]"
+ACCOUNT = re.compile(
+    rf"(?:\.|:|#|\s|is|ist){{0,4}}({_GROUP}{{1,6}}(?:[ -]{_GROUP}{{1,6}}(?![0-9A-Za-z])){{1,8}}"
+    r"|[0-9A-Z]{1,34}(?:-[0-9A-Z]{1,34}){0,8})(?![0-9A-Za-z])"
+)
+#: cues whose number has a fixed form
+FORMS = {cue: re.compile(r"(?:\.|:|#|\s|is){0,4}([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![0-9A-Za-z])") for cue in ("ssn", "social security number")}
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 #: characters of an IBAN by country
 IBAN_SIZES = {
@@ -160,7 +167,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 at += 1
             if (end := iban_end(text, at)) is not None:
                 take(kind, at, end, True)
-        elif m := ACCOUNT.match(text, last + 1):
+        elif m := FORMS.get(text[start : last + 1].lower(), ACCOUNT).match(text, last + 1):
             take(kind, m.start(1), m.end(1), sum(map(DIGITS.__contains__, m[1])) >= 6)
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 

@@ -6,7 +6,8 @@ inside windows or lines that occur before in the same text are measured against
 characters in words. Texts are judged one by one, so nothing is shuffled.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept.
-Repeated rows each get a row; other columns play no part; a null id stays null.
+Repeated rows each get a row; other columns play no part; a null id stays null. A text of any
+length is measured whole, in memory that is a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import claim, map_rows, sql_type
+from gridvigil.llm.common import claim, map_rows, map_whole, sql_type
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -168,4 +169,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             kept = [measure(texts[i].as_py())["kept"] for i in range(batch.num_rows)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)

@@ -1,18 +1,20 @@
 """Secret scan by a linear-chain conditional random field.
 
 Texts are cut into tokens (word runs and single marks). Every token is tagged as begin,
-inside or outside of a secret from its shape, the shapes beside it, how far back a cue
-word such as ``token`` or ``key`` stands, and features of the whole file; Viterbi decodes
-the tags. Weights are fitted here, by full-batch gradient ascent on the likelihood of
+inside or outside of a secret from its shape, its first letters, the shapes beside it, the next
+words to its left and right, how far back a cue word such as ``token`` or ``key`` stands, and
+features of the whole file; Viterbi decodes the tags. Weights are fitted here, by full-batch gradient ascent on the likelihood of
 generated labelled lines, so the model is the same on every run. A token that is outside
 whatever its neighbours are cuts the chain exactly; what lies between is decoded for many
 pieces at once. Texts are handled one by one, so nothing is shuffled.
 
 Base kinds ``assign``, ``access`` and ``hex`` are patterns; the model adds ``learned``
-spans where it tags text that no base span touches.
+spans that lie in no base span. A learned span goes on to the end of the
+run of characters that secrets are made of, so none is hidden by half.
 
 Defined results: a null or empty text has no spans; repeated rows each get a row; other
-columns play no part; a null id stays null.
+columns play no part; a null id stays null. A text of any length is read whole, in memory that
+is a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import ROWS, claim, map_rows, sql_type
+from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "learned")
@@ -39,6 +41,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: shortest learned span
 LEARNED_CHARS = 12
+#: what a secret's run goes on with: its characters, a mark between two of them, padding
+RUN = re.compile(r"(?:[A-Za-z0-9_]|[+/.~-](?=[A-Za-z0-9_+/]))*(?:=(?![A-Za-z0-9_])){0,2}")
+#: letters of a token that tell its kind, and lines in which a known word stands
+PREFIX = 4
+KNOWN_LINES = 4
 
 CUES = re.compile(
     r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|access|key)"
@@ -92,12 +99,17 @@ class Tokens:
     near: np.ndarray  # how many tokens back the last cue stands
     gap: np.ndarray  # 1 where white space stands before the token
     file: np.ndarray  # by text
+    word: np.ndarray  # hash of the lower-cased token, 0 for marks
+    left_word: np.ndarray  # hash of the next word on that side in the text, else 0
+    right_word: np.ndarray
+    prefix: np.ndarray  # hash of the first letters of a longer token, else 0
 
 
 def tokenize(texts: list[str]) -> Tokens:
     sizes = np.array([len(t) for t in texts])
     first = np.cumsum(sizes + 1) - sizes - 1  # a line feed parts the texts
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = points.astype(np.uint64)
     points = np.minimum(points, 128).astype(np.uint8)
     kinds = CLASS[points]
     word = (kinds != SPACE) & (kinds != MARK)
@@ -105,7 +117,7 @@ def tokenize(texts: list[str]) -> Tokens:
     starts = np.flatnonzero((word & ~before) | (kinds == MARK))
     if not len(starts):
         none = np.empty(0, np.int64)
-        return Tokens(none, none, none, none, none, none, np.zeros(len(texts), np.int64))
+        return Tokens(none, none, none, none, none, none, np.zeros(len(texts), np.int64), *[none] * 4)
     is_word = word[starts]
     word_ends = np.flatnonzero(before & ~word)  # the last character is a line feed
     ends = starts + 1
@@ -138,7 +150,52 @@ def tokenize(texts: list[str]) -> Tokens:
     all_tokens = np.maximum(np.bincount(text, minlength=len(texts)), 1)
     density = np.searchsorted([0.12, 0.3, 0.5], marks / all_tokens)
     gap = (kinds[starts - 1] == SPACE).astype(np.int64)
-    return Tokens(text, starts - first[text], ends - first[text], shape, near, gap, density * 2 + with_cue)
+    words = token_hashes(letters + np.where(kinds == HIGH, 32, 0).astype(np.uint64), word, starts, 64)
+    prefix = np.where(ends - starts > PREFIX, token_hashes(letters, word, starts, PREFIX), 0)
+    before_it = np.maximum.accumulate(np.where(is_word, order, -1))
+    before_it = np.r_[-1, before_it[:-1]]
+    behind_it = np.minimum.accumulate(np.where(is_word, order, len(order))[::-1])[::-1]
+    behind_it = np.r_[behind_it[1:], len(order)]
+
+    def beside(which: np.ndarray) -> np.ndarray:
+        there = (which >= 0) & (which < len(order))
+        which = np.where(there, which, 0)
+        return np.where(there & (text[which] == text), words[which], 0).astype(np.uint64)
+
+    return Tokens(
+        text, starts - first[text], ends - first[text], shape, near, gap, density * 2 + with_cue,
+        words, beside(before_it), beside(behind_it), prefix.astype(np.uint64),
+    )
+
+
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
+
+
+def token_hashes(letters: np.ndarray, word: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Hash of the first ``most`` letters of every token, 0 for marks."""
+    place = np.arange(len(letters))
+    begins = np.zeros(len(letters), np.int64)
+    begins[starts] = starts
+    place -= np.maximum.accumulate(begins)
+    counted = word & (place < most)
+    values = np.zeros(len(letters), np.uint64)
+    values[counted] = (letters[counted] + np.uint64(1)) * _POWERS[place[counted]]
+    return np.add.reduceat(values, starts)
+
+
+def known_ids(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``known``, from 1 on; 0 if it is not there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, place + 1, 0)
+
+
+def often(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The hashes (but 0) that stand in at least ``KNOWN_LINES`` texts, in order."""
+    pairs = np.unique(np.stack([hashes, text.astype(np.uint64)]), axis=1)[0]
+    found, counts = np.unique(pairs, return_counts=True)
+    return found[(counts >= KNOWN_LINES) & (found != 0)]
 
 
 @dataclass(frozen=True)
@@ -149,21 +206,18 @@ class SecretModel:
     near: np.ndarray
     gap: np.ndarray
     file: np.ndarray
+    word: np.ndarray  # by known word, as the next two
+    left_word: np.ndarray
+    right_word: np.ndarray
+    prefix: np.ndarray  # by known prefix
     moves: np.ndarray  # from tag, to tag
     begin: np.ndarray  # tag of the first token
+    known_words: np.ndarray  # hashes, in order
+    known_prefixes: np.ndarray
 
     def emissions(self, tokens: Tokens) -> np.ndarray:
-        edge = np.r_[True, tokens.text[1:] != tokens.text[:-1]]
-        left = np.where(edge, EDGE, np.r_[EDGE, tokens.shape[:-1]])
-        right = np.where(np.r_[edge[1:], True], EDGE, np.r_[tokens.shape[1:], EDGE])
-        return (
-            self.own[tokens.shape]
-            + self.left[left]
-            + self.right[right]
-            + self.near[tokens.near]
-            + self.gap[tokens.gap]
-            + self.file[tokens.file[tokens.text]]
-        )
+        ids = feature_ids(tokens, self.known_words, self.known_prefixes)
+        return sum(getattr(self, name)[own] for name, own in ids.items())
 
     def loss(self, score: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """The most that moves can lose when a token's tag is set to outside.
@@ -219,6 +273,23 @@ class SecretModel:
         return tags
 
 
+def feature_ids(tokens: Tokens, words: np.ndarray, prefixes: np.ndarray) -> dict[str, np.ndarray]:
+    """The model's features of every token."""
+    edge = np.r_[True, tokens.text[1:] != tokens.text[:-1]]
+    return {
+        "own": tokens.shape,
+        "left": np.where(edge, EDGE, np.r_[EDGE, tokens.shape[:-1]]),
+        "right": np.where(np.r_[edge[1:], True], EDGE, np.r_[tokens.shape[1:], EDGE]),
+        "near": tokens.near,
+        "gap": tokens.gap,
+        "file": tokens.file[tokens.text],
+        "word": known_ids(tokens.word, words),
+        "left_word": known_ids(tokens.left_word, words),
+        "right_word": known_ids(tokens.right_word, words),
+        "prefix": known_ids(tokens.prefix, prefixes),
+    }
+
+
 def fit(texts: list[str], marked: list[list[tuple[int, int]]], steps: int = 100) -> SecretModel:
     """Maximise the penalised likelihood of texts whose secrets are the ``marked`` spans."""
     tokens = tokenize(texts)
@@ -233,16 +304,15 @@ def fit(texts: list[str], marked: list[list[tuple[int, int]]], steps: int = 100)
             gold[i, place[inside[:1]]] = B
     filled = np.zeros((n, longest), bool)
     filled[tokens.text, place] = True
+    words, prefixes = often(tokens.word, tokens.text), often(tokens.prefix, tokens.text)
     weights = {
+        **{name: np.zeros((len(words) + 1, 3)) for name in ("word", "left_word", "right_word")},
+        "prefix": np.zeros((len(prefixes) + 1, 3)),
         "own": np.zeros((N_TOKENS, 3)), "left": np.zeros((N_TOKENS, 3)), "right": np.zeros((N_TOKENS, 3)),
         "near": np.zeros((N_NEAR, 3)), "gap": np.zeros((2, 3)), "file": np.zeros((N_FILE, 3)), "moves": np.zeros((3, 3)), "begin": np.zeros(3),
     }
     weights["moves"][O, I] = weights["begin"][I] = weights["gap"][1, I] = FORBIDDEN  # no secret holds a gap
-    edge = place == 0
-    left = np.where(edge, EDGE, np.r_[EDGE, tokens.shape[:-1]])
-    right = np.where(np.r_[edge[1:], True], EDGE, np.r_[tokens.shape[1:], EDGE])
-    features = {"own": tokens.shape, "left": left, "right": right, "near": tokens.near}
-    features |= {"gap": tokens.gap, "file": tokens.file[tokens.text]}
+    features = feature_ids(tokens, words, prefixes)
     target = np.eye(3)[gold]
     speed = {k: np.zeros_like(v) for k, v in weights.items()}
     power = {k: np.zeros_like(v) for k, v in weights.items()}
@@ -283,7 +353,7 @@ def fit(texts: list[str], marked: list[list[tuple[int, int]]], steps: int = 100)
             speed[k] = 0.9 * speed[k] + 0.1 * slope
             power[k] = 0.99 * power[k] + 0.01 * slope**2
             w += 0.15 * (speed[k] / (1 - 0.9**step)) / (np.sqrt(power[k] / (1 - 0.99**step)) + 1e-8)
-    return SecretModel(**weights)
+    return SecretModel(**weights, known_words=words, known_prefixes=prefixes)
 
 
 def labelled_lines(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int]]]]:
@@ -296,14 +366,17 @@ def labelled_lines(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, i
         made = "".join(rng.choice(syllables) for _ in range(rng.randint(1, 6)))
         return rng.choice((made, made, made, made.capitalize(), made.upper(), made + rng.choice(".,;:!?")))
 
+    def bare() -> str:
+        return word().strip(".,;:!?")
+
     def plain() -> str:
-        kind = rng.randrange(15)
+        kind = rng.randrange(24)
         if kind == 0:
             return "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 19)))
         if kind == 1:
             return f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(0, 9)}.test.com".lower()
         if kind == 2:
-            return f"https://{word().strip('.,;:!?').lower()}.test/{rng.randint(1, 999)}?page={rng.randint(1, 9)}"
+            return f"https://{bare().lower()}.test/{rng.randint(1, 999)}?page={rng.randint(1, 9)}"
         if kind == 3:
             return rng.choice("| = : ### %%% &&& *** !! - + () {} [] <b> // \\".split())
         if kind == 4:
@@ -316,30 +389,80 @@ def labelled_lines(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, i
             return f"{word()}_{word()}({word()}) = {rng.randint(0, 99999)};"
         if kind == 8:
             return " ".join([word()] * rng.randint(2, 4))
+        if kind in (9, 10):  # long prose words joined by hyphens, also behind a cue
+            made = "-".join(bare().lower() for _ in range(rng.randint(2, 5)))
+            return rng.choice(("", "the key ", "a secret ", "access to ", "token ")) + made
+        if kind == 11:
+            return rng.choice(("", "src/", "/usr/", "../")) + "/".join(bare().lower() for _ in range(rng.randint(2, 5))) + rng.choice((".py", ".java", "", ".json"))
+        if kind == 12:
+            return "_".join(bare().lower() for _ in range(rng.randint(2, 6)))
+        if kind == 13:
+            return "".join(bare().capitalize() for _ in range(rng.randint(2, 4)))
+        if kind == 14:
+            return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:00Z"
+        if kind == 15:
+            return f"{bare().lower()}-{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}"
+        if kind == 16:
+            cue = rng.choice(("password", "token", "secret", "api key", "access key"))
+            return rng.choice((f"the {cue} was {bare()}", f"your {cue} is required", f"{cue} of the {bare()}", f"reset {cue}"))
+        if kind == 17:
+            return " ".join(bare().upper() for _ in range(rng.randint(1, 4)))
         return word()
 
+    def letters(n: int, more: str = "") -> str:
+        return "".join(rng.choice(base64 + more) for _ in range(n))
+
+    def provider() -> str:
+        """A token that its first letters give away."""
+        kind = rng.randrange(7)
+        if kind == 0:
+            return rng.choice(("ghp_", "gho_", "ghs_", "github_pat_")) + letters(rng.randint(30, 40))
+        if kind == 1:
+            return rng.choice(("sk_live_", "sk_test_", "pk_live_", "rk_live_")) + letters(rng.randint(20, 32))
+        if kind == 2:
+            return f"{rng.choice(('xoxb', 'xoxp', 'xapp'))}-{rng.randint(10**10, 10**12)}-{rng.randint(10**10, 10**12)}-{letters(24)}"
+        if kind == 3:
+            return "AIza" + letters(35, "_-")
+        if kind == 4:
+            return rng.choice(("glpat-", "npm_", "hf_", "sk-")) + letters(rng.randint(20, 40))
+        if kind == 5:
+            return f"eyJ{letters(rng.randint(16, 30))}.eyJ{letters(rng.randint(20, 44))}.{letters(rng.randint(30, 43), '_-')}"
+        return "SG." + letters(22) + "." + letters(43)
+
     def secret() -> str:
-        kind = rng.randrange(6)
+        kind = rng.randrange(8)
+        if kind == 7:  # short runs parted by marks
+            made = list(letters(40))
+            for _ in range(rng.randint(1, 4)):
+                made[rng.randint(3, 38)] = rng.choice("//+")
+            return "".join(made)
         if kind == 0:
             return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((24, 32, 40, 64))))
         if kind == 1:
-            return rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + "".join(
-                rng.choice(base64) for _ in range(rng.randint(20, 40))
-            )
+            return provider()
         if kind == 2:
             return "AKIA" + "".join(rng.choice(base64[:26] + base64[52:]) for _ in range(16))
         if kind == 3:
             return ".".join("".join(rng.choice(base64) for _ in range(rng.randint(16, 44))) for _ in range(3))
-        if kind == 4:
+        if kind in (4, 5):
             return "".join(rng.choice(base64 + "+/") for _ in range(rng.randint(28, 44))) + rng.choice(("", "=", "=="))
         return "".join(rng.choice(base64 + "._-") for _ in range(rng.randint(14, 24))) + str(rng.randint(10, 99)) + "Qx"
 
-    cues = "password passwd secret token api_key apikey auth_token private_key access_key Authorization client_secret"
+    cues = (
+        "password passwd secret token api_key apikey auth_token private_key access_key Authorization client_secret "
+        "AWS_SECRET_ACCESS_KEY SECRET_KEY DB_PASSWORD GITHUB_TOKEN key"
+    )
     texts, marked = [], []
     for i in range(n):
         parts, spans = [], []
         parts.append(" ".join(plain() for _ in range(rng.randint(0, 6))))
-        if i % 2:
+        if i % 8 == 1:  # a provider's token without a cue
+            text = " ".join(filter(None, parts))
+            text += " " * bool(text) + rng.choice(("", "", "use ", "(", '"'))
+            value = provider()
+            spans.append((len(text), len(text) + len(value)))
+            text += value + rng.choice(("", ")", '"', " " + plain(), " " + plain()))
+        elif i % 2:
             cue = rng.choice(cues.split())
             cue = rng.choice((cue, cue.upper(), cue.capitalize(), f"my_{cue}"))
             lead = rng.choice((' = "', "=", ": ", " = '", '": "', " is ", ": Bearer ", ":", " = ", " "))
@@ -356,7 +479,7 @@ def labelled_lines(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, i
 
 
 #: labelled lines the model is fitted on
-LABELLED = 600
+LABELLED = 1200
 
 
 @cache
@@ -387,8 +510,9 @@ def spans(texts: list[str | None], model: SecretModel) -> list[list[tuple[str, i
     for text, start, end in zip(
         tokens.text[starts].tolist(), tokens.start[starts].tolist(), tokens.end[stops].tolist(), strict=True
     ):
-        if end - start >= LEARNED_CHARS and all(e <= start or s >= end for _, s, e in found[text]):
-            found[text].append(("learned", start, end))
+        stop = RUN.match(texts[text], end).end()
+        if stop - start >= LEARNED_CHARS and all(s > start or e < stop for kind, s, e in found[text] if kind != "learned"):
+            found[text].append(("learned", start, stop))
     for own in found:
         own.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
@@ -438,4 +562,4 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", size_col
                 columns[size_at] = pa.array(sizes, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)

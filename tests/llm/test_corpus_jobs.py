@@ -491,3 +491,35 @@ def test_pipeline(spark, sf_dir, docs, library):
     assert sorted(corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()) == sorted(
         (r.doc_id, r.piece, r.ids_crc32) for r in last
     )
+
+
+def edited(words, n_edits, kind, clustered, rng):
+    """``words`` after edits of one kind, all in one stretch or anywhere."""
+    words = list(words)
+    low = rng.randrange(len(words) - min(len(words), max(n_edits, 1)) + 1) if clustered else 0
+    span = min(len(words), max(n_edits, 1)) if clustered else len(words)
+    places = rng.sample(range(low, low + span), n_edits)
+    for place in sorted(places, reverse=True):
+        new = f"other{rng.randrange(10**6)}"
+        if kind == "delete":
+            del words[place]
+        elif kind == "insert":
+            words.insert(place, new)
+        else:
+            words[place] = new
+    return words
+
+
+@pytest.mark.parametrize("size", [10, 20, 40, 100, 300])
+def test_leaks_recall_by_size_and_edits(size):
+    rng = random.Random(size)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(size)] for _ in range(60)]
+    index = leaks.Index.of([(i, leaks.word_hashes(" ".join(words))) for i, words in enumerate(items)])
+    for kind in ("insert", "delete", "replace"):
+        for clustered in (False, True):
+            caught = 0
+            for i, words in enumerate(items):
+                changed = edited(words, size * leaks.EDITS // 100, kind, clustered, rng)
+                around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randrange(80))] for _ in range(2)]
+                caught += i in index.leaks(" ".join([*around[0], *changed, *around[1]]))
+            assert caught >= 0.95 * len(items), (kind, clustered, caught)
