@@ -114,19 +114,13 @@ def folders_made() -> int:
     return len(_FOLDERS)
 
 
-def remove_since(spark: SparkSession, number: int, but: DataFrame) -> None:
-    """Delete the shared folders made after ``folders_made`` gave ``number``, but those ``but`` reads."""
-    read = {path.split(":", 1)[-1].lstrip("/") for path in but.inputFiles()}
+def remove_since(spark: SparkSession, number: int) -> None:
+    """Delete the shared folders made after ``folders_made`` gave ``number``, but the last one."""
     context = spark.sparkContext
-    stay = []
-    for folder in _FOLDERS[number:]:
-        bare = folder.split(":", 1)[-1].lstrip("/")
-        if any(bare in path for path in read):
-            stay.append(folder)
-            continue
+    for folder in _FOLDERS[number:-1]:
         parent = context._jvm.org.apache.hadoop.fs.Path(folder).getParent()
         parent.getFileSystem(context._jsc.hadoopConfiguration()).delete(parent, True)
-    _FOLDERS[number:] = stay
+    del _FOLDERS[number:-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A URL is cut into host and path with column functions, the longest fitting rule decides,
 and a URL without a rule is scored. Features are hashed n-grams of host and path, each
-once per URL; the weights come from a small labelled table by full-batch gradient descent
+once per URL; the weights come from a labelled table of invented hosts by full-batch gradient descent
 with L2 penalty, so the fit is the same on every run. Scoring is NumPy on whole blocks of
 URLs; nothing is shuffled.
 
@@ -13,7 +13,9 @@ null id stays null.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from gridvigil.llm.common import map_rows, sql_type
 
-BUCKETS = 1 << 14
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 SIZES = (3, 4, 5)
 #: labelled rows the fit may read; a longer table is refused
 MAX_LABELLED = 5_000
@@ -30,36 +33,61 @@ PENALTY = 1e-4
 #: score from which a URL is blocked
 THRESHOLD = 0.5
 
-# Labelled hosts and paths (blocked, allowed)
-BLOCKED = (
-    "spam-farm.example.org/en/1", "free-bets.example.com/de/2", "casino-win.example.net/fr/3",
-    "ads-track.example.com/es/4", "cheap-pills.example.net/de/5", "casino-bonus.test/play",
-    "bet-now.test/bonus/free-bets", "win-cash.test/jackpot", "cheap-pills.test/buy/viagra",
-    "adult-cams.test/live/xxx", "xxx-videos.test/porn", "porn-tube.test/watch/xxx",
-    "payday-loans.test/apply-now", "click-farm.test/ads/track", "link-farm.test/seo/backlinks",
-    "spam-links.test/buy-backlinks", "free-casino.test/slots", "online-poker.test/casino/bonus",
-    "hot-bets.test/odds/free-bets", "bets-farm.test/bonus", "warez-crack.test/keygen",
-    "torrent-free.test/crack/serial", "replica-watches.test/cheap", "spamfarm.test/x",
-    "freebets.test/de", "casino.test/slots/jackpot", "viagra-cheap.test/pills",
-    "malware-drop.test/payload.exe", "phish-login.test/verify-account", "adserver.test/ads/banner",
-    "doorway-seo.test/spam", "escort-girls.test/xxx", "lotto-win.test/free-cash",
-    "spam.test/free/win", "clickbait.test/you-wont-believe", "ad-farm.test/popunder",
-    "sex-chat.test/live", "free-spins.test/casino", "bet-tips.test/win",
-)
-ALLOWED = (
-    "www.example.com/en/3", "blog.example.com/fr/4.html", "m.example.com/es/5?page=2",
-    "therea.example.com/en/833", "thonth.example.org/en/817", "erand.example.net/de/12",
-    "library.test/books/history", "university.test/courses/algebra", "news.test/2024/05/article",
-    "docs.test/reference/index.html", "wiki.test/wiki/Photosynthesis", "museum.test/exhibits",
-    "city-council.test/minutes", "school.test/lessons/reading", "journal.test/vol/3/paper.pdf",
-    "recipes.test/soup/leek", "weather.test/forecast/tomorrow", "garden.test/plants/roses",
-    "travel.test/guide/lisbon", "health.test/advice/sleep", "forum.test/thread/1532",
-    "code.test/project/readme", "music.test/scores/bach", "film.test/reviews/2019",
-    "sports.test/results/tennis", "kids.test/stories", "farmers-market.test/opening-hours",
-    "better-homes.test/kitchen", "freedom-archive.test/letters", "windmill.test/history",
-    "alphabet.test/letters", "advent-calendar.test/december", "bank.test/branches",
-    "hospital.test/departments", "ththon.example.net/fr/180", "tionsh.example.org/es/883",
-)
+#: labelled rows of the own model
+LABELLED = 3000
+
+BAD = (
+    "casino slots poker jackpot roulette betting bets bookie lotto lottery gamble bingo blackjack wager sportsbook "
+    "viagra cialis pills pharmacy-cheap steroids weightloss xxx porn sex adult nude cams escort hookup hentai milf "
+    "warez crack keygen torrent nulled pirate serialz cheats phish verify-account login-secure account-suspended "
+    "malware payload dropper spyware scareware payday fastcash quickloan easy-money get-rich forex-signals "
+    "crypto-double airdrop giveaway winner prize free-spins free-bets bonus-code clickfarm popunder adserver adtrack "
+    "banner-ads spam spamfarm linkfarm backlinks doorway buy-followers replica knockoff clickbait you-wont-believe"
+).split()
+GOOD = (
+    "library university college school museum archive journal gazette news weather forecast garden recipes kitchen "
+    "travel guide history science biology physics chemistry mathematics algebra geometry astronomy geology botany "
+    "medicine hospital clinic health nutrition law court parliament council city village county ministry "
+    "music orchestra theatre cinema film books novels poetry essays letters dictionary grammar language courses "
+    "lessons tutorial manual reference docs wiki forum community blog software code project database network "
+    "sports tennis football cycling hiking climbing chess farm market bakery brewery carpentry pottery painting "
+    "photography architecture engineering railway harbour bridge energy climate forest river ocean wildlife birds "
+    "pets kids family parents charity volunteers insurance bank branches tax statistics census economics trade "
+    "password-manager sussex essex advent assets betterment windmill playbook cabinet specialist"
+).split()
+GOOD_PATHS = (
+    "about contact index article articles history reviews results chapter vol thread readme minutes exhibits opening-hours "
+    "team imprint privacy search category tag page post archive events download faq help"
+).split()
+BAD_PATHS = (
+    "play bonus buy cheap free win claim deposit signup-bonus live watch track click redirect aff apply-now order-now "
+    "no-prescription odds tips serial payload verify update-billing unlock"
+).split()
+ENDS = ("test", "example", "invalid", "co.example", "org.test")
+
+
+def labelled_urls(n: int, seed: int, bad=BAD, good=GOOD) -> tuple[list[str], list[bool]]:
+    """``host + path`` of invented hosts under reserved names, and whether each is to be blocked."""
+    rng = random.Random(seed)
+    syllables = "an be ca do er fi go he in jo ka le mi no or pa qu re st ti un ve wa xi yo zu th on en la".split()
+
+    def name() -> str:
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+
+    urls, blocked = [], []
+    for i in range(n):
+        is_bad = i % 2 == 0
+        own, paths = (bad, BAD_PATHS) if is_bad else (good, GOOD_PATHS)
+        parts = [rng.choice(own)] + [rng.choice((name(), rng.choice(own), str(rng.randint(1, 999)), "online", "best", "my", "the")) for _ in range(rng.randint(0, 2))]
+        rng.shuffle(parts)
+        plain_host = rng.random() < 0.2  # the path alone tells
+        host = rng.choice(("", "", "www.", "m.", "blog.")) + (name() if plain_host else rng.choice(("-", "-", "")).join(parts)) + "." + rng.choice(ENDS)
+        words = [rng.choice(own)] if plain_host else []
+        words += [rng.choice((rng.choice(paths), name(), str(rng.randint(1, 9999)), rng.choice(("en", "de", "fr", "es")), rng.choice(own))) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(words)
+        urls.append(host + "".join(f"/{w}" for w in words) + rng.choice(("", "", "/", ".html")) * bool(words))
+        blocked.append(is_bad)
+    return urls, blocked
 
 
 def host_of(url: Column) -> Column:
@@ -84,30 +112,36 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(URL number, bucket) of every n-gram, each pair once.
+    """(URL number, bucket) of every n-gram of host and path, each pair once.
 
-    The text is ``^host$path``; NumPy hashes all URLs of a block together.
+    A host and a path, each between ``^`` and ``$``, have n-grams of their own; NumPy hashes all
+    URLs of a block together.
     """
-    parts = [np.frombuffer(("^" + u + "$").encode("utf-32-le", "surrogatepass"), np.uint32) for u in urls]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    hosts = [u.partition("/")[0] for u in urls]
+    paths = [u[len(h) :] for u, h in zip(urls, hosts, strict=True)]
+    pairs = np.unique(np.concatenate([_grams(hosts, 0), _grams(paths, 64)]))
+    return pairs // BUCKETS, pairs % BUCKETS
+
+
+def _grams(texts: list[str], kind: int) -> np.ndarray:
+    """Text number times ``BUCKETS`` and bucket of every n-gram, hashed with ``kind``."""
+    parts = [np.frombuffer(("^" + t + "$").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    found = [np.empty(0, np.int64)]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    chars = np.concatenate(parts).astype(np.uint64) + np.uint64(1)
-    found = []
+    chars = (np.concatenate(parts) if parts else np.empty(0)).astype(np.uint64) + np.uint64(1)
     for size in SIZES:
         n = len(chars) - size + 1
         if n <= 0:
             continue
-        code = np.full(n, size, np.uint64)
+        code = np.full(n, size + kind, np.uint64)
         for i in range(size):
             code = (code * np.uint64(0x100000001B3)) ^ chars[i : i + n]
         code ^= code >> np.uint64(31)
         code *= np.uint64(0x9E3779B97F4A7C15)
         whole = owner[:n] == owner[size - 1 :]
-        bucket = (code >> np.uint64(64 - 14)).astype(np.int64)
+        bucket = (code >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         found.append((owner[:n] * BUCKETS + bucket)[whole])
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs // BUCKETS, pairs % BUCKETS
+    return np.concatenate(found)
 
 
 @dataclass(frozen=True)
@@ -140,8 +174,9 @@ def fit(urls: list[str], blocked: list[bool]) -> UrlModel:
     return UrlModel(weights, bias)
 
 
+@cache
 def own_model() -> UrlModel:
-    return fit([*BLOCKED, *ALLOWED], [True] * len(BLOCKED) + [False] * len(ALLOWED))
+    return fit(*labelled_urls(LABELLED, seed=5))
 
 
 def judge(
