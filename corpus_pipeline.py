@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvigil.llm import jaccard, leaks, packing, repetition, secrets
-from gridvigil.llm.common import stored, table
+from gridvigil.llm.common import folders_made, remove_since, stored, table
 from gridvigil.llm.queries import vocabulary
 
 
@@ -48,13 +48,18 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: no SQL for the fitted models, the tokenizer and the packing; see tests/llm/test_pipeline.py
+#: no SQL for the fitted models, the tokenizer and the packing; see tests/llm/test_corpus_jobs.py
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over ``documents``."""
+    """Rows of the last stage over ``documents``.
+
+    A stage's tables, and its input, are deleted when its result is stored.
+    """
     docs = table(spark, sf_dir, "documents")
+    start = folders_made()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        remove_since(spark, start)
     return docs
