@@ -143,6 +143,11 @@ def pairs_of(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(n, F.lit(0))), F.slice(words, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is computed once a row, however often it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def listed(values) -> Column:
     return F.array(*map(F.lit, sorted(values)))
 
@@ -156,16 +161,20 @@ def scan(
 ) -> DataFrame:
     """One row per matching unit: id, unit kind, number from 0, licence, Dice coefficient."""
     every = set().union(*witnesses(templates, threshold))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), normalise(F.col(f"`{text_col}`")).alias("text"))
-    # a matching unit holds a chosen bigram, and so its rarer word, and lies in one text
-    texts = texts.filter(F.arrays_overlap(F.split("text", "[ \n]+"), listed(set(map(rare_word, every)))))
-    texts = texts.withColumn("words", F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))
-    texts = texts.withColumn("pairs", pairs_of(F.col("words"))).filter(F.arrays_overlap("pairs", listed(every)))
-    found = whole_units(texts, every, templates, threshold).unionByName(passages(texts, templates, threshold))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("raw"))
+    # a matching unit holds a chosen bigram, and so its rarer word; Unicode's lower case also lowers
+    # A-Z, so no such text is lost
+    raw_words = F.split(F.lower("raw"), "[^a-z0-9]+")
+    texts = texts.filter(F.arrays_overlap(raw_words, listed(set(map(rare_word, every)))))
+    texts = once(texts, "text", normalise(F.col("raw"))).drop("raw")
+    texts = once(texts, "words", F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))
+    texts = once(texts, "pairs", pairs_of(F.col("words")))
+    texts = once(texts, "present", F.array_intersect("pairs", listed(every))).filter(F.size("present") > 0)
+    found = whole_units(texts, templates, threshold).unionByName(passages(texts, templates, threshold))
     return found.withColumnRenamed("id", id_col)
 
 
-def whole_units(texts: DataFrame, every: set[str], templates, threshold: float) -> DataFrame:
+def whole_units(texts: DataFrame, templates, threshold: float) -> DataFrame:
     """Lines and paragraphs that match as a whole."""
 
     def units(kind: str, separator: str) -> Column:
@@ -175,11 +184,11 @@ def whole_units(texts: DataFrame, every: set[str], templates, threshold: float)
     paragraphs = F.filter(
         units("paragraph", "\n(?: *\n)+"), lambda u: F.regexp_replace(u["text"], "^[ \n]+|[ \n]+$", "").contains("\n")
     )
-    single = texts.select("id", F.explode(F.concat(units("line", "\n"), paragraphs)).alias("u")).select(
-        "id", "u.unit", "u.number", F.filter(F.split("u.text", "[ \n]+"), lambda w: w != "").alias("words")
-    )
-    pairs = F.array_distinct(pairs_of(F.col("words")))
-    held = single.filter(F.size("words") > 1).withColumn("pairs", pairs).filter(F.arrays_overlap("pairs", listed(every)))
+    # a unit that matches holds a chosen bigram that its text holds
+    single = texts.select("id", "present", F.explode(F.concat(units("line", "\n"), paragraphs)).alias("u"))
+    single = once(single, "words", F.filter(F.split("u.text", "[ \n]+"), lambda w: w != "")).filter(F.size("words") > 1)
+    held = once(single, "pairs", F.array_distinct(pairs_of(F.col("words")))).filter(F.arrays_overlap("pairs", "present"))
+    held = held.select("id", "u.unit", "u.number", "pairs")
     known = F.array(
         *(
             F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), listed(own).alias("own"))
@@ -192,7 +201,7 @@ def whole_units(texts: DataFrame, every: set[str], templates, threshold: float)
     scores = F.transform(near, lambda t: F.struct((-dice(F.col("pairs"), t["own"])).alias("rank"), t["name"].alias("name")))
     best = F.array_min(F.filter(scores, lambda s: s["rank"] <= -threshold))
     return (
-        held.withColumn("best", best)
+        once(held, "best", best)
         .filter("best is not null")
         .select("id", "unit", "number", F.col("best.name").alias("license"), (-F.col("best.rank")).alias("dice"))
     )
@@ -214,10 +223,12 @@ def passages(texts: DataFrame, templates, threshold: float) -> DataFrame:
             for x in (F.lit(bigram), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for b, t, i in every if b == bigram)))
         )
     )
-    places = F.filter(
-        F.transform("pairs", lambda pair, at: F.struct(at.alias("at"), F.element_at(anchors, pair).alias("hits"))),
-        lambda p: p["hits"].isNotNull(),
+    held = F.filter(
+        F.transform("pairs", lambda pair, at: F.struct(at.alias("at"), pair.alias("pair"))),
+        lambda p: F.array_contains("present", p["pair"]),
     )
+    texts = once(texts, "held", held)
+    places = F.transform("held", lambda p: F.struct(p["at"].alias("at"), F.element_at(anchors, p["pair"]).alias("hits")))
     laid = F.array_distinct(
         F.flatten(
             F.transform(
@@ -240,7 +251,8 @@ def passages(texts: DataFrame, templates, threshold: float) -> DataFrame:
             template["name"].alias("license"),
         )
 
-    matches = F.array_sort(F.filter(F.transform(laid, score), lambda w: w["rank"] <= -threshold))
+    texts = once(texts, "laid", laid)
+    scored = F.transform("laid", score)
     order = ("rank", "length", "start", "license")
 
     def best_of(group: Column, w: Column) -> Column:
@@ -259,8 +271,10 @@ def passages(texts: DataFrame, templates, threshold: float) -> DataFrame:
 
     kind = "struct<start:int,stop:int,rank:double,length:int,license:string>"
     nothing = F.array().cast(f"array<struct<best:{kind},reach:int>>")
+    texts = once(texts, "scored", scored.cast(f"array<{kind}>"))
+    matches = F.array_sort(F.filter("scored", lambda w: w["rank"] <= -threshold))
     return (
-        texts.withColumn("matches", matches.cast(f"array<{kind}>"))
+        once(texts, "matches", matches)
         .filter(F.size("matches") > 0)
         .select("id", F.explode(F.aggregate("matches", nothing, fold)).alias("group"))
         .select(
