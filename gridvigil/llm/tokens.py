@@ -27,7 +27,7 @@ from gridvigil.llm.common import cache_of
 
 #: pieces and words in each of two generations kept per Python worker (some 150 MB in all);
 #: a full generation becomes the older one, and what is not asked for again is dropped with it
-MAX_PIECES = 250_000
+MAX_PIECES = 200_000
 #: rows and bytes of text encoded together; a single text may be longer
 MANY_ROWS = 1024
 MANY_BYTES = 4 << 20
