@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,19 +19,29 @@ from gridvigil.session import scratch_path
 ROWS = 256
 
 
-_CACHES: dict[str, Callable[[], None]] = {}
+def worker_state() -> dict:
+    """What lives as long as the Python process. Functions come with every task anew, and their
+    modules' variables with them, so caches that tasks share are kept here."""
+    return vars(sys).setdefault("_gridvigil_state", {})
 
 
 def cache_of(owner: str, clear: Callable[[], None]) -> None:
     """Name the cache that an operator keeps in a Python worker."""
-    _CACHES[owner] = clear
+    worker_state().setdefault("caches", {})[owner] = clear
 
 
 def claim(owner: str) -> None:
-    """Empty the other operators' caches: Spark lends one worker to many stages."""
-    for name, clear in _CACHES.items():
+    """Empty the other operators' caches, and give their memory back: Spark lends one worker to many stages."""
+    state = worker_state()
+    if state.get("owner") == owner:
+        return
+    state["owner"] = owner
+    for name, clear in state.get("caches", {}).items():
         if name != owner:
             clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class WordHashes(dict):

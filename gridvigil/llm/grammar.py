@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, read_blobs, shared_folder, sql_type, whole_number_ids, write_blobs
+from gridvigil.llm.common import ROWS, claim, read_blobs, shared_folder, sql_type, whole_number_ids, write_blobs
 from gridvigil.llm.tokens import encoder, slices
 
 MAGIC = b"RPG2"
@@ -248,6 +248,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", t
     """Write all documents as shard files, in ascending id order; the folder's path."""
 
     def run(batches):
+        claim("tokens")
         coder = encoder(path)
         end = np.array([end_id], coder.dtype).tobytes()
         part, number = TaskContext.get().partitionId(), 0

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, sql_type, stored
+from gridvigil.llm.common import ROWS, claim, sql_type, stored
 from gridvigil.llm.tokens import encoder, slices
 
 CAPACITY = 2048
@@ -197,6 +197,7 @@ def ranked_tokens(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
     """Ids of every document and its pieces' ranks by length in their partition, as a table."""
 
     def run(batches):
+        claim("tokens")
         coder = encoder(path)
         end = np.array([end_id], coder.dtype).tobytes()
         seen = np.zeros(capacity + 1, np.int64)

@@ -15,7 +15,6 @@ import gc
 import json
 import os
 from collections.abc import Iterator
-from functools import cache
 from itertools import filterfalse
 
 import numpy as np
@@ -23,14 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from gridvigil.llm.common import cache_of
+from gridvigil.llm.common import cache_of, worker_state
 
 #: pieces and words in each of two generations kept per Python worker (some 150 MB in all);
 #: a full generation becomes the older one, and what is not asked for again is dropped with it
-MAX_PIECES = 200_000
+MAX_PIECES = 150_000
 #: rows and bytes of text encoded together; a single text may be longer
-MANY_ROWS = 1024
-MANY_BYTES = 4 << 20
+MANY_ROWS = 512
+MANY_BYTES = 2 << 20
 # --- fixed values: how a byte-level tokenizer cuts a text into words ---
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # --- end of fixed values ---
@@ -210,8 +209,10 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start, before = end, int(ends[end - 1])
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    made = Encoder(path)
-    cache_of("tokens", made.forget)
-    return made
+    """The process's encoder of a file; tasks of one worker share what it has learned."""
+    known = worker_state().setdefault("encoders", {})
+    if path not in known:
+        known[path] = Encoder(path)
+        cache_of("tokens", lambda: [held.forget() for held in known.values()])
+    return known[path]
