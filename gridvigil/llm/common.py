@@ -8,7 +8,9 @@ import gc
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegralType
@@ -88,6 +90,18 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, at most ``rows`` and some ``size`` bytes of text together; a text may be longer."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start, before = 0, 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(ends, before + size, side="right"))
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start, before = end, int(ends[end - 1])
+
+
 def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, claim, read_blobs, shared_folder, sql_type, whole_number_ids, write_blobs
-from gridvigil.llm.tokens import encoder, slices
+from gridvigil.llm.common import ROWS, claim, read_blobs, shared_folder, slices, sql_type, whole_number_ids, write_blobs
+from gridvigil.llm.tokens import encoder
 
 MAGIC = b"RPG2"
 HEADER = "<4s6I"

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, claim, sql_type, stored
-from gridvigil.llm.tokens import encoder, slices
+from gridvigil.llm.common import ROWS, claim, slices, sql_type, stored
+from gridvigil.llm.tokens import encoder
 
 CAPACITY = 2048
 #: tokens per bin of the fit

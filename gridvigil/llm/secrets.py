@@ -27,8 +27,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type
+from gridvigil.llm.common import ROWS, claim, map_whole, slices, sql_type
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "learned")
@@ -39,6 +40,9 @@ ASSIGN = re.compile(
 ASSIGN_CUES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: bytes of text tagged together
+BYTES = 1 << 18
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 #: shortest learned span
 LEARNED_CHARS = 12
 #: what a secret's run goes on with: its characters, a mark between two of them, padding
@@ -522,12 +526,17 @@ def find(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col:
     """All spans of every document as an array of (kind, start, end)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(rows):
-        found = spans(rows[text_col], held.value)
-        return {id_col: rows[id_col], "found": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found]}
+    def run(batches):
+        claim("secrets")
+        for batch in batches:
+            for rows in slices(batch, 1, ROWS, BYTES):
+                found = spans(rows.column(1).to_pylist(), held.value)
+                listed = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(listed, SPANS)], names=[id_col, "found"])
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return map_rows(docs, [id_col, text_col], run, f"`{id_col}` {sql_type(docs, id_col)}, found {kind}")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return rows.mapInArrow(run, f"`{id_col}` {sql_type(docs, id_col)}, found {kind}")
 
 
 def hide(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -550,8 +559,8 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", size_col
         claim("secrets")
         for batch in batches:
             texts, sizes = [], [] if size_at is None else batch.column(size_at).to_pylist()
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.column(at).slice(start, ROWS).to_pylist()
+            for rows in slices(batch, at, ROWS, BYTES):
+                start, part = len(texts), rows.column(at).to_pylist()
                 for i, found in enumerate(spans(part, held.value)):
                     texts.append(hide(part[i], found) if found else part[i])
                     if found and size_at is not None:

@@ -14,12 +14,9 @@ from __future__ import annotations
 import gc
 import json
 import os
-from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 from gridvigil.llm.common import cache_of, worker_state
@@ -27,9 +24,6 @@ from gridvigil.llm.common import cache_of, worker_state
 #: pieces and words in each of two generations kept per Python worker (some 150 MB in all);
 #: a full generation becomes the older one, and what is not asked for again is dropped with it
 MAX_PIECES = 150_000
-#: rows and bytes of text encoded together; a single text may be longer
-MANY_ROWS = 512
-MANY_BYTES = 2 << 20
 # --- fixed values: how a byte-level tokenizer cuts a text into words ---
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # --- end of fixed values ---
@@ -197,22 +191,10 @@ class Encoder:
         return [buffer[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of ``MANY_ROWS`` and some ``MANY_BYTES`` of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    start, before = 0, 0
-    while start < batch.num_rows:
-        end = int(np.searchsorted(ends, before + MANY_BYTES, side="right"))
-        end = min(max(end, start + 1), start + MANY_ROWS, batch.num_rows)
-        yield batch.slice(start, end - start)
-        start, before = end, int(ends[end - 1])
-
-
 def encoder(path: str) -> Encoder:
     """The process's encoder of a file; tasks of one worker share what it has learned."""
     known = worker_state().setdefault("encoders", {})
     if path not in known:
         known[path] = Encoder(path)
-        cache_of("tokens", lambda: [held.forget() for held in known.values()])
+        cache_of("tokens", known.clear)  # the library keeps some 100 MB for a file
     return known[path]
