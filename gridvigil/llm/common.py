@@ -90,7 +90,7 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch, at most ``rows`` and some ``size`` bytes of text together; a text may be longer."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)

@@ -21,9 +21,9 @@ import regex
 
 from gridvigil.llm.common import cache_of, worker_state
 
-#: pieces and words in each of two generations kept per Python worker (some 150 MB in all);
+#: pieces and words in each of two generations kept per Python worker (some 60 MB in all);
 #: a full generation becomes the older one, and what is not asked for again is dropped with it
-MAX_PIECES = 150_000
+MAX_PIECES = 80_000
 # --- fixed values: how a byte-level tokenizer cuts a text into words ---
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # --- end of fixed values ---
