@@ -3,8 +3,8 @@
 A byte-level tokenizer never joins the two sides of a single space between other
 characters, so what stands between such spaces is encoded once and kept; a text is then put
 together from kept pieces. A new piece of Latin letters, digits and marks is cut into words by
-the tokenizer's own pattern, words are kept as well, and only new words go through the
-library's model, many in a call. A text with any other spacing or with an added token (such as
+the tokenizer's own pattern, words are kept as well (a word behind a space is a piece), and only
+new words go through the library's model, many in a call. A text with any other spacing or with an added token (such as
 ``<|endoftext|>``), and every text of a tokenizer of another kind, goes through the library
 whole. The ids are the library's in all cases.
 """
@@ -12,8 +12,8 @@ whole. The ids are the library's in all cases.
 from __future__ import annotations
 
 import gc
-import json
 import os
+import re
 from itertools import filterfalse
 
 import numpy as np
@@ -21,14 +21,16 @@ import regex
 
 from gridvigil.llm.common import cache_of, worker_state
 
-#: pieces and words in each of two generations kept per Python worker (some 60 MB in all);
-#: a full generation becomes the older one, and what is not asked for again is dropped with it
-MAX_PIECES = 80_000
+#: pieces in each of two generations kept per Python worker (some 80 MB in all); a full
+#: generation becomes the older one, and what is not asked for again is dropped with it
+MAX_PIECES = 160_000
+#: the same for words that stand behind no space
+MAX_WORDS = 20_000
 # --- fixed values: how a byte-level tokenizer cuts a text into words ---
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # --- end of fixed values ---
 #: characters whose kind is the same in all versions of Unicode; others are left to the library
-PLAIN = "[!-~\n\u00a1-\u024f]+"
+PLAIN = "[!-~\u00a1-\u024f](?:[!-~\n\u00a1-\u024f]*[!-~\u00a1-\u024f])?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,11 +47,12 @@ def byte_letters() -> dict[int, str]:
 class Kept(dict):
     """A cache of two generations."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.before: dict = {}
 
     def age(self) -> None:
-        if len(self) > MAX_PIECES:
+        if len(self) > self.most:
             self.before = dict(self)
             self.clear()
 
@@ -85,22 +88,24 @@ class Encoder:
         for name, number in vocabulary.items():
             self.n_bytes[number] = len(name)
         #: ids of a piece behind a space, False for pieces that have no ids of their own
-        self.inner, self.words = Kept(), Kept()
+        self.inner = Kept(MAX_PIECES)
+        #: ids of words behind no space; others are pieces
+        self.words = Kept(MAX_WORDS)
         self.first: dict[str, bytes] = {}
         self.model = self._model() if self.by_pieces else None
         self.word = regex.compile(WORDS)
-        self.plain = regex.compile(PLAIN)
+        self.plain = re.compile(PLAIN)
         self.letters = byte_letters()
 
     def _model(self):
         """The library's model alone, for words that are cut and written as letters already."""
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        state = json.loads(self.library.to_str())
-        if not state["pre_tokenizer"].get("use_regex", True):
+        if not getattr(self.library.pre_tokenizer, "use_regex", True):
             return None
-        state |= {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "added_tokens": []}
-        return Tokenizer.from_str(json.dumps(state))
+        alone = Tokenizer(self.library.model)  # the same model, not a copy
+        alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return alone
 
     def forget(self) -> None:
         for kept in (self.inner, self.words):
@@ -159,10 +164,10 @@ class Encoder:
         plain = self.plain.fullmatch
         cut, others = [], []
         for piece in pieces:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.inner[piece] = False
-            elif self.model is not None and plain(piece):
+            if self.model is not None and plain(piece):
                 cut.append(piece)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                self.inner[piece] = False
             else:
                 others.append(piece)
         if others:
@@ -170,18 +175,30 @@ class Encoder:
             self.inner.update(zip(others, self._cut(self.library, " " + " ".join(others), sizes), strict=True))
         if cut:
             words = self.word.findall(" " + " ".join(cut))
-            new = self.words.recall(list(dict.fromkeys(filterfalse(self.words.__contains__, words))))
-            if new:
-                sizes = [len(word) if word.isascii() else len(word.encode()) for word in new]
-                text = "\0".join(new).encode().decode("latin-1").translate(self.letters)
-                self.words.update(zip(new, self._cut(self.model, text, sizes), strict=True))
-            ends = np.cumsum([len(word) for word in words])
+            known = dict.fromkeys(words)
+            bare = [word[1:] for word in known if word[0] == " "]
+            tails = [word for word in known if word[0] != " "]
+            self._learn_words(self.inner, bare, " ")
+            self._learn_words(self.words, tails, "")
+            known.update((" " + word, self.inner[word]) for word in bare)
+            known.update((word, self.words[word]) for word in tails)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
             last = np.searchsorted(ends, np.cumsum([len(piece) + 1 for piece in cut])) + 1
-            ids, start = list(map(self.words.__getitem__, words)), 0
+            ids, start = list(map(known.__getitem__, words)), 0
             for piece, end in zip(cut, last.tolist(), strict=True):
-                self.inner[piece] = ids[start] if end - start == 1 else b"".join(ids[start:end])
+                if end - start > 1:
+                    self.inner[piece] = b"".join(ids[start:end])
                 start = end
 
+    def _learn_words(self, kept: Kept, words: list[str], before: str) -> None:
+        """Ids of those ``words``, each behind ``before``, that are not kept yet."""
+        new = kept.recall(list(filterfalse(kept.__contains__, words)))
+        if new:
+            sizes = [len(before) + (len(word) if word.isascii() else len(word.encode())) for word in new]
+            text = before + ("\0" + before).join(new)
+            text = text.encode().decode("latin-1").translate(self.letters)
+            kept.update(zip(new, self._cut(self.model, text, sizes), strict=True))
+
     def _cut(self, tokenizer, text: str, sizes: list[int]) -> list[bytes]:
         """Ids of a text of several pieces, cut at the pieces' ends by their sizes in bytes."""
         ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
