@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridvigil.functions.bounded import materialise
 from gridvigil.operators.ordering import with_sort_range
 
 NO_PREDICTION = "<NONE>"
@@ -252,18 +253,18 @@ def score_curve(
     scored = df.select(
         *run, F.col(score).cast("double").alias("threshold"), positive.cast("long").alias("_pos")
     )
-    ranged = with_sort_range(scored, "threshold", "_range")
     known = F.col("threshold").isNotNull()
     # Counting nothing for a missing score keeps the filter on the small aggregate.
-    steps = (
-        ranged.groupBy(*run, "_range", "threshold")
+    counted = (
+        scored.groupBy(*run, "threshold")
         .agg(
             F.sum(F.when(known, F.col("_pos")).otherwise(0)).alias("pos"),
             F.sum(F.when(known, 1 - F.col("_pos")).otherwise(0)).alias("neg"),
         )
         .where(F.col("pos") + F.col("neg") > 0)
     )
-    # Built on the same aggregate, so Spark shuffles the rows once and reuses the exchange.
+    # The rows are read once; the ranges are cut from the counts by distinct score.
+    steps = with_sort_range(materialise(counted), "threshold", "_range")
     parts = steps.groupBy(*run, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     whole = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))
     above = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -325,7 +326,10 @@ def auroc_one_vs_rest(
 ) -> DataFrame:
     """Macro AUROC over classes; ``probabilities`` maps class to probability."""
     run = list(run)
-    long = df.select(*run, F.col(y_true).alias("_true"), F.explode(probabilities).alias("_class", "score"))
+    # An outer explode: before an inner one Spark filters the rows by the size of the map, pushes that filter
+    # below the map's inputs, and so computes these once more for every class.
+    shares = F.explode_outer(probabilities).alias("_class", "score")
+    long = df.select(*run, F.col(y_true).alias("_true"), shares).where(F.col("_class").isNotNull())
     curve = score_curve(long, [*run, "_class"], F.col("_true") == F.col("_class"))
     return (
         area_metrics(curve, [*run, "_class"])

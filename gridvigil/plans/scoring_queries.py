@@ -280,13 +280,15 @@ def roc_and_pr_points(spark, sf):
     SELECT model, seed, round(avg(auroc), 9) AS auroc_ovr, count(auroc) AS n_classes FROM a GROUP BY ALL""",
 )
 def auroc_one_vs_rest(spark, sf):
+    scored = detections(spark, sf).withColumns({
+        "told": F.coalesce("y_pred", F.lit("Normal")),
+        "own": F.round("conf", 6),
+        "rest": F.round((1 - F.col("conf")) / 4, 6),
+    })
     pairs = []
     for c in CLASSES:
-        share = F.when(F.coalesce("y_pred", F.lit("Normal")) == c, F.col("conf")).otherwise(
-            (1 - F.col("conf")) / 4
-        )
-        pairs += [F.lit(c), F.round(share, 6)]
-    scored = detections(spark, sf).withColumn("proba", F.create_map(*pairs))
+        pairs += [F.lit(c), F.when(F.col("told") == c, F.col("own")).otherwise(F.col("rest"))]
+    scored = scored.withColumn("proba", F.create_map(*pairs))
     return rounded(
         scoring.auroc_one_vs_rest(scored, ["model", "seed"], "proba"), ["auroc_ovr"]
     )

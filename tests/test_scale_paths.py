@@ -252,3 +252,27 @@ def test_empty_inputs_give_empty_results(spark):
     assert ordering.with_position(empty, ["id"]).count() == 0
     assert sampling.uniform_sample(empty, 5, ["id"]).count() == 0
     assert sampling.prevalence_sample(empty, "label", 5, ["id"]).count() == 0
+
+
+def test_one_vs_rest_computes_its_rows_once(spark):
+    rng = np.random.default_rng(5)
+    share = rng.dirichlet(np.ones(3), 300)
+    truth = [str(t) for t in (share + rng.normal(0, 0.3, share.shape)).argmax(1)]
+    data = [("m", t, {str(c): float(v) for c, v in enumerate(p)}) for t, p in zip(truth, share)]
+    data += [("m", "0", None), ("m", "1", {}), ("m", "2", {"0": None, "1": None, "2": None})]
+    schema = "run string, y_true string, proba map<string,double>"
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(data, schema).mapInArrow(count, schema)
+    row = scoring.auroc_one_vs_rest(df, ["run"], "proba").first()
+    want = []
+    for c in range(3):
+        mine = np.array([t == str(c) for t in truth])
+        want.append((share[mine, c][:, None] > share[~mine, c][None]).mean())
+    assert row["auroc_ovr"] == pytest.approx(np.mean(want)) and row["n_classes"] == 3
+    assert seen.value == len(data)
