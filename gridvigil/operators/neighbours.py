@@ -4,24 +4,34 @@ Points are assigned to the nearest of a few pivots (a cell). For each query the
 distance ranges give an upper bound on its k-th distance, and the triangle inequality
 rules out every cell that cannot hold a closer point. What is left is joined by cell.
 Large cells are split into blocks of bounded size on both sides, each pair of blocks
-yields at most k candidates per query, and the candidates are merged per query.
+yields at most k candidates per query, and the candidates are merged per query. Blocks grow
+with the tables up to a bound, so that few copies of the vectors are shuffled.
+
+A pair of blocks is compared by a matrix product; only the pairs that its rounding errors
+leave in doubt are measured component by component, and these distances decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridvigil.functions.bounded import collect_bounded, local_table
 from gridvigil.operators.sampling import uniform_sample
 
-POINT_BLOCK = 4096
-QUERY_BLOCK = 1024
+#: least and most rows of a block of points and of queries, and how many blocks a side should have
+POINT_BLOCKS = (4096, 32_768)
+QUERY_BLOCKS = (1024, 16_384)
+WANTED_BLOCKS = 16
+#: values of the matrix products held at once, and components of the pairs measured at once
+TILE = 1 << 22
+MEASURED = 1 << 22
 MAX_PIVOTS = 512
 MAX_CELLS = 200_000
 _SLACK = 1e-9
@@ -39,19 +49,87 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k smallest per row; equal values by lower id."""
-    if dist.shape[1] > k:
-        limit = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(dist <= limit[:, None])
-    else:
-        rows, cols = np.nonzero(np.isfinite(dist))
-    order = np.lexsort((ids[cols], dist[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(dist.shape[0]))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    finite = np.isfinite(dist[rows, cols])
-    return rows[keep & finite], cols[keep & finite]
+def _measured(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (rows, cols), by the steps of ``_distances``."""
+    dist = np.empty(len(rows))
+    step = max(1, MEASURED // max(1, a.shape[1]))
+    for i in range(0, len(rows), step):
+        gap = a[rows[i : i + step]] - b[cols[i : i + step]]
+        gap *= gap
+        total = np.zeros(len(gap))
+        for j in range(gap.shape[1]):
+            total += gap[:, j]
+        dist[i : i + step] = np.sqrt(total)
+    return dist
+
+
+def _near_pairs(
+    a: np.ndarray, b: np.ndarray, k: int, same: Callable[[int, int], tuple[np.ndarray, np.ndarray]] | None
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, rows, columns): pairs that may be among the k nearest of a row of ``a``.
+
+    ``same`` gives the pairs of some rows that do not count. |b|^2 - 2ab orders the columns of a
+    row like their distances; ``slack`` exceeds all rounding errors in it and in the distances.
+    """
+    width = a.shape[1]
+    size_a, size_b = np.sqrt((a * a).sum(1)), (b * b).sum(1)
+    slack = 8 * (width + 8) * np.finfo(float).eps * (size_a + np.sqrt(size_b.max())) ** 2
+    product = bool(np.isfinite(slack).all())
+    # The k-th smallest of the least values of so many groups of columns bounds the k-th smallest value.
+    groups = min(len(b), max(64, 4 * k))
+    full = -(-len(b) // groups) * groups
+    other = np.zeros((width + 1, full))
+    other[:width, : len(b)], other[width], other[width, : len(b)] = b.T, np.inf, size_b
+    step = max(1, TILE // full)
+    for i in range(0, len(a), step):
+        some = a[i : i + step]
+        if product:
+            value = np.hstack([-2 * some, np.ones((len(some), 1))]) @ other
+        else:  # too large for products
+            value = np.full((len(some), full), np.inf)
+            value[:, : len(b)] = np.nan_to_num(_distances(some, b), nan=np.inf)
+        if same is not None:
+            value[same(i, i + len(some))] = np.inf
+        least = value if full == groups else value.reshape(len(some), -1, groups).min(axis=1)
+        bound = np.partition(least, k - 1, axis=1)[:, k - 1] if groups >= k else np.full(len(some), np.inf)
+        if product:
+            bound = bound + slack[i : i + step]
+        bound = np.minimum(bound, np.finfo(float).max)  # what does not count is infinite
+        rows, cols = np.nonzero(value <= bound[:, None])
+        yield i, i + len(some), rows + i, cols
+
+
+def _smallest(
+    a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, same: Callable | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers and distances of the k smallest per row; equal values by lower id."""
+    found = []
+    for first, last, rows, cols in _near_pairs(a, b, k, same):
+        dist = _measured(a, b, rows, cols)
+        order = np.lexsort((ids[cols], dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
+        starts = np.searchsorted(rows, np.arange(first, last))
+        keep = (np.arange(len(rows)) - starts[rows - first] < k) & np.isfinite(dist)
+        found.append((rows[keep], cols[keep], dist[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _pairs_of_same_id(asking: pd.Series, offered: pd.Series) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Pairs of equal ids by row numbers of ``asking``: (row in the slice, column)."""
+    codes, _ = pd.factorize(pd.concat([asking, offered], ignore_index=True))
+    own, others = codes[: len(asking)], codes[len(asking) :]
+    order = np.argsort(others, kind="stable")
+    ranked = others[order]
+    low, high = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
+    high = np.where(own < 0, low, high)  # a missing id equals no other
+
+    def pairs(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        n = high[first:last] - low[first:last]
+        rows = np.repeat(np.arange(last - first), n)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[first:last], n)
+        return rows, order[place]
+
+    return pairs
 
 
 @dataclass(frozen=True)
@@ -65,19 +143,30 @@ class _Cells:
     high: np.ndarray
     near: np.ndarray
 
-    def visits(self, vectors: np.ndarray, groups: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    def visits(self, vectors: np.ndarray, groups: np.ndarray, k: int) -> list[list[int]]:
         """Numbers of the cells that may hold one of the k nearest points, per query."""
-        to_pivot = _distances(vectors, self.pivots)[:, self.pivot_of]
-        for row, group in zip(to_pivot, groups):
+        to_pivot = _distances(vectors, self.pivots)
+        found: list[list[int]] = [[] for _ in range(len(vectors))]
+        for group in set(groups):
             own = np.nonzero(self.groups == group)[0]
+            rows = np.nonzero(groups == group)[0]
             if not len(own):
-                yield own
                 continue
-            d = row[own]
-            bounds = np.sort((d[:, None] + self.near[own]).ravel())
-            reach = bounds[min(k, len(bounds)) - 1]
-            least = np.maximum(0.0, np.maximum(d - self.high[own], self.low[own] - d))
-            yield own[least <= reach * (1 + _SLACK) + _SLACK]
+            step = max(1, TILE // (len(own) * self.near.shape[1]))
+            for i in range(0, len(rows), step):
+                some = rows[i : i + step]
+                d = to_pivot[some][:, self.pivot_of[own]]
+                bounds = (d[:, :, None] + self.near[own]).reshape(len(some), -1)
+                last = min(k, bounds.shape[1]) - 1
+                reach = np.partition(bounds, last, axis=1)[:, last, None]
+                least = np.maximum(0.0, np.maximum(d - self.high[own], self.low[own] - d))
+                for row, near in zip(some, least <= reach * (1 + _SLACK) + _SLACK):
+                    found[row] = own[near].tolist()
+        return found
+
+
+def _block(n: int, given: int | None, sizes: tuple[int, int]) -> int:
+    return given or min(max(sizes[0], -(-n // WANTED_BLOCKS)), sizes[1])
 
 
 def nearest(
@@ -90,13 +179,13 @@ def nearest(
     group: str | None = None,
     skip_self: bool = False,
     keep: Sequence[str] = (),
-    point_block: int = POINT_BLOCK,
-    query_block: int = QUERY_BLOCK,
+    point_block: int | None = None,
+    query_block: int | None = None,
 ) -> DataFrame:
     """(query_id, neighbour, distance, rank, kept point columns), rank 1 = nearest.
 
     With ``group`` only points of the query's own group count. ``skip_self`` leaves out
-    the point with the query's id.
+    the point with the query's id. The block sizes follow the tables' sizes unless given.
     """
     wanted = k + 1 if skip_self else k
     spark = points.sparkSession
@@ -117,6 +206,7 @@ def nearest(
     if n == 0:
         empty = f"{query_id} {qid_type}, neighbour {id_type}, distance double, rank int"
         return spark.createDataFrame([], ", ".join([empty, *kept_types]))
+    point_block = _block(n, point_block, POINT_BLOCKS)
     pivot_count = max(1, min(MAX_PIVOTS, -(-n // point_block)))
     pivots = np.array(
         [list(r[0]) for r in uniform_sample(base, pivot_count, ["_pid"]).select("_vec").collect()],
@@ -191,9 +281,7 @@ def nearest(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                vectors = _stack(batch["_vec"])
-                found = list(cells.visits(vectors, batch["_group"].to_numpy(), wanted))
-                batch["_cells"] = [[int(c) for c in f] for f in found]
+                batch["_cells"] = cells.visits(_stack(batch["_vec"]), batch["_group"].to_numpy(), wanted)
                 yield batch
 
     asked = queries.select(
@@ -210,10 +298,9 @@ def nearest(
         [(r["_group"], r["_pivot"], i, -(-r["_n"] // point_block)) for i, r in enumerate(stats)],
         "_group string, _pivot int, _cell int, _parts long",
     )
-    asked_sizes = routed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / query_block).alias("_chunks")
-    )
-    chunks = {r[0]: r[1] for r in asked_sizes.collect()}
+    asked_sizes = dict(routed.groupBy("_cell").agg(F.count(F.lit(1))).collect())
+    query_block = _block(max(asked_sizes.values(), default=0), query_block, QUERY_BLOCKS)
+    chunks = {cell: -(-size // query_block) for cell, size in asked_sizes.items()}
     plan = local_table(
         spark,
         [(i, -(-r["_n"] // point_block), chunks[i]) for i, r in enumerate(stats) if i in chunks],
@@ -233,27 +320,35 @@ def nearest(
         .withColumn("_chunk", F.explode(F.expr("sequence(0L, _chunks - 1)")))
         .select("_cell", "_chunk", "_part", "_pid", "_vec", *keep)
     )
-    columns = ["_qid", "_pid", "_dist", *keep]
-
-    def compare(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(offered):
-            return pd.DataFrame(columns=columns)
-        dist = _distances(_stack(asking["_vec"]), _stack(offered["_vec"]))
-        pid = offered["_pid"].to_numpy()
-        if skip_self:
-            dist[asking["_qid"].to_numpy()[:, None] == pid[None, :]] = np.inf
-        rows, cols = _smallest(dist, pid, k)
-        made = {
-            "_qid": asking["_qid"].to_numpy()[rows],
-            "_pid": pid[cols],
-            "_dist": dist[rows, cols],
-        }
-        for c in keep:
-            made[c] = offered[c].to_numpy()[cols]
-        return pd.DataFrame(made)
+    names = ["_qid", "_pid", "_dist", *keep]
+
+    def vectors_of(table: pa.Table) -> np.ndarray:
+        column = table.column("_vec").combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+    def finite(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """Rows with a vector of numbers; others have no distance to any row."""
+        if not table.num_rows:
+            return table, np.empty((0, 0))
+        vectors = vectors_of(table)
+        good = np.isfinite(vectors).all(axis=1)
+        return table.filter(pa.array(good)), vectors[good]
+
+    def compare(asking: pa.Table, offered: pa.Table) -> pa.Table:
+        (asking, a), (offered, b) = finite(asking), finite(offered)
+        rows, cols, dist = np.empty(0, int), np.empty(0, int), np.empty(0)
+        if len(a) and len(b):
+            qid, pid = asking.column("_qid").to_pandas(), offered.column("_pid").to_pandas()
+            same = _pairs_of_same_id(qid, pid) if skip_self else None
+            rows, cols, dist = _smallest(a, b, pid.to_numpy(), k, same)
+        near = offered.take(pa.array(cols))
+        return pa.table(
+            [asking.column("_qid").take(pa.array(rows)), near.column("_pid"), pa.array(dist), *[near.column(c) for c in keep]],
+            names=names,
+        )
 
     keys = ["_cell", "_part", "_chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, out_schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, out_schema)
     order = Window.partitionBy("_qid").orderBy("_dist", "_pid")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -1,6 +1,7 @@
 """The many-range, many-block and skewed paths, forced on small data."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,47 @@ def test_one_vs_rest_computes_its_rows_once(spark):
         want.append((share[mine, c][:, None] > share[~mine, c][None]).mean())
     assert row["auroc_ovr"] == pytest.approx(np.mean(want)) and row["n_classes"] == 3
     assert seen.value == len(data)
+
+
+@pytest.mark.parametrize("kind", ["random", "ties", "close", "huge"])
+@pytest.mark.parametrize("skip", [False, True])
+def test_block_pairs_by_products_match_measured_distances(monkeypatch, kind, skip):
+    """Few pairs are measured, and these decide as if all were; ids repeat."""
+    monkeypatch.setattr(neighbours, "TILE", 20_000)
+    rng = np.random.default_rng(7)
+    make = {
+        "random": lambda n: rng.normal(size=(n, 64)),
+        "ties": lambda n: rng.integers(0, 2, (n, 4)).astype(float),
+        "close": lambda n: 1e3 + 1e-9 * rng.normal(size=(n, 8)),
+        "huge": lambda n: 1e155 * rng.integers(0, 2, (n, 3)),
+    }[kind]
+    b = make(700)
+    a = np.vstack([b[:20], make(30)])
+    ids, asked = rng.integers(0, 300, len(b)), rng.integers(0, 300, len(a))
+    same = neighbours._pairs_of_same_id(pd.Series(asked), pd.Series(ids)) if skip else None
+    rows, cols, dist = neighbours._smallest(a, b, ids, 8, same)
+    with np.errstate(over="ignore"):
+        every = neighbours._distances(a, b)
+    if skip:
+        every[asked[:, None] == ids[None]] = np.inf
+    order = [np.lexsort((ids, d))[:8] for d in every]
+    want = [(i, ids[c], every[i, c]) for i, near in enumerate(order) for c in near if np.isfinite(every[i, c])]
+    assert list(zip(rows, ids[cols], dist)) == want
+    if kind == "random":
+        assert sum(len(c) for _, _, _, c in neighbours._near_pairs(a, b, 8, same)) < 3 * 8 * len(a)
+
+
+def test_neighbour_blocks_follow_the_sizes():
+    """Copies of the vectors: blocks of the other side; these stay few while the tables grow."""
+    for n in (10_000, 60_000, 500_000):
+        assert -(-n // neighbours._block(n, None, neighbours.POINT_BLOCKS)) <= 16
+    assert neighbours._block(10**7, None, neighbours.POINT_BLOCKS) == 32_768
+    assert neighbours._block(10**7, 37, neighbours.POINT_BLOCKS) == 37
+
+
+def test_vectors_without_numbers_have_no_neighbours(spark):
+    rows = [(i, [float(i), 0.0], "a") for i in range(40)] + [(50, [float("inf"), 0.0], "a")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label string")
+    queries = df.where("id IN (0, 50)")
+    got = neighbours.nearest(df.where("id < 50"), queries, 3, skip_self=True, keep=["label"]).collect()
+    assert sorted((r.id, r.rank, r.neighbour, r.distance) for r in got) == [(0, k, k, float(k)) for k in (1, 2, 3)]
