@@ -186,12 +186,14 @@ PARTS = "codes binary, label binary, weight binary, scores binary"
 
 
 def parts_of(batch: pa.RecordBatch, n_features: int, trees: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for row in batch.to_pylist():
+    """Views of the parts in a batch, which holds as many as Spark sends at once: none is copied."""
+    for i in range(batch.num_rows):
+        codes, label, weight, scores = (column[i].as_buffer() for column in batch.columns)
         yield (
-            np.frombuffer(row["codes"], np.uint8).reshape(n_features, -1),
-            np.frombuffer(row["label"], "<i4"),
-            np.frombuffer(row["weight"], "<f8"),
-            np.frombuffer(row["scores"], "<f8").reshape(-1, trees),
+            np.frombuffer(codes, np.uint8).reshape(n_features, -1),
+            np.frombuffer(label, "<i4"),
+            np.frombuffer(weight, "<f8"),
+            np.frombuffer(scores, "<f8").reshape(-1, trees),
         )
 
 
@@ -273,24 +275,31 @@ def _pass(
         slots[tree][node] = slot
     shape = (len(wanted), n_features, CODES, SUMS)
 
+    def add_part(
+        total: np.ndarray, codes: np.ndarray, label: np.ndarray, weight: np.ndarray, scores: np.ndarray
+    ) -> None:
+        gradient, hessian = gradients(add_rounds(scores, since, codes, rate), label, weight)
+        for number, tree in enumerate(growing):
+            slot = slots[number][tree.nodes_of(codes)]
+            rows = np.flatnonzero(slot >= 0)
+            if not len(rows):
+                continue
+            at, g, h = slot[rows] * CODES, gradient[rows, number], hessian[rows, number]
+            for f in range(n_features):
+                place = at + codes[f, rows]
+                size = len(wanted) * CODES
+                for i, values in enumerate((g, h, None)):
+                    # whole numbers below 2^53: exact as doubles
+                    sums = np.bincount(place, values, minlength=size).reshape(-1, CODES)
+                    total[:, f, :, i] += sums.astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, np.int64)
         for batch in batches:
-            for codes, label, weight, scores in parts_of(batch, n_features, len(growing)):
-                gradient, hessian = gradients(add_rounds(scores, since, codes, rate), label, weight)
-                for number, tree in enumerate(growing):
-                    slot = slots[number][tree.nodes_of(codes)]
-                    rows = np.flatnonzero(slot >= 0)
-                    if not len(rows):
-                        continue
-                    at, g, h = slot[rows] * CODES, gradient[rows, number], hessian[rows, number]
-                    for f in range(n_features):
-                        place = at + codes[f, rows]
-                        size = len(wanted) * CODES
-                        for i, values in enumerate((g, h, None)):
-                            # whole numbers below 2^53: exact as doubles
-                            sums = np.bincount(place, values, minlength=size).reshape(-1, CODES)
-                            total[:, f, :, i] += sums.astype(np.int64)
+            for part in parts_of(batch, n_features, len(growing)):
+                add_part(total, *part)
+                del part
+            del batch  # before the next one is read
         used = [(s, f) for s in range(shape[0]) if total[s].any() for f in range(n_features)]
         yield pa.RecordBatch.from_arrays(
             [

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridvigil.operators import boosting, classifiers
@@ -201,3 +202,16 @@ def test_a_saved_booster_scores_the_same(spark, tmp_path):
 def test_one_class_is_refused(spark):
     with pytest.raises(ValueError, match="single class"):
         boosting.fit(frame(spark, rows_of()).where("label = 'x'"), FEATURES, "label", Boosting(rounds=1))
+
+
+def test_parts_of_a_batch_are_views():
+    """A batch holds as many parts as Spark sends at once; a second copy of it would double a worker's memory."""
+    codes = np.arange(12, dtype=np.uint8).reshape(2, 6)
+    values = (codes, np.arange(6, dtype="<i4"), np.ones(6), np.arange(18.0).reshape(6, 3))
+    columns = [pa.array([b"x" * 7, v.tobytes()], pa.binary())[1:] for v in values]
+    batch = pa.RecordBatch.from_arrays(columns, names=["codes", "label", "weight", "scores"])
+    for got in boosting.parts_of(batch, 2, 3):
+        for value, want, column in zip(got, values, batch.columns, strict=True):
+            assert (value == want).all()
+            held = column.buffers()[2]
+            assert held.address <= value.ctypes.data < held.address + held.size
