@@ -186,7 +186,7 @@ PARTS = "codes binary, label binary, weight binary, scores binary"
 
 
 def parts_of(batch: pa.RecordBatch, n_features: int, trees: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Views of the parts in a batch, which holds as many as Spark sends at once: none is copied."""
+    """The parts of a batch one by one; it holds as many as Spark sends at once."""
     for i in range(batch.num_rows):
         codes, label, weight, scores = (column[i].as_buffer() for column in batch.columns)
         yield (

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridvigil.functions.bounded import collect_bounded
+from gridvigil.functions.bounded import collect_bounded, materialise
 from gridvigil.operators import boosting as trees
 from gridvigil.operators.sampling import MAX_STRATA, with_class_weight
 
@@ -97,11 +97,12 @@ def fit(
             data = with_class_weight(data, label, "_weight")
         return trees.fit(data, features, label, estimator, "_weight" if balanced else None)
     start = time.perf_counter()
-    classes = class_list(df, label)
+    # The class list, the weights, the codes and the trees read the rows: they are drawn and dealt out once.
+    data = materialise(df.select(*features, label))
+    classes = class_list(data, label)
     if len(classes) < 2:
         raise ValueError(f"column {label} holds a single class")
     model = estimator.copy().setFeaturesCol("_features").setLabelCol("_code")
-    data = df.select(*features, label)
     if balanced:
         data = with_class_weight(data, label, "_weight")
         model.setWeightCol("_weight")

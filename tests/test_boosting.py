@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -204,14 +205,34 @@ def test_one_class_is_refused(spark):
         boosting.fit(frame(spark, rows_of()).where("label = 'x'"), FEATURES, "label", Boosting(rounds=1))
 
 
-def test_parts_of_a_batch_are_views():
-    """A batch holds as many parts as Spark sends at once; a second copy of it would double a worker's memory."""
-    codes = np.arange(12, dtype=np.uint8).reshape(2, 6)
-    values = (codes, np.arange(6, dtype="<i4"), np.ones(6), np.arange(18.0).reshape(6, 3))
-    columns = [pa.array([b"x" * 7, v.tobytes()], pa.binary())[1:] for v in values]
+def test_parts_of_a_batch_come_one_by_one():
+    """A batch holds as many parts as Spark sends at once; a copy of them all would double a worker's memory."""
+    n, size = 20, 20_000
+    values = (np.arange(2 * size).astype(np.uint8), np.arange(size, dtype="<i4"), np.ones(size), np.arange(3.0 * size))
+    columns = [pa.array([v.tobytes()] * n, pa.binary()) for v in values]
     batch = pa.RecordBatch.from_arrays(columns, names=["codes", "label", "weight", "scores"])
-    for got in boosting.parts_of(batch, 2, 3):
-        for value, want, column in zip(got, values, batch.columns, strict=True):
-            assert (value == want).all()
-            held = column.buffers()[2]
-            assert held.address <= value.ctypes.data < held.address + held.size
+    tracemalloc.start()
+    seen, before, most = 0, pa.total_allocated_bytes(), 0
+    for part in boosting.parts_of(batch, 2, 3):
+        assert all((got.ravel() == want).all() for got, want in zip(part, values, strict=True))
+        most = max(most, pa.total_allocated_bytes() - before)
+        seen += 1
+    most += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and most < batch.nbytes / 4
+
+
+def test_forest_computes_its_rows_once(spark):
+    data = [(float(i % 7), float(i % 5), "a" if i % 7 > 3 else "b") for i in range(200)]
+    schema = "x double, y double, label string"
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(data, schema).mapInArrow(count, schema)
+    detector = classifiers.fit(df, ["x", "y"], "label", classifiers.forest(numTrees=3, maxDepth=3))
+    assert seen.value == len(data)
+    assert detector.predict(spark.createDataFrame(data, schema)).where("y_pred = label").count() == len(data)
