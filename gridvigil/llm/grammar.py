@@ -45,42 +45,69 @@ MIN_COUNT = 16
 _HASH_BITS = 20
 
 
+def in_buckets(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bucket of the pair at each place, and how many places each bucket has. No pair begins at
+    one of ``ends``: these have a bucket of their own, which counts as empty."""
+    bucket = symbols[:-1] * np.uint32(0x9E3779B1)
+    bucket += symbols[1:] * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - _HASH_BITS)
+    bucket = bucket.astype(np.int64)
+    bucket[ends] = 1 << _HASH_BITS
+    sizes = np.bincount(bucket, minlength=(1 << _HASH_BITS) + 1)
+    sizes[-1] = 0
+    return bucket, sizes
+
+
 def frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """(left, right, at, which): frequent pairs, and the places where they stand.
 
     No pair begins at one of ``ends``. Pairs are counted by hash bucket first; each full bucket stands for one of its pairs,
-    which is then counted exactly.
+    which is then counted exactly. A bucket has at least as many places as its pair, so the largest buckets will do
+    if enough of their pairs stand as often as the smallest of these buckets has places.
     """
-    left, right = symbols[:-1], symbols[1:]
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
-    buckets = 1 << _HASH_BITS
-    bucket[ends] = buckets  # a bucket of its own, which is never full
-    full = np.bincount(bucket, minlength=buckets + 1) >= MIN_COUNT
-    full[buckets] = False
+    bucket, sizes = in_buckets(symbols, ends)
+    full = sizes[sizes >= MIN_COUNT]
+    some = most + most // 2
+    if len(full) > some:
+        least = int(np.partition(full, len(full) - some)[len(full) - some])
+        if least > MIN_COUNT:
+            found = _pairs_of(symbols, bucket, sizes >= least, least, most)
+            if len(found[0]) == most:
+                return found
+    return _pairs_of(symbols, bucket, sizes >= MIN_COUNT, MIN_COUNT, most)
+
+
+def _pairs_of(symbols: np.ndarray, bucket: np.ndarray, full: np.ndarray, least: int, most: int) -> tuple[np.ndarray, ...]:
+    """As ``frequent_pairs``, for pairs of the ``full`` buckets that stand ``least`` times or more."""
     at = np.flatnonzero(full[bucket])
-    own = bucket[at]
-    place = np.empty(buckets, np.int64)
-    place[own] = at
-    pair = left.astype(np.uint64) << np.uint64(32) | right
-    named = np.zeros(buckets, np.uint64)
-    named[own] = pair[at]
-    same = pair[at] == named[own]
-    at, own = at[same], own[same]
-    counts = np.bincount(own, minlength=buckets)
-    best = np.flatnonzero(counts >= MIN_COUNT)
+    number = np.cumsum(full, dtype=np.int32) - np.int32(1)  # of the full buckets alone, so that the tables below are small
+    own = number[bucket[at]]
+    left, right = symbols[at], symbols[at + 1]
+    place = np.empty(np.count_nonzero(full), np.int64)
+    place[own] = np.arange(len(at))
+    same = place[own]
+    same = (left == left[same]) & (right == right[same])
+    own = own[same]
+    counts = np.bincount(own, minlength=len(place))
+    best = np.flatnonzero(counts >= least)
     best = best[np.argsort(-counts[best], kind="stable")][:most]
-    number = np.full(buckets, -1, np.int32)
+    number = np.full(len(place), -1, np.int32)
     number[best] = np.arange(len(best), dtype=np.int32)
     found = number[own]
     chosen = found >= 0
-    return left[place[best]], right[place[best]], at[chosen], found[chosen]
+    return left[place[best]], right[place[best]], at[same][chosen], found[chosen]
 
 
 def all_frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int, new: int = 0) -> tuple[np.ndarray, ...]:
-    """As ``frequent_pairs``, by sorting all pairs that hold a symbol from ``new`` on."""
-    fresh = symbols >= new
-    inside = fresh[:-1] | fresh[1:]
-    inside[ends] = False
+    """As ``frequent_pairs``, by sorting all pairs that hold a symbol from ``new`` on; of all symbols,
+    those in full buckets."""
+    if new:
+        fresh = symbols >= new
+        inside = fresh[:-1] | fresh[1:]
+        inside[ends] = False
+    else:
+        bucket, sizes = in_buckets(symbols, ends)
+        inside = (sizes >= MIN_COUNT)[bucket]
     at = np.flatnonzero(inside)
     pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
     names, counts = np.unique(pair, return_counts=True)
@@ -118,19 +145,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
             if not len(left):
                 break
         # of overlapping pairs every other one is replaced, from the left
-        run = np.r_[True, np.diff(at) > 1] if len(at) else np.zeros(0, bool)
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - begin) % 2 == 0
+        begin = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        even = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) & 1 == 0
         at, which = at[even], which[even]
         # some pairs have lost all their places to overlapping ones
-        used, which = np.unique(which, return_inverse=True)
+        used = np.bincount(which, minlength=len(left)) > 0
+        number = np.cumsum(used, dtype=np.uint32) + np.uint32(known - 1)
         new = known
-        symbols[at] = which.astype(np.uint32) + np.uint32(known)
+        symbols[at] = number[which]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, first = symbols[stay], first[stay]
         rules.append(np.stack([left[used], right[used]], 1))
-        known += len(used)
+        known += np.count_nonzero(used)
     return symbols, np.concatenate(rules), np.flatnonzero(first)
 
 

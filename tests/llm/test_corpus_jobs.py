@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridvigil.llm import grammar, jaccard, leaks, packing, queries, repetition, warc
+from gridvigil.llm import grammar, jaccard, leaks, packing, queries, repetition, tokens, warc
 from gridvigil.llm.common import read_blobs
 from gridvigil.llm.tokens import Encoder
 
@@ -65,6 +65,44 @@ def test_added_tokens_are_the_library_s(vocabulary, docs):
     assert np.frombuffer(coder.encode(["a<|endoftext|>b"])[0], coder.dtype).tolist() == [64, 50256, 65]
 
 
+def odd_texts(seed, number, most):
+    parts = [
+        " ", "  ", "\n", "\r\n\r\n", "\t", "\x0b", "\x85", "\u00a0", "\u3000", "\u200b", "\x00", "\x1c", "a", "The", "word,", "\u00e9", "\u00aa",
+        "\u00b2", "\u00d7", "\u00ad", "\u024f", "\u0250", "\u0436", "\u4f60\u597d", "\U0001f600", "e\u0301", "'s", "'", "\u2019", "don't", "1", "22", "...",
+        "x" * 20, " " * 20, "=" * 18,
+    ]
+    rng = random.Random(seed)
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, most))) for _ in range(number)]
+
+
+def test_encoder_cuts_as_the_library(library):
+    texts = odd_texts(1, 20000, 14)
+    assert [x for i in range(0, len(texts), 256) for x in library.encode(texts[i : i + 256])] == library.whole(texts)
+
+
+def test_encoder_full_tables_and_long_texts(vocabulary, monkeypatch):
+    for name, value in {"SLOTS": 1 << 8, "STEP": 1 << 6, "MAX_LONG": 10, "PART": 2000}.items():
+        monkeypatch.setattr(tokens, name, value)
+    coder = Encoder(vocabulary)
+    texts = odd_texts(2, 20, 3000)
+    texts += [" ".join(f"w{i * j % 997}x" for i in range(3000)) for j in range(1, 5)] + [""]
+    for _ in range(2):
+        assert coder.encode(texts) == coder.whole(texts)
+        assert 0 < coder.short.n_words <= coder.short.slots // 2 + tokens.STEP
+
+
+def test_known_words_need_no_library(vocabulary, monkeypatch):
+    coder = Encoder(vocabulary)
+    texts = ["The end.\n", "two  blanks and\ta tab\r\n\r\n", "caf\u00e9, 12 times;\nthe  end", " begins with a blank "]
+    again = ["two  blanks and\ta tab\r\n\r\n", "The  end.\n", "12 times a tab;\nthe end\n", " begins with caf\u00e9, a blank "]
+    coder.encode([*texts, "12 a tab; the end", "The. caf\u00e9,\n"])
+    want = coder.whole(again)
+    monkeypatch.setattr(coder, "library", None)
+    monkeypatch.setattr(coder, "model", None)
+    coder.whole = lambda texts: [] if not texts else pytest.fail("known words went through the library")
+    assert coder.encode(again) == want
+
+
 def best_fit(histogram):
     gaps, n = Counter(), 0
     for length in range(2048, 0, -1):
@@ -159,6 +197,25 @@ def test_no_frequent_pair_is_left(monkeypatch):
     assert len(symbols) < 2000  # a thousand copies of a thousand ids
 
 
+def test_frequent_pairs_from_the_largest_buckets(monkeypatch):
+    rng = np.random.default_rng(6)
+    symbols = np.minimum(rng.zipf(1.3, 200_000), 5000).astype(np.uint32)
+    ends = np.arange(999, 199_999, 1000)
+    firsts = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+    names, counts = np.unique(np.delete(firsts, ends), return_counts=True)
+    places = []
+    count = grammar._pairs_of
+    monkeypatch.setattr(grammar, "_pairs_of", lambda s, bucket, full, *a: places.append(full[bucket].sum()) or count(s, bucket, full, *a))
+    left, right, at, which = grammar.frequent_pairs(symbols, ends, 100)
+    found = dict(zip((left.astype(np.int64) << 32 | right).tolist(), np.bincount(which).tolist(), strict=True))
+    exact = dict(zip(names.tolist(), counts.tolist(), strict=True))
+    assert len(found) == 100 and all(exact[p] == n for p, n in found.items())
+    assert (firsts[at] == (left.astype(np.int64) << 32 | right)[which]).all() and not np.isin(at, ends).any()
+    shared = sorted(counts.tolist())[-100] - min(found.values())  # a bucket shared by two pairs stands for one
+    assert shared <= 0.1 * min(found.values())
+    assert len(places) == 1 and places[0] < 0.9 * counts[counts >= grammar.MIN_COUNT].sum()  # not all frequent pairs' places
+
+
 def test_grammar_round_trip(library):
     rng = np.random.default_rng(2)
     texts = [np.repeat(rng.integers(0, 5, n), rng.integers(1, 4)).astype("<u2") for n in rng.integers(1, 300, 60)]
