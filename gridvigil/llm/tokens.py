@@ -215,6 +215,9 @@ class Encoder:
         gc.disable()  # many small lists, none in a cycle
         try:
             return self._encode([t or "" for t in texts])
+        except BaseException:  # words may have a slot but no ids yet
+            self.forget()
+            raise
         finally:
             if collecting:
                 gc.enable()

@@ -103,6 +103,27 @@ def test_known_words_need_no_library(vocabulary, monkeypatch):
     assert coder.encode(again) == want
 
 
+def test_new_words_are_encoded_once(vocabulary, docs):
+    coder = Encoder(vocabulary)
+    words, learn = [], coder._word_ids
+    coder._word_ids = lambda buffer, at, sizes: words.extend(bytes(buffer[a : a + n]) for a, n in zip(at, sizes)) or learn(buffer, at, sizes)
+    texts = [t for t in docs.values() if t and t.isascii() and "'" not in t][:200]
+    for i in range(0, len(texts), 64):
+        coder.encode(texts[i : i + 64])
+    assert len(words) == len(set(words)) > 100
+    assert max(map(len, words)) <= tokens.SHORT
+
+
+def test_encoder_after_an_error(vocabulary):
+    coder = Encoder(vocabulary)
+    learn = coder._word_ids
+    coder._word_ids = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        coder.encode(["some new words"])
+    coder._word_ids = learn
+    assert coder.encode(["some new words"]) == coder.whole(["some new words"])
+
+
 def best_fit(histogram):
     gaps, n = Counter(), 0
     for length in range(2048, 0, -1):
