@@ -48,6 +48,10 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
+#: Spark's bound on an Arrow batch, and its value while the stages run; the default, by rows alone,
+#: holds 10 000 texts on both sides of each task's pipe
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: no SQL for the fitted models, the tokenizer and the packing; see tests/llm/test_corpus_jobs.py
 ORACLE_SQL = None
 
@@ -55,11 +59,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over ``documents``.
 
-    A stage's tables, and its input, are deleted when its result is stored.
+    A stage's tables, and its input, are deleted when its result is stored. Executors live through
+    all stages, so batches on their way to Python are kept small meanwhile.
     """
     docs = table(spark, sf_dir, "documents")
     start = folders_made()
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        remove_since(spark, start)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            remove_since(spark, start)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs

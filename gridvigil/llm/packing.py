@@ -264,20 +264,20 @@ def pack(
     if by_part.limit(MAX_OFFSETS + 1).count() <= MAX_OFFSETS:
         both = F.broadcast(both)
     placed = tokens.join(both, ["part", "first"]).select(
-        "id", "ids", "first", (F.col("first_rank") + F.col("first_before")).alias("a"),
+        "id", "ids", "size", "first", (F.col("first_rank") + F.col("first_before")).alias("a"),
         (F.col("full_rank") + F.col("full_before")).alias("b"),
     )
     held = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
-        dtype = encoder(path).dtype
+        claim("packing")  # ids are there, so the tokenizer goes
         find = held.value.find
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS).to_pylist()
                 out = {k: [] for k in ("id", "piece", "start", "length", "sequence_id", "offset", "ids")}
                 for row in rows:
-                    ids = np.frombuffer(row["ids"], dtype).astype("<u4")
+                    ids = np.frombuffer(row["ids"], f"<u{len(row['ids']) // row['size']}").astype("<u4")
                     start, length, rank = 0, row["first"], row["a"]
                     piece = 0
                     while start < len(ids):

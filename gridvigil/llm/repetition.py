@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import claim, map_rows, map_whole, sql_type
+from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -165,8 +165,9 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         claim("repetition")
         for batch in batches:
-            texts = batch.column(at)
-            kept = [measure(texts[i].as_py())["kept"] for i in range(batch.num_rows)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                kept = [measure(text.as_py())["kept"] for text in rows.column(at)]
+                yield rows.filter(pa.array(kept, pa.bool_()))
 
     return map_whole(docs, run)

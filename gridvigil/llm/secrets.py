@@ -558,17 +558,17 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", size_col
     def run(batches):
         claim("secrets")
         for batch in batches:
-            texts, sizes = [], [] if size_at is None else batch.column(size_at).to_pylist()
             for rows in slices(batch, at, ROWS, BYTES):
-                start, part = len(texts), rows.column(at).to_pylist()
-                for i, found in enumerate(spans(part, held.value)):
-                    texts.append(hide(part[i], found) if found else part[i])
-                    if found and size_at is not None:
-                        sizes[start + i] = len(texts[-1])
-            columns = batch.columns
-            columns[at] = pa.array(texts, columns[at].type)
-            if size_at is not None:
-                columns[size_at] = pa.array(sizes, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                columns, texts = rows.columns, rows.column(at).to_pylist()
+                sizes = [] if size_at is None else rows.column(size_at).to_pylist()
+                for i, found in enumerate(spans(texts, held.value)):
+                    if found:
+                        texts[i] = hide(texts[i], found)
+                        if size_at is not None:
+                            sizes[i] = len(texts[i])
+                columns[at] = pa.array(texts, columns[at].type)
+                if size_at is not None:
+                    columns[size_at] = pa.array(sizes, columns[size_at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return map_whole(docs, run)
