@@ -12,7 +12,8 @@ and from every ``STRIDE`` words, so that all their words are seen, and texts fro
 many repetitions are made that a start whose written words agree in ``AGREE`` of the steps is
 found with probability ``RECALL``. Places are left out before only where no stretch within an item's length
 holds as many of the items' word grams as the allowed edits must leave. Each find is
-verified by exact edit distance of the item to the best stretch.
+verified by exact edit distance of the item to the best stretch; stretches that lack more of the
+item's words than the allowed edits could have taken are left out before, without loss.
 
 Items are held in blocks of bounded size; texts stay where they are and nothing is shuffled.
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type, word_hash
+from gridvigil.llm.common import ROWS, claim, map_rows, map_whole, sql_type
 
 #: word edits per 100 words of an item
 EDITS = 20
@@ -97,7 +100,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     if text and not text.isascii() and (_ODD.search(text) or _LARGE.search(text)):
         text = text.translate(_CUT)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    return np.fromiter(map(word_hash, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray, seed: int) -> np.ndarray:
@@ -124,16 +127,18 @@ def item_starts(size: int) -> list[int]:
 
 
 def walks(words: np.ndarray, starts: np.ndarray, repetition: int, last: np.ndarray | None = None) -> np.ndarray:
-    """Words written at each step of the walks from ``starts``; the last word is walked on forever.
+    """Words written at each step of the walks from ``starts`` that is compared; the last word is walked on forever.
 
     ``last`` gives the place of each walk's last word, where ``words`` holds many items.
     """
     bits = mixed(words, repetition)
-    last = len(words) - 1 if last is None else last
+    bits[len(words) - 1 if last is None else last] = 0  # so none goes beyond its last word
     at, written = starts.copy(), np.empty((max(STEPS), len(starts)), np.uint64)
-    for step in range(max(STEPS)):
-        written[step] = words[at]
-        at = np.minimum(at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), last)
+    compared = {step for steps in STEPS for step in sampled_steps(repetition, steps)}
+    for step in range(max(compared) + 1):
+        if step in compared:
+            np.take(words, at, out=written[step])
+        at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
     return written
 
 
@@ -167,6 +172,15 @@ def edit_distance(item: list[int], text: list[int]) -> int:
     return best
 
 
+def missing(item: Counter, text: list[int], most: int) -> bool:
+    """Whether more than ``most`` of an item's words, given by their counts, do not occur in ``text``.
+
+    Each of these takes an edit, so the distance is greater than ``most``, too.
+    """
+    held = item.keys() & text
+    return item.total() - sum(map(item.__getitem__, held)) > most
+
+
 @dataclass
 class Index:
     """A block of items with the keys of their walks."""
@@ -267,13 +281,16 @@ class Index:
         starts = np.flatnonzero(near[np.minimum(begins + self.window, len(grams))] > near[np.minimum(low, len(grams))])
         if not len(starts):
             return {}
-        seen: dict[int, list[int]] = {}  # by item, where stretches that were compared begin
+        seen: dict[int, list[int]] = {}  # by item, where stretches that were looked at begin, ascending
+        counts: dict[int, Counter] = {}
         found: dict[int, int] = {}
         listed = words.tolist()
         at_walk = -1
         for repetition, steps, keys, items, offsets in self.tables:
             if at_walk != repetition:
                 at_walk, written = repetition, walks(words, starts, repetition)
+            if not len(keys):
+                continue
             own = walk_keys(written, repetition, steps)
             first, last = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
             for i in np.flatnonzero(last > first).tolist():
@@ -282,10 +299,15 @@ class Index:
                     size = len(self.words[item])
                     most = size * EDITS // 100
                     done = seen.setdefault(item, [])
-                    if found.get(item) == 0 or any(abs(begin - b) <= most for b in done):
+                    place = bisect_left(done, begin - most)
+                    if found.get(item) == 0 or place < len(done) and done[place] <= begin + most:
                         continue
-                    done.append(begin)  # the stretch also serves places up to ``most`` away
+                    done.insert(place, begin)  # the stretch also serves places up to ``most`` away
                     stretch = listed[max(begin - 2 * most, 0) : begin + size + 2 * most + 1]
+                    if item not in counts:
+                        counts[item] = Counter(self.words[item].tolist())
+                    if missing(counts[item], stretch, most):
+                        continue
                     edits = edit_distance(self.words[item].tolist(), stretch)
                     if edits <= most:
                         found[item] = min(edits, found.get(item, edits))
@@ -363,11 +385,10 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text") -> D
         def run(batches, held=held):
             claim("leaks")
             for batch in batches:
-                clean = []
                 for start in range(0, batch.num_rows, ROWS):
-                    texts = batch.column(at).slice(start, ROWS).to_pylist()
-                    clean += [not held.value.leaks(text) for text in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                    rows = batch.slice(start, ROWS)
+                    clean = [not held.value.leaks(text) for text in rows.column(at).to_pylist()]
+                    yield rows.filter(pa.array(clean, pa.bool_()))
 
         docs = map_whole(docs, run)
     return docs

@@ -8,11 +8,13 @@ from base64 import b32encode
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridvigil.llm import grammar, jaccard, leaks, packing, queries, repetition, tokens, warc
+from gridvigil.llm import common, grammar, jaccard, leaks, packing, queries, repetition, secrets, tokens, warc
 from gridvigil.llm.common import read_blobs
 from gridvigil.llm.tokens import Encoder
 
@@ -185,6 +187,24 @@ def test_packing_query(spark, sf_dir, docs, library):
     assert n <= -(-sum(r.length for r in rows) // 2048) + 3
 
 
+def test_placing_needs_no_tokenizer(spark, docs, library, vocabulary, monkeypatch):
+    """Executors that only place pieces do not hold the tokenizer."""
+    ranked = packing.ranked_tokens
+
+    def gone(path):
+        raise AssertionError("the tokenizer is loaded again")
+
+    def ranked_once(*args):
+        found = ranked(*args)
+        monkeypatch.setattr(packing, "encoder", gone)
+        return found
+
+    monkeypatch.setattr(packing, "ranked_tokens", ranked_once)
+    some = dict(list(docs.items())[:20])
+    rows = packing.pack(spark.createDataFrame([*some.items()], "doc_id long, text string"), vocabulary)
+    check_pieces(rows.withColumn("ids_crc32", F.crc32("ids")).collect(), some, library)
+
+
 def test_packing_odd_rows(spark, odd, vocabulary, library):
     rows = packing.pack(odd, vocabulary).collect()
     assert Counter(r.doc_id for r in rows) == {1: 2, 2: 1, 3: 1, None: 1, 7: 3}
@@ -474,6 +494,23 @@ def test_edit_distance():
         assert leaks.edit_distance(item, text) == plain_edits(item, text)
 
 
+def test_only_likely_stretches_are_measured(monkeypatch):
+    """A text may hold some grams of an item and lack most of its words."""
+    rng, measured = random.Random(4), []
+    plain = leaks.edit_distance
+    monkeypatch.setattr(leaks, "edit_distance", lambda *args: measured.append(1) or plain(*args))
+    items = [[f"w{rng.randrange(5000)}" for _ in range(40)] for _ in range(30)]
+    index = leaks.Index.of([(i, leaks.word_hashes(" ".join(words))) for i, words in enumerate(items)])
+    for words in items:  # every second stretch of eight words is another
+        text = [w if i // 8 % 2 else f"x{i}" for i, w in enumerate(words)]
+        assert not index.leaks(" ".join(text))
+    assert not measured
+    for _ in range(300):
+        item, text = ([rng.randrange(9) for _ in range(rng.randint(a, 30))] for a in (1, 0))
+        edits, most = plain_edits(item, text), rng.randrange(9)
+        assert edits > most or not leaks.missing(Counter(item), text, most)
+
+
 def test_leaks_recall_and_precision(spark, sf_dir, docs):
     items = [r for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     given = [(r.item_id, leaks.word_hashes(r.text)) for r in items]
@@ -571,6 +608,27 @@ def test_pipeline(spark, sf_dir, docs, library):
     )
 
 
+def test_stages_keep_batches_small(spark, sf_dir, monkeypatch):
+    """No stage holds a whole batch's output, and the pipeline's batches are bounded by their bytes."""
+    given = spark.createDataFrame([(i, f"some words {i}") for i in range(3)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["a text of some words"] * 1000)], names=["doc_id", "text"])
+    for module in (leaks, repetition, secrets):
+        monkeypatch.setattr(module, "map_whole", lambda docs, run: run)
+    for run in (leaks.drop_leaking(given, items), repetition.keep_good(given), secrets.redact(given, secrets.own_model())):
+        assert max(b.num_rows for b in run([batch])) <= common.ROWS
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(name).removesuffix("b")))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("stage", stage)])
+    corpus_pipeline.run(spark, sf_dir)
+    assert seen[0] <= 4 << 20 and spark.conf.get(name) == before
+
+
 def edited(words, n_edits, kind, clustered, rng):
     """``words`` after edits of one kind, all in one stretch or anywhere."""
     words = list(words)
