@@ -1,13 +1,17 @@
 """WARC files: a writer with revisit records, and a reader that salvages damaged files.
 
 The writer finds equal payloads by digest, keeps the one of the smallest id as a response
-and writes the others as revisits of it. Every record is a gzip member of its own; a file
-closes with an empty member.
+and writes the others as revisits of it. Pages are written where they lie: only digests are
+shuffled, and the table of repeated ones is broadcast up to ``REPEATED`` rows; a longer one
+meets the pages by a shuffle. Every record is a gzip member of its own; a file closes with
+an empty member.
 
 The reader takes any file of members or of plain records one after the other. Each record is
 checked: member checksum, version line, headers, content length, block digest. Where a check
 fails the reader looks for the next place at which a whole valid member or record begins,
-goes on from there, and logs the bytes between as a gap with the reason.
+goes on from there, and logs the bytes between as a gap with the reason. It holds a file's
+bytes and the records of one member at a time, and hands rows on in slices of some
+``SLICE_BYTES``, however far the payloads were compressed.
 
 Defined results: a null payload is an empty one; a row with a null id is a response, and the
 rows that share the smallest id of a payload all are; a null URL has no target header;
@@ -23,16 +27,21 @@ import gzip
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridvigil.llm.common import ROWS, read_blobs, shared_folder, sql_type, write_blobs
+from gridvigil.llm.common import ROWS, read_blobs, shared_folder, slices, sql_type, stored, write_blobs
 
 #: compressed bytes from which a file is closed
 FILE_BYTES = 16 << 20
+#: bytes of payloads from which the rows read so far are handed on
+SLICE_BYTES = 1 << 20
+#: rows of a table of repeated digests that may be broadcast (28 bytes each)
+REPEATED = 200_000
 DATE = "1970-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
@@ -159,9 +168,10 @@ def unit(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int]:
     return [one], stop
 
 
-def salvage(data: bytes) -> tuple[list[tuple[int, int, Record]], list[tuple[int, int, str]]]:
-    """(start, end, record) of all valid records, (start, end, reason) of all gaps."""
-    view, at, records, gaps = memoryview(data), 0, [], []
+def walk(data: bytes) -> Iterator[tuple[int, int, str | list[Record]]]:
+    """(start, end, records) of every valid member or record and (start, end, reason) of every
+    gap, as they stand in the file."""
+    view, at = memoryview(data), 0
     while at < len(data):
         try:
             found, stop = unit(data, view, at)
@@ -181,11 +191,21 @@ def salvage(data: bytes) -> tuple[list[tuple[int, int, Record]], list[tuple[int,
                     break
                 except Damaged:
                     at += 1
-            gaps.append((begin, at, reason))
+            yield begin, at, reason
             if at == len(data):
                 break
-        records += [(at, stop, one) for one in found]
+        yield at, stop, found
         at = stop
+
+
+def salvage(data: bytes) -> tuple[list[tuple[int, int, Record]], list[tuple[int, int, str]]]:
+    """(start, end, record) of all valid records, (start, end, reason) of all gaps."""
+    records, gaps = [], []
+    for start, end, found in walk(data):
+        if isinstance(found, str):
+            gaps.append((start, end, found))
+        else:
+            records += [(start, end, one) for one in found]
     return records, gaps
 
 
@@ -195,7 +215,7 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("sum", F.sha1("payload"))
+    ).withColumn("sum", F.unhex(F.sha1("payload")))
     groups = (
         rows.filter(F.octet_length("payload") >= least)
         .groupBy("sum")
@@ -203,6 +223,9 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str
         .filter("n > 1")
         .select("sum", "original")
     )
+    groups = stored(groups, "originals")
+    if groups.count() <= REPEATED:
+        groups = F.broadcast(groups)
     return rows.join(groups, "sum", "left").select(
         "id", "url", "payload", F.when(F.col("id") > F.col("original"), F.col("original")).alias("refers_to")
     )
@@ -223,8 +246,8 @@ def write(
             return pa.RecordBatch.from_arrays([pa.array([b"".join([*waiting, closing[:-1]])], pa.binary())], names=["content"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                for row in batch.slice(at, ROWS).to_pylist():
+            for part in slices(batch, 2, ROWS, SLICE_BYTES):
+                for row in part.to_pylist():
                     made = gzip.compress(record(row["id"], row["url"], row["payload"], row["refers_to"]), 6, mtime=0)
                     waiting.append(made)
                     size += len(made)
@@ -258,18 +281,28 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     def run(batches):
+        types = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()], strict=True))
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), types[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names
+            )
+
         for batch in batches:
-            types = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()], strict=True))
+            rows, size = [], 0
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                records, gaps = salvage(content.as_py())
-                rows = [(path, start, end, reason, *[None] * 7) for start, end, reason in gaps]
-                for at in range(0, len(records) or 1, ROWS):
-                    rows += [row(path, *one) for one in records[at : at + ROWS]]
-                    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(c), types[n]) for n, c in zip(names, columns, strict=True)], names=names
-                    )
-                    rows = []
+                for start, end, found in walk(content.as_py()):
+                    if isinstance(found, str):
+                        rows.append((path, start, end, found, *[None] * 7))
+                    else:
+                        for one in found:
+                            rows.append(row(path, start, end, one))
+                            size += len(one.block)
+                            if len(rows) >= ROWS or size >= SLICE_BYTES:
+                                yield made(rows)
+                                rows, size = [], 0
+            if rows:
+                yield made(rows)
 
     return read_blobs(spark, folder).mapInArrow(run, SCHEMA)
 

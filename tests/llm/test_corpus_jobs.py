@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 from base64 import b32encode
 from collections import Counter, defaultdict
@@ -354,6 +355,58 @@ def test_warc_odd_rows(spark):
     assert all(r.record_type == "response" for r in least if not r.payload_bytes)
 
 
+def test_warc_pages_are_written_where_they_lie(spark, monkeypatch):
+    # two payloads repeated, one of them empty; the shuffled join must find the same as the broadcast
+    rows = [(i, f"http://x/{i}", None if i % 10 == 3 else "<a>" if i % 10 == 7 else f"<p>{i}") for i in range(90, 0, -1)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    want = {i: 3 if i % 10 == 3 and i > 3 else 7 if i % 10 == 7 and i > 7 else None for i in range(1, 91)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most, files in ((2, 3), (1, None)):
+            monkeypatch.setattr(warc, "REPEATED", most)
+            folder = warc.write(pages)
+            found = warc.pages_of(warc.read(spark, folder), pages).collect()
+            assert len(found) == 90 and {r.page_id: r.refers_to for r in found} == want
+            assert all(r.record_type == ("revisit" if want[r.page_id] else "response") for r in found)
+            if files:  # a file for each of the table's partitions, not for each partition of a shuffle
+                assert read_blobs(spark, folder).count() == files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_warc_reader_holds_one_member_at_a_time():
+    size = 1 << 20
+    data = b"".join(gzip.compress(warc.record(i, None, b"<p>%d" % i + b" " * size, None), 6, mtime=0) for i in range(40))
+    assert len(data) < size  # far fewer bytes than the payloads
+    tracemalloc.start()
+    try:
+        found = [(start, end, len(ones), len(ones[0].payload) > size) for start, end, ones in warc.walk(data)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [f[2:] for f in found] == [(1, True)] * 40 and found[-1][1] == len(data)
+    assert all(a[1] == b[0] for a, b in zip(found, found[1:]))
+    assert peak < 12 * size
+
+
+def test_warc_rows_are_handed_on_in_small_batches(spark, monkeypatch):
+    # one file of many records, of both kinds, with a gap before each tenth
+    pages = [(i, f"http://x/{i}", b"<p>%d" % i + b"x" * (i % 7 * 1000)) for i in range(700)]
+    parts = [b"junk" * (not i % 10) + gzip.compress(warc.record(i, u, p, None if i % 3 else 1), mtime=0) for i, u, p in pages]
+    folder = common.shared_folder(spark, "parts")
+    blob = spark.createDataFrame([(bytearray(b"".join(parts)[:-1]),)], "content binary")
+    common.write_blobs(blob, "content", folder, per_file=1, end="\0")  # a member's last byte, as sizes are short
+    monkeypatch.setattr(warc, "SLICE_BYTES", 5000)
+    rows = warc.read(spark, folder).collect()
+    assert sorted(r.record_id for r in rows if r.record_id) == sorted(f"<urn:page:{i}>" for i, _, _ in pages)
+    assert sum(r.reason is not None and r.end - r.start == 4 for r in rows) == 70
+    payloads = {r.record_id: bytes(r.payload) for r in rows if r.type == "response"}
+    assert payloads == {f"<urn:page:{i}>": p for i, _, p in pages if i % 3}
+
+
 def test_warc_urls_with_line_marks_and_long_ones(spark):
     odd = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n", "\t", "\x00"]
     urls = [f"http://x/a{c}b" for c in odd] + ["http://x/" + "y" * (3 << 19), " http://x/\u00a0", "http://x/é"]
